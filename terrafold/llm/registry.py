@@ -1,9 +1,10 @@
 """The subpackage's queries and their SQL."""
 
-from . import quality
+from . import packing, quality
 
 _QUERIES = {
     "op2_host_quality": quality.query,
+    "op8_best_fit_packing": packing.query,
 }
 _SQL = {
     "op2_host_quality": quality.SQL,
