@@ -1,9 +1,10 @@
 """The subpackage's queries and their SQL."""
 
-from . import packing, quality
+from . import html, packing, quality
 
 _QUERIES = {
     "op2_host_quality": quality.query,
+    "op9_main_text": html.query,
     "op8_best_fit_packing": packing.query,
 }
 _SQL = {
