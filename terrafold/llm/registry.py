@@ -1,9 +1,10 @@
 """The subpackage's queries and their SQL."""
 
-from . import html, packing, quality
+from . import html, packing, quality, warc
 
 _QUERIES = {
     "op2_host_quality": quality.query,
+    "op4_warc": warc.query,
     "op9_main_text": html.query,
     "op8_best_fit_packing": packing.query,
 }
