@@ -1,14 +1,17 @@
 """The subpackage's queries and their SQL."""
 
-from . import html, packing, quality, warc
+from . import html, packing, quality, topk, toxicity, warc
 
 _QUERIES = {
     "op2_host_quality": quality.query,
     "op4_warc": warc.query,
+    "op6_toxicity": toxicity.query,
+    "op7_exact_topk": topk.query,
     "op9_main_text": html.query,
     "op8_best_fit_packing": packing.query,
 }
 _SQL = {
+    "op7_exact_topk": topk.SQL,
     "op2_host_quality": quality.SQL,
 }
 
