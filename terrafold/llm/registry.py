@@ -1,10 +1,11 @@
 """The subpackage's queries and their SQL."""
 
-from . import html, packing, quality, topk, toxicity, warc
+from . import bpe, html, packing, quality, topk, toxicity, warc
 
 _QUERIES = {
     "op2_host_quality": quality.query,
     "op4_warc": warc.query,
+    "op5_byte_bpe": bpe.query,
     "op6_toxicity": toxicity.query,
     "op7_exact_topk": topk.query,
     "op9_main_text": html.query,
