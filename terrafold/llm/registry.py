@@ -1,13 +1,15 @@
 """The subpackage's queries and their SQL."""
 
-from . import bpe, html, packing, quality, topk, toxicity, warc
+from . import bpe, html, jaccard, packing, quality, repeats, topk, toxicity, warc
 
 _QUERIES = {
     "op2_host_quality": quality.query,
+    "op3_substring_dedup": repeats.query,
     "op4_warc": warc.query,
     "op5_byte_bpe": bpe.query,
     "op6_toxicity": toxicity.query,
     "op7_exact_topk": topk.query,
+    "op10_jaccard_join": jaccard.query,
     "op9_main_text": html.query,
     "op8_best_fit_packing": packing.query,
 }
