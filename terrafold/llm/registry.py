@@ -1,8 +1,9 @@
 """The subpackage's queries and their SQL."""
 
-from . import bpe, html, jaccard, packing, quality, repeats, topk, toxicity, warc
+from . import bpe, html, jaccard, packing, quality, repeats, suffixtree, topk, toxicity, warc
 
 _QUERIES = {
+    "op1_suffix_tree": suffixtree.query,
     "op2_host_quality": quality.query,
     "op3_substring_dedup": repeats.query,
     "op4_warc": warc.query,
