@@ -1 +1 @@
-"""See the package modules."""
+"""Columns: coordinates, tags, measures, units and text forms."""

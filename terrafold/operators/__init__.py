@@ -1 +1 @@
-"""See the package modules."""
+"""Tag queries, spatial tests, joins and relationships."""

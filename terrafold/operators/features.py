@@ -16,7 +16,7 @@ from ..functions.mercator import Plane, meters_per_unit
 from ..sources.library import Library
 from . import related, rings, spatial
 from .kernel import Shape
-from .tagquery import compile_query
+from .tagquery import compile_query, query_kinds
 
 
 class ResultError(ValueError):
@@ -33,6 +33,7 @@ class Features:
     lib: Library
     df: DataFrame
     view: str = "world"
+    kinds: frozenset = spatial.ALL
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Features:
@@ -50,7 +51,8 @@ class Features:
     def __call__(self, what) -> Features:
         """A tag query, a Box, a point (x, y), a Shape or another set of one feature."""
         if isinstance(what, str):
-            return self._with(self.df.where(compile_query(what, {k: n for n, k in enumerate(self.lib.indexed)})))
+            found = self._with(self.df.where(compile_query(what, {k: n for n, k in enumerate(self.lib.indexed)})))
+            return replace(found, kinds=self.kinds & query_kinds(what))
         if isinstance(what, Box):
             return self._with(self.df.where(what.touches()))
         if isinstance(what, tuple):
@@ -58,7 +60,7 @@ class Features:
         return self.intersecting(what)
 
     def _typed(self, kind: int, query: str | None) -> Features:
-        found = self._with(self.df.where(F.col("type") == kind))
+        found = replace(self._with(self.df.where(F.col("type") == kind)), kinds=self.kinds & {kind})
         return found(query) if query else found
 
     def nodes(self, query: str | None = None) -> Features:
@@ -114,29 +116,29 @@ class Features:
         return shape
 
     def intersecting(self, of) -> Features:
-        return self._with(spatial.intersecting(self.lib, self.df, self._shape(of)))
+        return self._with(spatial.intersecting(self.lib, self.df, self._shape(of), self.kinds))
 
     def within(self, of, strict: bool = False) -> Features:
-        return self._with(spatial.within(self.lib, self.df, self._shape(of), strict))
+        return self._with(spatial.within(self.lib, self.df, self._shape(of), strict, self.kinds))
 
     def crossing(self, of) -> Features:
-        return self._with(spatial.crossing(self.lib, self.df, self._shape(of, True)))
+        return self._with(spatial.crossing(self.lib, self.df, self._shape(of, True), self.kinds))
 
     def containing(self, x, y: int | None = None) -> Features:
         """Features that hold a point, given as x and y, or a whole geometry: all of its vertices, its edges not crossing theirs."""
         if y is not None:
-            return self._with(spatial.containing_point(self.lib, self.df, x, y))
+            return self._with(spatial.containing_point(self.lib, self.df, x, y, self.kinds))
         shape = self._shape(x)
         found = self.df
         for px, py in np.unique(np.concatenate([shape.starts, shape.edges[:, :2], shape.edges[:, 2:]]), axis=0).tolist():
-            found = spatial.containing_point(self.lib, found, int(px), int(py))
+            found = spatial.containing_point(self.lib, found, int(px), int(py), self.kinds)
         return self._with(found)
 
     def containing_lonlat(self, lon: float, lat: float) -> Features:
         return self.containing(Plane.x(lon), Plane.y(lat))
 
     def max_meters_from(self, meters: float, x: int, y: int) -> Features:
-        return self._with(spatial.max_meters_from(self.lib, self.df, meters, x, y))
+        return self._with(spatial.max_meters_from(self.lib, self.df, meters, x, y, self.kinds))
 
     def max_meters_from_lonlat(self, meters: float, lon: float, lat: float) -> Features:
         return self.max_meters_from(meters, Plane.x(lon), Plane.y(lat))
@@ -151,17 +153,20 @@ class Features:
 
     # relationships: of all features of the set, in one join
 
+    def _related(self, df: DataFrame, view: str) -> Features:
+        return replace(self, df=df, view=view, kinds=spatial.ALL)
+
     def way_nodes(self, query: str | None = None) -> Features:
         """Vertices of the set's ways in order; with a query only those that are features and match."""
-        found = self._with(related.way_nodes(self.lib, self.df, only_features=query is not None), "vertices")
+        found = self._related(related.way_nodes(self.lib, self.df, only_features=query is not None), "vertices")
         return found(query) if query else found
 
     def members(self, query: str | None = None) -> Features:
-        found = self._with(related.members(self.lib, self.df), "members")
+        found = self._related(related.members(self.lib, self.df), "members")
         return found(query) if query else found
 
     def parents(self, query: str | None = None) -> Features:
-        found = self._with(related.parents(self.lib, self.df), "parents")
+        found = self._related(related.parents(self.lib, self.df), "parents")
         return found(query) if query else found
 
     def nodes_of(self, of: Features) -> Features:

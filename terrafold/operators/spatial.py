@@ -12,6 +12,8 @@ on their columns, ways on their vertex arrays, relations on the tests of all the
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -112,10 +114,19 @@ def parts_of(lib: Library, relations: DataFrame) -> DataFrame:
     return flat.where("m_type < 2")
 
 
-def keep(df: DataFrame, nodes: DataFrame, ways: DataFrame, relations: DataFrame | None) -> DataFrame:
-    cols = df.columns
-    out = nodes.where("ok").select(*cols).unionByName(ways.where("ok").select(*cols))
-    return out if relations is None else out.unionByName(relations.select(*cols))
+ALL = frozenset((0, 1, 2))
+
+
+def keep(df: DataFrame, kinds: frozenset, nodes: DataFrame, ways: DataFrame, relations) -> DataFrame:
+    """The rows that passed, of the kinds that the set can hold: other kinds aren't planned at all."""
+    cols, out = df.columns, []
+    if 0 in kinds:
+        out.append(nodes.where("ok").select(*cols))
+    if 1 in kinds:
+        out.append(ways.where("ok").select(*cols))
+    if 2 in kinds:
+        out.append(relations().select(*cols))
+    return reduce(DataFrame.unionByName, out) if out else df.where(F.lit(False))
 
 
 def by_members(lib: Library, df: DataFrame, shape: Shape, node_rule, way_rule, rule, cut: bool = True) -> DataFrame:
@@ -132,16 +143,19 @@ def by_members(lib: Library, df: DataFrame, shape: Shape, node_rule, way_rule, r
     return rels.join(passed, rels.id == passed.root, "left_semi")
 
 
-def intersecting(lib: Library, df: DataFrame, shape: Shape) -> DataFrame:
+def intersecting(lib: Library, df: DataFrame, shape: Shape, kinds: frozenset = ALL) -> DataFrame:
     if shape.kind == "point":
-        return containing_point(lib, df, int(shape.starts[0][0]), int(shape.starts[0][1])) if len(shape.starts) else df.where(F.lit(False))
+        return containing_point(lib, df, int(shape.starts[0][0]), int(shape.starts[0][1]), kinds) if len(shape.starts) else df.where(F.lit(False))
     inside = near(df, shape)
     node_rule, way_rule = (lambda at: at >= 0), (lambda t: (t["first"] >= 0) | t["meets"] | t["holds"])
     nodes, ways = tested(lib, inside, shape, node_rule, way_rule)
-    direct = by_members(lib, inside, shape, node_rule, way_rule, lambda: F.bool_or("ok"))
-    holding = area_relations_holding(lib, inside, shape.starts)
-    rels = direct.unionByName(holding.join(direct.select("typed_id"), "typed_id", "left_anti").select(*direct.columns))
-    return keep(df, nodes, ways, rels)
+
+    def rels() -> DataFrame:
+        direct = by_members(lib, inside, shape, node_rule, way_rule, lambda: F.bool_or("ok"))
+        found = direct.select("typed_id").union(area_relations_holding(lib, inside, shape.starts).select("typed_id")).distinct()
+        return inside.where("type = 2").join(found, "typed_id", "left_semi")
+
+    return keep(df, kinds, nodes, ways, rels)
 
 
 def area_relations_holding(lib: Library, df: DataFrame, points: np.ndarray) -> DataFrame:
@@ -173,7 +187,7 @@ def odd(points: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.where(n % 2 == 1, 1, -1)
 
 
-def within(lib: Library, df: DataFrame, shape: Shape, strict: bool = False) -> DataFrame:
+def within(lib: Library, df: DataFrame, shape: Shape, strict: bool = False, kinds: frozenset = ALL) -> DataFrame:
     if shape.kind != "polygon":
         raise UnsupportedGeometry("within needs a polygon")
     box = Box(*shape.bounds)
@@ -191,29 +205,28 @@ def within(lib: Library, df: DataFrame, shape: Shape, strict: bool = False) -> D
         line = (F.col("m_type") == 1) | ~F.col("root_area")
         return (F.sum(F.when(line, F.col("n_out")).otherwise(0)) == 0) & (F.sum(F.when(line, F.col("n_in")).otherwise(0)) > 0)
 
-    rels = by_members(lib, inside, shape, node_rule, way_rule, rule, cut=False)
-    return keep(df, nodes, ways, rels)
+    return keep(df, kinds, nodes, ways, lambda: by_members(lib, inside, shape, node_rule, way_rule, rule, cut=False))
 
 
-def crossing(lib: Library, df: DataFrame, shape: Shape) -> DataFrame:
+def crossing(lib: Library, df: DataFrame, shape: Shape, kinds: frozenset = ALL) -> DataFrame:
     if shape.kind == "point":
         raise UnsupportedGeometry("nothing crosses a point")
     inside = near(df, shape).where("type > 0")
     if shape.kind == "polygon":
         inside = inside.where("NOT is_area")
     nodes, ways = tested(lib, inside, shape, lambda at: F.lit(False), lambda t: t["meets"])
-    return keep(df, nodes, ways, by_members(lib, inside, shape, lambda at: F.lit(False), lambda t: t["meets"], lambda: F.bool_or("ok")))
+    return keep(df, kinds - {0}, nodes, ways, lambda: by_members(lib, inside, shape, lambda at: F.lit(False), lambda t: t["meets"], lambda: F.bool_or("ok")))
 
 
-def containing_point(lib: Library, df: DataFrame, x: int, y: int) -> DataFrame:
+def containing_point(lib: Library, df: DataFrame, x: int, y: int, kinds: frozenset = ALL) -> DataFrame:
     """Areas with the point inside or on the boundary, lines through it, nodes at it; other relations never."""
     at = df.where(Box(x, y, x, y).touches())
     shape = Shape.of("point", [np.asarray([[x, y]])])
     nodes, ways = tested(lib, at, shape, lambda loc: loc >= 0, lambda t: t["meets"] | t["holds"])
-    return keep(df, nodes, ways, area_relations_holding(lib, at, shape.starts))
+    return keep(df, kinds, nodes, ways, lambda: area_relations_holding(lib, at, shape.starts))
 
 
-def max_meters_from(lib: Library, df: DataFrame, meters: float, x: int, y: int) -> DataFrame:
+def max_meters_from(lib: Library, df: DataFrame, meters: float, x: int, y: int, kinds: frozenset = ALL) -> DataFrame:
     """Features less than a distance from a point, measured in the plane by the scale at the point; areas also if they hold it."""
     units = Plane.units(meters, y)
     box = Box.around(x, y, int(units) + 1)
@@ -234,10 +247,14 @@ def max_meters_from(lib: Library, df: DataFrame, meters: float, x: int, y: int)
         w = rows.where("type = 1")
         return w.join(coords(lib, w).withColumnRenamed("id", "w"), F.col("id") == F.col("w")).where(line_near("points", "is_area")).select(*rows.columns)
 
-    rels = at.where("type = 2")
-    parts = closure(lib, rels).where("m_type < 2")
-    members = lib.features.join(parts.select(F.col("m_typed_id").alias("typed_id")).distinct(), "typed_id", "left_semi").where(box.touches())
-    hits = close(members).select("typed_id").union(lines(members).select("typed_id"))
-    passed = parts.join(hits.withColumnRenamed("typed_id", "m_typed_id"), "m_typed_id", "left_semi").select(F.col("root").alias("id")).distinct()
-    hold = area_relations_holding(lib, at, np.asarray([[x, y]])).select("id")
-    return close(at).unionByName(lines(at)).unionByName(rels.join(passed.union(hold).distinct(), "id", "left_semi").select(*df.columns))
+    def relations() -> DataFrame:
+        rels = at.where("type = 2")
+        parts = closure(lib, rels).where("m_type < 2").select(F.col("root").alias("id"), F.col("m_typed_id").alias("typed_id"))
+        members = lib.features.join(parts.select("typed_id").distinct(), "typed_id", "left_semi").where(box.touches())
+        hits = close(members).select("typed_id").union(lines(members).select("typed_id"))
+        passed = parts.join(hits, "typed_id", "left_semi").select("id")
+        hold = area_relations_holding(lib, at, np.asarray([[x, y]])).select("id")
+        return rels.join(passed.union(hold).distinct(), "id", "left_semi")
+
+    ok = F.lit(True).alias("ok")
+    return keep(df, kinds, close(at).select("*", ok), lines(at).select("*", ok), relations)

@@ -228,6 +228,12 @@ def selector_column(s: Selector) -> Column:
     return reduce(Column.__and__, [type_column(s.types), *map(clause_column, s.clauses)])
 
 
+def query_kinds(text: str) -> frozenset:
+    """Types of features that a query can match: 0 nodes, 1 ways, 2 relations."""
+    of = {"n": {0}, "w": {1}, "a": {1, 2}, "r": {2}}
+    return frozenset(k for s in parse(text) for c in s.types or LETTERS for k in of[c])
+
+
 def required_keys(query: tuple[Selector, ...]) -> list[set[str]]:
     """Of each selector, the keys that a match must have."""
     needs = ("has", "=", "~", "<", "<=", ">", ">=")

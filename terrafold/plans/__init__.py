@@ -1 +1 @@
-"""See the package modules."""
+"""Named queries and their SQL twins."""

@@ -163,7 +163,7 @@ def within_relation(f: Features) -> DataFrame:
 
 @query("intersects_polygon", "SELECT type, id FROM features WHERE (type = 0 AND id IN (SELECT id FROM loc WHERE loc >= 0)) OR (type = 1 AND (id IN (SELECT way_id FROM vloc WHERE loc >= 0) OR id IN (SELECT way_id FROM meets)))", f"{_POLY}, {o.SEGMENTS}, {_NODE_LOC}, {_WAY_LOC}, {_MEETS}")
 def intersects_polygon(f: Features) -> DataFrame:
-    return ids(f.filter(F.col("type") < 2).intersecting(polygon()))
+    return ids(f.nodes().intersecting(polygon())).union(ids(f.ways().intersecting(polygon())))
 
 
 _LINE = o.edges_sql(LINE)
@@ -171,7 +171,7 @@ _LINE = o.edges_sql(LINE)
 
 @query("intersects_line", "SELECT type, id FROM features WHERE (type = 0 AND id IN (SELECT id FROM loc WHERE loc = 0)) OR (type = 1 AND id IN (SELECT way_id FROM meets))", f"{_LINE}, {o.SEGMENTS}, {_NODE_LOC}, {_MEETS}")
 def intersects_line(f: Features) -> DataFrame:
-    return ids(f.filter(F.col("type") < 2).intersecting(line()))
+    return ids(f.nodes().intersecting(line())).union(ids(f.ways().intersecting(line())))
 
 
 @query("crosses_polygon", "SELECT id FROM features WHERE type = 1 AND NOT is_area AND id IN (SELECT way_id FROM meets)", f"{_POLY}, {o.SEGMENTS}, {_MEETS}")
@@ -390,7 +390,7 @@ def total_length(f: Features) -> DataFrame:
     return f.ways().lengths().agg(F.round(F.sum("length") / 1e6, 3).alias("megameters"))
 
 
-_AREA = f"799000000.0 * 599000000.0 * ({_M!r} / cosh((CAST(min_y AS DOUBLE) + max_y) / 2 * {_C!r})) * ({_M!r} / cosh((CAST(min_y AS DOUBLE) + max_y) / 2 * {_C!r}))"
+_AREA = f"4.78601e17 * ({_M!r} / cosh((CAST(min_y AS DOUBLE) + max_y) / 2 * {_C!r})) * ({_M!r} / cosh((CAST(min_y AS DOUBLE) + max_y) / 2 * {_C!r}))"
 
 
 @query("way_area", f"SELECT id, round({_AREA} / 1e6, 2) AS km2 FROM areas")
@@ -403,7 +403,7 @@ def total_area(f: Features) -> DataFrame:
     return f.ways().areas().agg(F.round(F.sum("area") / 1e12, 3).alias("mm2"))
 
 
-@query("relation_area", f"SELECT id, round(799000000.0 * 599000000.0 * ({_M!r} / cosh((CAST(min_y AS DOUBLE) + max_y) / 2 * {_C!r})) * ({_M!r} / cosh((CAST(min_y AS DOUBLE) + max_y) / 2 * {_C!r})) / 1e6, 2) AS km2 FROM nations")
+@query("relation_area", f"SELECT id, round(4.78601e17 * ({_M!r} / cosh((CAST(min_y AS DOUBLE) + max_y) / 2 * {_C!r})) * ({_M!r} / cosh((CAST(min_y AS DOUBLE) + max_y) / 2 * {_C!r})) / 1e6, 2) AS km2 FROM nations")
 def relation_area(f: Features) -> DataFrame:
     return f.relations("a").areas().select(F.expr("typed_id div 4").alias("id"), F.round(F.col("area") / 1e6, 2).alias("km2"))
 

@@ -1 +1 @@
-"""See the package modules."""
+"""Libraries of features and what they are read from."""

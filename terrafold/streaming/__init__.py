@@ -1 +1 @@
-"""See the package modules."""
+"""Queries over streams of features."""
