@@ -24,7 +24,7 @@ def way_nodes(lib: Library, ways: DataFrame, only_features: bool = False) -> Dat
     if only_features:
         return v.select("way_id", "seq", "typed_id").join(nodes, "typed_id").select("way_id", "seq", *nodes.columns)
     found = v.join(nodes.select("typed_id", *[F.col(c).alias(f"f_{c}") for c in plain]), "typed_id", "left")
-    own = {"id": F.col("node_id"), "min_x": F.col("x"), "min_y": F.col("y"), "max_x": F.col("x"), "max_y": F.col("y"), "type": F.lit(0).cast("tinyint"),
+    own = {"id": F.coalesce("node_id", F.lit(0)), "min_x": F.col("x"), "min_y": F.col("y"), "max_x": F.col("x"), "max_y": F.col("y"), "type": F.lit(0).cast("tinyint"),
            "is_area": F.lit(False), "is_member": F.lit(False), "is_waynode": F.lit(True), "key_bits": F.lit(0), "tags": F.create_map().cast("map<string,string>")}
     known = F.col("f_id").isNotNull()
     made = {c: F.coalesce(F.col(f"f_{c}"), own[c]) if c in own else F.col(f"f_{c}") for c in plain}

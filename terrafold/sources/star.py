@@ -111,5 +111,5 @@ def open_star(spark: SparkSession, path: str) -> Library:
     order_nodes = kept.select(F.col("l_orderkey").cast("bigint").alias("way_id"), order.cast("int").alias("seq"), vertex.cast("bigint").alias("node_id"))
     order_nodes = order_nodes.select("*", x_of(F.col("node_id")).alias("x"), y_of(F.col("node_id")).alias("y"))
     ring = F.posexplode(F.array(*[F.struct(x.cast("int").alias("x"), y.cast("int").alias("y")) for x, y in corners(key)])).alias("seq", "p")
-    frame_nodes = n.select((key + NATIONS).alias("way_id"), ring).select("way_id", F.col("seq").cast("int").alias("seq"), F.lit(0).cast("bigint").alias("node_id"), "p.x", "p.y")
+    frame_nodes = n.select((key + NATIONS).alias("way_id"), ring).select("way_id", F.col("seq").cast("int").alias("seq"), F.lit(None).cast("bigint").alias("node_id"), "p.x", "p.y")
     return Library(features, order_nodes.unionByName(frame_nodes), members, INDEXED)
