@@ -90,10 +90,10 @@ def record_bytes(rows: DataFrame) -> Column:
     return F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string")))
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
-    """Write a record for every row of pages to archives below path."""
+def write(pages: DataFrame, path: str, least: int = LEAST_BYTES, compression: str = "gzip") -> None:
+    """Write a record for every row of pages to archives below path: one gzip member each, or "none"."""
     rows = plan_records(pages, least)
-    rows.select(record_bytes(rows).alias("value")).write.option("lineSep", NL * 2).option("maxRecordsPerFile", RECORDS).text(path)
+    rows.select(record_bytes(rows).alias("value")).write.option("lineSep", NL * 2).option("maxRecordsPerFile", RECORDS).option("compression", compression).text(path)
 
 
 @dataclass
@@ -166,39 +166,48 @@ def salvage_plain(data: bytes) -> Salvage:
 MAGIC = b"\x1f\x8b\x08"
 
 
+CHUNK = 1 << 16
+
+
+def inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """(bytes of the member at an offset, the offset after it or None if it is broken, what is wrong)."""
+    z, parts, k = zlib.decompressobj(31), [], at
+    try:
+        while k < len(data) and not z.eof:
+            parts.append(z.decompress(data[k : k + CHUNK]))
+            k += CHUNK
+    except zlib.error:
+        return b"".join(parts), None, "member fails its check"
+    if not z.eof:
+        return b"".join(parts), None, "member cut off"
+    return b"".join(parts), min(k, len(data)) - len(z.unused_data), ""
+
+
 def salvage(data: bytes) -> Salvage:
-    """All valid records of an archive, plain or of gzip members; offsets of members are those of the file.
+    """All valid records of an archive, plain or of gzip members.
 
-    A member that doesn't end or fails its checksum is a gap: the next magic bytes that begin a member are
-    searched for. What a broken member gave before it broke isn't trusted.
+    Offsets are those of the file; in a member of several records, of the inflated data after the member's
+    start. A member that doesn't end or fails its checksum gives those records before the break whose digests
+    hold; the rest of it, up to the next magic bytes that begin a member, is a gap.
     """
     if not data.startswith(MAGIC) and (data.find(MAGIC) < 0 or START.search(data, 0, 1 << 16)):
         return salvage_plain(data)
     found, at, bad, why = Salvage(), 0, None, ""
     while at < len(data):
-        inner = None
-        if data.startswith(MAGIC, at):
-            z = zlib.decompressobj(31)
-            try:
-                text = z.decompress(memoryview(data)[at:])
-                inner, reason = (text, "") if z.eof else (None, "member cut off")
-            except zlib.error:
-                reason = "member fails its check"
-        else:
-            reason = "no member"
-        if inner is None:
+        inner, end, reason = inflate(data, at) if data.startswith(MAGIC, at) else (b"", None, "no member")
+        got = salvage_plain(inner)
+        records = got.records if end is not None else [r for r in got.records if r.headers.get("warc-payload-digest") and r.headers.get("warc-type") != "revisit"]
+        if end is None:
             if bad is None:
                 bad, why = at, reason
             nxt = data.find(MAGIC, at + 1)
-            at = nxt if nxt >= 0 else len(data)
-            continue
-        if bad is not None:
-            found.gaps.append((bad, at, why))
-            bad = None
-        end = len(data) - len(z.unused_data)
-        got = salvage_plain(inner)
-        found.records.extend(Record(at + r.offset * (len(got.records) > 1), r.headers, r.block) for r in got.records)
-        found.gaps.extend((at, end, w) for _, _, w in got.gaps)
+            end = nxt if nxt >= 0 else len(data)
+        else:
+            if bad is not None:
+                found.gaps.append((bad, at, why))
+                bad = None
+            found.gaps.extend((at, end, w) for _, _, w in got.gaps)
+        found.records.extend(Record(at + r.offset * (len(got.records) > 1), r.headers, r.block) for r in records)
         at = end
     if bad is not None:
         found.gaps.append((bad, len(data), why))
@@ -257,3 +266,12 @@ def archive(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages"))
+
+
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS f FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT), 1)), '') AS payload_digest,
+  CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f < page_id THEN f END AS refers_to FROM d
+"""

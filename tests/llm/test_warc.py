@@ -72,3 +72,13 @@ def test_read_logs_gaps(spark, tmp_path):
     rows = warc.read(spark, str(tmp_path)).collect()
     assert sorted(int(r.headers["warc-page-id"]) for r in rows if r.reason is None) == [1, 2]
     assert [(r.offset, r.gap_end) for r in rows if r.reason] == [(len(make(1, "one")), len(make(1, "one")) + 7)]
+
+
+def test_records_before_a_break_are_kept():
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(chr(rng.randint(33, 126)) for _ in range(30_000)) for _ in range(8)]
+    whole = gzip.compress(b"".join(make(k, t) for k, t in enumerate(texts)))
+    got = warc.salvage(whole[: len(whole) // 2])
+    assert ids(got) == [0, 1, 2] and got.gaps == [(0, len(whole) // 2, "member cut off")]
