@@ -15,6 +15,8 @@ _QUERIES = {
     "op8_best_fit_packing": packing.query,
 }
 _SQL = {
+    "op3_substring_dedup": repeats.SQL,
+    "op4_warc": warc.SQL,
     "op7_exact_topk": topk.SQL,
     "op2_host_quality": quality.SQL,
 }
