@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 #: White space between words, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"
-#: The same characters, for translate().
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

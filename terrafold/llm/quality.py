@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, let, materialize, table, words
+from .common import let, materialize, table, words
 
 #: Fewest words, and most words in repeated windows of five in a hundred.
 MIN_WORDS, MAX_REPEAT = 10, 20
@@ -30,8 +30,8 @@ def repeat_words(found: Column) -> Column:
         return let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(spread(hs)))
 
     def spread(hs: Column) -> Column:
-        pairs = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return let(pairs, lambda a: let(F.array_sort(F.transform(F.filter(a, lambda x, i: same(a, x, i)), lambda x: x["i"])), total))
+        pairs = F.sort_array(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return let(pairs, lambda a: let(F.sort_array(F.transform(F.filter(a, lambda x, i: same(a, x, i)), lambda x: x["i"])), total))
 
     def same(a: Column, x: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(a, i - 1)["h"] == x["h"]).otherwise(False)
@@ -48,13 +48,13 @@ def repeat_words(found: Column) -> Column:
 def signals(text: Column) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text (null: empty)."""
     whole = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(whole, "\n"), lambda x: F.translate(x, SPACE_CHARS, "") != "")
+    lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def made(ws: Column) -> Column:
         return F.struct(
             F.size(ws).cast("long").alias("n_words"),
-            F.length(F.translate(whole, SPACE_CHARS, "")).cast("long").alias("word_chars"),
-            (F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+            F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeat_words(ws).cast("long").alias("n_repeat_words"),
         )
