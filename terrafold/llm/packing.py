@@ -8,6 +8,7 @@ multiplicities; every planning step adds at most one pattern, so the plan is bou
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -22,8 +23,12 @@ from pyspark.sql.window import Window
 from .common import materialize, partitions, table
 
 SIZE = 2048
-#: Words whose ids a worker keeps; beyond, it starts anew. Memory only, results are the same.
-CACHE = 400_000
+#: Words whose ids a worker keeps, over its tasks; beyond, it starts anew. Memory only, results are the same.
+CACHE = 1_000_000
+#: Texts whose new words are encoded together, by bytes.
+TOGETHER = 1 << 20
+#: A lone sign at a word's end is a token of its own, as it is after white space.
+SIGN = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=[ \t\n])")
 #: Most exchanges that the local search makes. Each serves a whole group of equal bins.
 STEPS = 20_000
 
@@ -31,29 +36,76 @@ Pattern = tuple[tuple[int, int], ...]
 
 
 class WordIds:
-    """Ids of texts under a vocabulary that drops white space: a text's ids are its words' ids in turn."""
+    """Ids of texts under a vocabulary that drops white space: a text's ids are its words' ids in turn.
+
+    New words are encoded together, as one text with a mark between them whose single id no word has.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> bytes:
-        # only ASCII white space is split on here: all of it is dropped by the tokenizer
-        found = text.encode("utf-8", "surrogatepass").split()
+        self.known: dict[bytes, bytes] = {}
+        self.mark, self.mark_id = self.find_mark()
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def find_mark(self) -> tuple[str, int]:
+        """The first symbol, from the last block of symbols down, that is one token."""
+        for c in map(chr, (*range(0x1FAFF, 0x1F2FF, -1), *range(0x2BFF, 0x2010, -1))):
+            found = self.ids(c)
+            if len(found) == 1:
+                return c, found[0]
+        raise ValueError("the vocabulary has no symbol to set words apart by")
+
+    def learn(self, words: list[bytes]) -> None:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        ids = np.asarray(self.ids(f" {self.mark} ".join(texts)), "<u4")
+        marks = np.flatnonzero(ids == self.mark_id)
+        if len(marks) != len(words) - 1:  # a word has the mark itself
+            self.known.update((w, np.asarray(self.ids(t), "<u4").tobytes()) for w, t in zip(words, texts, strict=True))
+            return
+        data, cuts = ids.tobytes(), (4 * marks).tolist()
+        self.known.update((w, data[a:b]) for w, a, b in zip(words, [0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        # the tokenizer lowers letters and drops white space; only ASCII of either is done here
+        found = [SIGN.sub(rb" \1", t.encode("utf-8", "surrogatepass").lower()).split() for t in texts]
         known = self.known
-        new = list({w for w in found if w not in known})
+        ids = [list(map(known.get, ws)) for ws in found]
+        new = list({w for ws, got in zip(found, ids, strict=True) if None in got for w, x in zip(ws, got, strict=True) if x is None})
         if new:
             if len(known) + len(new) > CACHE:
                 known.clear()
-                new = list(set(found))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                known.update((w, np.asarray(c.ids, "<u4").tobytes()) for w, c in zip(part, coded, strict=True))
-        return b"".join([known[w] for w in found])
+                new = list({w for ws in found for w in ws})
+            for at in range(0, len(new), 2048):
+                self.learn(new[at : at + 2048])
+            ids = [list(map(known.get, ws)) for ws in found]
+        return [b"".join(got) for got in ids]
+
+
+_KEPT: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One for each worker process."""
+    if path not in _KEPT:
+        _KEPT[path] = WordIds(path)
+    return _KEPT[path]
+
+
+def together(texts: list[str | None]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for t in texts:
+        held.append(t or "")
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -66,11 +118,12 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(path)
+        ids_of = word_ids(path)
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = ids_of(text.as_py() or "") + b"\0\0\0\0"
+            coded = (ids for part in together(batch.column(1).to_pylist()) for ids in ids_of(part))
+            for doc, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
+                ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

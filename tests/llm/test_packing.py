@@ -35,7 +35,7 @@ def test_local_search_empties_bins():
 def test_pack_against_the_tokenizer(spark, size):
     from tokenizers import Tokenizer
 
-    texts = ["Hello, wörld's  end\n\tit's", None, "", "a " * 3000, "x\x1cy\xa0z é é <|endoftext|> ǅ İ 12345", "same", "same", "ab" * 5000]
+    texts = ["Hello, wörld's  end\n\tit's", None, "", "a " * 3000, "x\x1cy\xa0z é é <|endoftext|> ǅ İ 12345", "same", "same", "ab" * 5000, "End. no,, x!, 5. a.b c.\tq. Q.\n É. it's, 's. . , x ,y A\u030a. d.\u00a0e"]
     rows = [(i, t, None, "s", None, 1, 2) for i, t in enumerate(texts)] + [(5, "same", None, "s", None, 1, 2)]
     got = packing.pack(spark.createDataFrame(rows, SCHEMA), packing.vocabulary(), size).collect()
     t = Tokenizer.from_file(packing.vocabulary())
