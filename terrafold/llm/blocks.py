@@ -58,11 +58,15 @@ def record_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], NAMES)
 
 
-def cut_blocks(docs: DataFrame, tokens: Callable[[str], list[bytes]], flag=None, buckets: int | None = None) -> DataFrame:
+def cut_blocks(
+    docs: DataFrame, tokens: Callable[[str], list[bytes]], flag=None, buckets: int | None = None, kinds: tuple[int, ...] = (SEQUENCE, WORDS)
+) -> DataFrame:
     """Rows of ROW from docs (doc_id, text and a flag): a SEQUENCE row a block, and a WORDS row a block and bucket.
 
     Codes of a block are dealt by bucket, so a bucket's words are consecutive codes. A WORDS payload holds
     the words' lengths, their counts in documents with the flag, and their bytes. A null text is empty.
+    Only rows of the given kinds are made. A block's name ends in a digest of its rows, so rows of two calls
+    only meet if both read the same documents in the same order.
     """
     n_buckets = buckets or 2 * partitions(docs.sparkSession)
 
@@ -75,12 +79,16 @@ def cut_blocks(docs: DataFrame, tokens: Callable[[str], list[bytes]], flag=None,
                 held.append((doc, on, text))
                 size += len(text) + 64
                 if size >= BLOCK_BYTES:
-                    yield block(f"{task}-{seq}", held)
+                    yield from block(f"{task}-{seq}", held)
                     seq, held, size = seq + 1, [], 0
         if held:
-            yield block(f"{task}-{seq}", held)
+            yield from block(f"{task}-{seq}", held)
 
-    def block(name: str, held: list[tuple]) -> pa.RecordBatch:
+    def block(place: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128()
+        for doc, _, text in held:
+            digest.update(f"{doc} {len(text)} {text}".encode())
+        name = f"{place}-{digest.hexdigest()}"
         first: dict[bytes, int] = {}
         lens, parts = [], []
         for _, _, text in held:
@@ -102,13 +110,16 @@ def cut_blocks(docs: DataFrame, tokens: Callable[[str], list[bytes]], flag=None,
         ids = [d for d, _, _ in held]
         null = np.asarray([d is None for d in ids])
         number = np.asarray([0 if d is None else d for d in ids], "<i8")
-        rows = [(SEQUENCE, xxhash.xxh3_64_intdigest(name.encode()) >> 1, name, -1, compress(number, null, on, narrow(np.asarray(lens, "i8")), codes.astype("<u2") if len(words) < 1 << 16 else codes))]
-        at = 0
-        for b, n in zip(*np.unique(home, return_counts=True), strict=True):
+        rows, at = [], 0
+        if SEQUENCE in kinds:
+            payload = compress(number, null, on, narrow(np.asarray(lens, "i8")), codes.astype("<u2") if len(words) < 1 << 16 else codes)
+            rows.append((SEQUENCE, xxhash.xxh3_64_intdigest(name.encode()) >> 1, name, -1, payload))
+        for b, n in zip(*np.unique(home, return_counts=True), strict=True) if WORDS in kinds else ():
             mine = [words[k] for k in order[at : at + n]]
             rows.append((WORDS, int(b), name, int(b), compress(narrow(np.asarray([len(w) for w in mine], "i8")), narrow(counts[at : at + n]), b"".join(mine))))
             at += int(n)
-        return record_batch(rows)
+        if rows:
+            yield record_batch(rows)
 
     flagged = F.lit(True) if flag is None else flag
     return docs.select(F.col("doc_id").cast("long"), flagged, "text").mapInArrow(cut, ROW)

@@ -26,6 +26,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Pre-tokens are exploded by block with their positions, as codes; distinct ones are dealt by hash,
     encoded once each, sent back to their blocks and put in place by position. A null or empty text has no
     ids; repeated rows give a row each; an empty table none; columns besides doc_id and text aren't read.
+
+    docs is read twice, once for the pre-tokens and once for their positions, so that the positions go through
+    one shuffle only. Read it from a table: if the two readings differ in rows or order, the query fails.
     """
 
     def pre_tokens(text: str) -> list[bytes]:
@@ -46,9 +49,6 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bucket = None
         for batch in batches:
             for r in batch.to_pylist():
-                if r["kind"] == blocks.SEQUENCE:
-                    yield blocks.record_batch([tuple(r[n] for n in blocks.NAMES)])
-                    continue
                 if r["bucket"] != bucket:  # rows are sorted by bucket
                     known, bucket = {}, r["bucket"]
                 lengths, _, data = blocks.expand(r["payload"])
@@ -61,11 +61,15 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 payload = blocks.compress(blocks.narrow(np.asarray([len(x) // 4 for x in made], "i8")), blocks.narrow(ids))
                 yield blocks.record_batch([(blocks.WORDS, r["key"], r["block"], r["bucket"], payload)])
 
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs_, _, lens, codes = blocks.sequence(pdf.loc[pdf["kind"] == blocks.SEQUENCE, "payload"].iloc[0])
-        parts = [blocks.expand(p) for p in pdf[pdf["kind"] == blocks.WORDS].sort_values("bucket")["payload"]]
+    def assemble(placed: pd.DataFrame, encoded: pd.DataFrame) -> pd.DataFrame:
+        if len(placed) != 1:
+            raise ValueError("the documents differ from those read for their pre-tokens")
+        docs_, _, lens, codes = blocks.sequence(placed["payload"].iloc[0])
+        parts = [blocks.expand(p) for p in encoded.sort_values("bucket")["payload"]]
         sizes = np.concatenate([np.zeros(0, "i8"), *(n.astype("i8") for n, _ in parts)])
         ids = np.concatenate([np.zeros(0, "<u4"), *(i.astype("<u4") for _, i in parts)])
+        if len(sizes) != (int(codes.max()) + 1 if len(codes) else 0):
+            raise ValueError("the documents differ from those read for their pre-tokens")
         starts = np.cumsum(sizes) - sizes
         each = sizes[codes]
         ends = np.cumsum(each)
@@ -74,9 +78,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         cuts = zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)
         return pd.DataFrame({"doc_id": pd.array(docs_, "Int64"), "ids": [out[a:b].tobytes() for a, b in cuts]})
 
-    rows = blocks.cut_blocks(docs, pre_tokens)
-    dealt = rows.repartition("key").sortWithinPartitions("kind", "bucket").mapInArrow(encode_words, blocks.ROW)
-    return dealt.select("kind", "block", "bucket", "payload").groupBy("block").applyInPandas(assemble, "doc_id long, ids binary")
+    words = blocks.cut_blocks(docs, pre_tokens, kinds=(blocks.WORDS,))
+    dealt = words.repartition("key").sortWithinPartitions("bucket").mapInArrow(encode_words, blocks.ROW)
+    places = blocks.cut_blocks(docs, pre_tokens, kinds=(blocks.SEQUENCE,)).select("block", "payload")
+    # two exchanges, not one of a union: a task's number is part of the names of its blocks
+    pairs = places.groupBy("block").cogroup(dealt.select("block", "bucket", "payload").groupBy("block"))
+    return pairs.applyInPandas(assemble, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
