@@ -1,8 +1,9 @@
 """WARC 1.1 archives: a deduplicating writer and a salvaging reader.
 
-Archives are plain files written by Spark's text sink: the line separator is the pair of line ends that
-closes a record, so every store that Spark writes to will do, and a lost task is simply run again. The
-reader also takes archives of gzip members, one per record or one per file.
+Archives are written by Spark's text sink, so every store that Spark writes to will do, and a lost task is
+simply run again. Each record is a gzip member of its own, so damage costs the records that it meets and no
+others. In plain archives the sink's line separator is the pair of line ends that closes a record. The reader
+also takes members of several records.
 """
 
 from __future__ import annotations
@@ -90,10 +91,33 @@ def record_bytes(rows: DataFrame) -> Column:
     return F.concat(head, F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string")))
 
 
+def deflate(record: bytes) -> bytes:
+    """A gzip member without its last byte, which is zero: the sink's line separator.
+
+    The last byte is the highest of the length; a record of 16 MB or more is followed by a member of no bytes.
+    """
+    z = zlib.compressobj(wbits=31)
+    member = z.compress(record) + z.flush()
+    if member[-1]:
+        member += zlib.compress(b"", wbits=31)
+    return member[:-1]
+
+
 def write(pages: DataFrame, path: str, least: int = LEAST_BYTES, compression: str = "gzip") -> None:
-    """Write a record for every row of pages to archives below path: one gzip member each, or "none"."""
+    """Write a record for every row of pages to archives below path: a gzip member a record, or plain ("none")."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([deflate(r.as_py()) for r in batch.column(0)], pa.binary())], ["value"])
+
+    if compression not in ("gzip", "none"):
+        raise ValueError(f"compression {compression!r} is neither gzip nor none")
     rows = plan_records(pages, least)
-    rows.select(record_bytes(rows).alias("value")).write.option("lineSep", NL * 2).option("maxRecordsPerFile", RECORDS).option("compression", compression).text(path)
+    records, end = rows.select(record_bytes(rows).alias("value")), NL * 2
+    if compression == "gzip":
+        whole = records.select(F.concat("value", F.lit(end)).cast("binary").alias("value"))
+        records, end = whole.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value")), "\0"
+    records.write.option("lineSep", end).option("maxRecordsPerFile", RECORDS).option("compression", "none").text(path)
 
 
 @dataclass
@@ -167,6 +191,7 @@ MAGIC = b"\x1f\x8b\x08"
 
 
 CHUNK = 1 << 16
+CHECKSUM, CUT_OFF = "member fails its checksum", "member cut off"
 
 
 def inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
@@ -176,19 +201,48 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int | None, str]:
         while k < len(data) and not z.eof:
             parts.append(z.decompress(data[k : k + CHUNK]))
             k += CHUNK
-    except zlib.error:
-        return b"".join(parts), None, "member fails its check"
+    except zlib.error as e:
+        return b"".join(parts) + up_to_error(data, at, k), None, CHECKSUM if "check" in str(e) else "member is damaged"
     if not z.eof:
-        return b"".join(parts), None, "member cut off"
+        return b"".join(parts), None, CUT_OFF
     return b"".join(parts), min(k, len(data)) - len(z.unused_data), ""
 
 
+def up_to_error(data: bytes, at: int, k: int) -> bytes:
+    """What the member at an offset gives of the chunk at k, in which it breaks."""
+    z, parts = zlib.decompressobj(31), []
+    for j in range(at, k, CHUNK):
+        z.decompress(data[j : j + CHUNK])
+    try:
+        for j in range(k, min(k + CHUNK, len(data))):
+            parts.append(z.decompress(data[j : j + 1]))
+    except zlib.error:
+        pass
+    return b"".join(parts)
+
+
+def before_break(got: Salvage, reason: str) -> list[Record]:
+    """Records of a broken member that are sound.
+
+    A block is checked by its digest, headers by nothing: if the checksum fails but all records look whole, the
+    damage is in some header and none is kept. A revisit has no block: it is kept if the member was only cut
+    off, as its bytes are right as far as they go, or else if no gap comes before it and a record whose digest
+    holds comes after it.
+    """
+    if reason == CHECKSUM and not got.gaps:
+        return []
+    sound = {r.offset for r in got.records if r.headers.get("warc-payload-digest") and r.headers.get("warc-type") != "revisit"}
+    until = min([max(sound, default=-1), *(a for a, _, _ in got.gaps)])
+    kept = lambda r: r.offset in sound or r.headers.get("warc-type") == "revisit" and (reason == CUT_OFF or r.offset < until)
+    return [r for r in got.records if kept(r)]
+
+
 def salvage(data: bytes) -> Salvage:
     """All valid records of an archive, plain or of gzip members.
 
     Offsets are those of the file; in a member of several records, of the inflated data after the member's
-    start. A member that doesn't end or fails its checksum gives those records before the break whose digests
-    hold; the rest of it, up to the next magic bytes that begin a member, is a gap.
+    start. A member that doesn't end or fails its checksum gives its sound records (before_break); the rest of
+    it, up to the next magic bytes that begin a member, is a gap.
     """
     if not data.startswith(MAGIC) and (data.find(MAGIC) < 0 or START.search(data, 0, 1 << 16)):
         return salvage_plain(data)
@@ -196,7 +250,7 @@ def salvage(data: bytes) -> Salvage:
     while at < len(data):
         inner, end, reason = inflate(data, at) if data.startswith(MAGIC, at) else (b"", None, "no member")
         got = salvage_plain(inner)
-        records = got.records if end is not None else [r for r in got.records if r.headers.get("warc-payload-digest") and r.headers.get("warc-type") != "revisit"]
+        records = got.records if end is not None else before_break(got, reason)
         if end is None:
             if bad is None:
                 bad, why = at, reason

@@ -82,3 +82,42 @@ def test_records_before_a_break_are_kept():
     whole = gzip.compress(b"".join(make(k, t) for k, t in enumerate(texts)))
     got = warc.salvage(whole[: len(whole) // 2])
     assert ids(got) == [0, 1, 2] and got.gaps == [(0, len(whole) // 2, "member cut off")]
+
+
+def test_flipped_byte_in_a_written_archive_costs_one_record(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"page {i % 40} " + "abc " * (i % 40), "x", 1) for i in range(60)]
+    warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "out"))
+    files = {f: f.read_bytes() for f in (tmp_path / "out").glob("part-*")}
+    whole = {f: sorted(ids(warc.salvage(data))) for f, data in files.items()}
+    assert sorted(sum(whole.values(), [])) == list(range(60))
+    f, data = max(files.items(), key=lambda x: len(x[1]))
+    assert gzip.decompress(data).count(b"WARC/1.1\r\n") == len(whole[f])
+    hit = warc.salvage(data).records[len(whole[f]) // 2]
+    at = hit.offset + 40
+    got = warc.salvage(data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :])
+    assert sorted([*ids(got), int(hit.headers["warc-page-id"])]) == whole[f] and len(got.gaps) == 1
+
+
+def test_large_record_is_followed_by_an_empty_member():
+    record = make(1, "x" * (1 << 24))
+    data = warc.deflate(record) + b"\0" + warc.deflate(make(2, "y")) + b"\0"
+    assert gzip.decompress(data) == record + make(2, "y")
+    got = warc.salvage(data)
+    assert ids(got) == [1, 2] and got.gaps == []
+
+
+def revisit(k):
+    return f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Page-ID: {k}\r\nWARC-Payload-Digest: sha1:{'A' * 32}\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode()
+
+
+def test_broken_member_gives_revisits_and_the_start_of_its_chunk():
+    import random
+
+    rng = random.Random(2)
+    text = lambda: "".join(chr(rng.randint(33, 126)) for _ in range(9000))
+    parts = [make(0, text()), revisit(1), make(2, text()), revisit(3), make(4, text())]
+    whole = gzip.compress(b"".join(parts))
+    assert ids(warc.salvage(whole[:-2000])) == [0, 1, 2, 3]
+    bad = bytearray(whole)
+    bad[-4000] ^= 255
+    assert ids(warc.salvage(bytes(bad))) == [0, 1, 2]  # the second revisit may be damaged: nothing sound follows it
