@@ -1,10 +1,10 @@
 """A probabilistic suffix tree over words: variable-length contexts, smoothed, scored at their longest suffix.
 
 Counts go through the shuffle of distinct words (blocks.py): a block learns the corpus count of each of its
-words from the word's bucket. Contexts are words or runs of words that make up at least CONTEXT of all
-training tokens, and next words of a context are listed if the pair makes up at least LISTED of them. So there
-are at most 1/CONTEXT contexts of a length and 1/LISTED listed pairs of a length, at any corpus size: these,
-and no more, come to the driver and are sent to all tasks.
+words from the word's bucket. Pairs of a context and its next word, and contexts, travel in the same way: once
+a block, to buckets by a 64-bit hash, and what a bucket finds out travels back. Contexts and pairs count if they
+occur LEAST times, so the tree grows with the corpus; it is never in one place, and only the corpus totals come
+to the driver. Tree is the same model in memory, for small corpora.
 """
 
 from __future__ import annotations
@@ -19,13 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import materialize, table
+from .common import materialize, partitions, table
 
 #: Longest context in words.
 LENGTH = 3
-#: Least shares of all training tokens: of a context, and of a context with its next word.
-CONTEXT, LISTED = 4e-5, 4e-6
-#: Fewest occurrences, for small corpora.
+#: Fewest occurrences of a context, and of a context with its next word.
 LEAST = 3
 #: Taken from each listed count and left to the shorter context.
 DISCOUNT = 0.5
@@ -167,11 +165,10 @@ def train(rows: DataFrame, stats: list) -> Tree:
     """The tree from blocks and the buckets' statistics, one pass over the blocks for each context length."""
     total = distinct = 0
     end, numbers, counts = -1, [np.zeros(0, "i8")], [np.zeros(0, "i8")]
-    least = max(LEAST, LISTED * sum(int(blocks.expand(r["payload"])[0][0]) for r in stats))
     for r in stats:
         (t, v, e), often, c = blocks.expand(r["payload"])
         total, distinct = total + int(t), distinct + int(v)
-        much = c.astype("i8") >= least
+        much = c.astype("i8") >= LEAST
         numbers.append(often.astype("i8")[much] + (r["bucket"] << 32))
         counts.append(c.astype("i8")[much])
         if e >= 0:
@@ -180,11 +177,11 @@ def train(rows: DataFrame, stats: list) -> Tree:
     order = np.argsort(number)
     tree = Tree(total, distinct, number[order], count[order], -1)
     tree.end = int(lookup(tree.words, np.asarray([end]))[0])
-    often = np.flatnonzero(tree.word_count >= max(LEAST, CONTEXT * total)).astype("i8")
+    often = np.arange(len(tree.words), dtype="i8")
     level = Level(often, np.zeros(len(often), "i8"))
     for depth in range(1, LENGTH + 1):
         tree.levels.append(level)
-        found = count_pairs(rows, tree, depth, least)
+        found = count_pairs(rows, tree, depth)
         context, word = found["pair"].to_numpy() // tree.base, found["pair"].to_numpy() % tree.base
         n = found["n"].to_numpy()
         whole = word == tree.base - 1
@@ -193,12 +190,13 @@ def train(rows: DataFrame, stats: list) -> Tree:
         pairs, n = found["pair"].to_numpy()[~whole], n[~whole]
         order = np.argsort(pairs)
         level.pairs, level.pair_count = pairs[order], n[order]
-        next_keys = level.pairs[level.pair_count >= max(LEAST, CONTEXT * total)]
         judge(tree, depth)
-        if depth == LENGTH or not len(next_keys):
+        if depth == LENGTH or not len(level.pairs):
             break
         # a pair (context, next word) is a longer context read forwards; it is looked up by its own suffix
-        level = longer(tree, depth, next_keys)
+        level = longer(tree, depth, level.pairs)
+    for k in range(len(tree.levels) - 1, 0, -1):
+        tree.levels[k - 1].kept[tree.levels[k].keys[tree.levels[k].kept] // tree.base] = True
     return tree
 
 
@@ -223,7 +221,7 @@ def longer(tree: Tree, depth: int, pairs: np.ndarray) -> Level:
     return Level(keys, np.zeros(len(keys), "i8"))
 
 
-def count_pairs(rows: DataFrame, tree: Tree, depth: int, least: float) -> pd.DataFrame:
+def count_pairs(rows: DataFrame, tree: Tree, depth: int) -> pd.DataFrame:
     """(pair, n): training counts of contexts of a length with their next frequent word, and with any word (the last place)."""
     shared = rows.sparkSession.sparkContext.broadcast(tree)
 
@@ -240,15 +238,14 @@ def count_pairs(rows: DataFrame, tree: Tree, depth: int, least: float) -> pd.Dat
                 yield pa.RecordBatch.from_pydict({"pair": np.concatenate([key * t.base + t.base - 1, pair]).astype("i8"), "n": np.concatenate([n, m]).astype("i8")})
 
     found = rows.select("docs", "numbers").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    # at most 1/LISTED pairs and 1/CONTEXT contexts
-    return found.where((F.col("n") >= least) | (F.col("pair") % tree.base == tree.base - 1)).toPandas()
+    return found.where((F.col("n") >= LEAST) | (F.col("pair") % tree.base == tree.base - 1)).toPandas()
 
 
 def judge(tree: Tree, depth: int) -> None:
     """Keep contexts whose next words diverge from the shorter context's by more than listing them costs.
 
     The gain is the count times the divergence, in bits; the cost is half the logarithm of the corpus size for
-    each listed word. Suffixes of kept contexts are kept.
+    each listed word. Once all lengths are judged, suffixes of kept contexts are kept too.
     """
     level = tree.levels[depth - 1]
     context, word = level.pairs // tree.base, level.pairs % tree.base
@@ -268,11 +265,162 @@ def judge(tree: Tree, depth: int) -> None:
     gain = np.bincount(context, level.pair_count * np.log2(p / q), len(level.keys))
     cost = np.bincount(context, minlength=len(level.keys)) * 0.5 * np.log2(max(2, tree.total))
     level.kept = (gain > cost) & (level.count > 0)
-    if depth > 1:
-        suffix = level.keys[level.kept] // tree.base
-        for k in range(depth - 2, -1, -1):
-            tree.levels[k].kept[suffix] = True
-            suffix = tree.levels[k].keys[suffix] // tree.base
+
+
+@dataclass
+class Block:
+    """A block's tokens with what is known so far of their pairs and contexts of each length, in step order."""
+
+    docs: bytes
+    numbers: bytes
+    known: list[np.ndarray]
+
+    def __post_init__(self):
+        self.ids, on, self.lens, codes = blocks.sequence(self.docs)
+        count, number = blocks.expand(self.numbers)
+        self.on = np.repeat(on, self.lens)
+        self.place = np.arange(len(codes)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
+        self.count, self.number = count.astype("i8")[codes], number.astype("u8")[codes]
+        known = iter(self.known)
+        #: Of each length, 0 for the word alone: counts of the pair that a token ends, 0 if below LEAST.
+        self.pair = [np.where(self.count >= LEAST, self.count, 0)]
+        #: Of each context: count and number of its listed pairs, whether it is kept.
+        self.listed, self.words, self.kept = [], [], []
+        for step in range(1, LENGTH + 2):
+            for add in ([self.pair] if step <= LENGTH else []) + ([self.listed, self.words, self.kept] if step > 1 else []):
+                found = next(known, None)
+                if found is not None:
+                    add.append(found.astype("i8"))
+        for k, more in enumerate(known):  # by their longer contexts
+            self.kept[k] = self.kept[k] | more.astype("i8")
+
+    def before(self, x: np.ndarray, k: int, start) -> np.ndarray:
+        """x of the k-th token before each; a document has start before its first token, and garbage before that."""
+        back = np.full(len(x), start, x.dtype)
+        back[k:] = x[:-k] if k <= len(x) else []
+        return np.where(self.place >= k, back, np.asarray(start, x.dtype))
+
+    def context_count(self, depth: int) -> np.ndarray:
+        """Of each token's context: as often as the pair that it is itself; 0 if there is none."""
+        return self.before(self.pair[depth - 1], 1, self.pair[0][-1] if depth == 1 else 0)
+
+    def context_key(self, depth: int) -> np.ndarray:
+        key = np.zeros(len(self.number), "u8")
+        for k in range(1, depth + 1):
+            key = mix(key + self.before(self.number, k, self.number[-1]) + np.uint64(k * int(STEP) % 2**64))
+        return key
+
+    def probabilities(self, base: np.ndarray, depth: int) -> np.ndarray:
+        """Of each token by its kept contexts up to a length."""
+        p = base
+        for n, pair, listed, words, kept in zip(map(self.context_count, range(1, depth + 1)), self.pair[1:], self.listed, self.words, self.kept, strict=False):
+            on = (n > 0) & (kept > 0)
+            n = np.maximum(n, 1)
+            p = np.where(on, np.where(pair > 0, pair - DISCOUNT, 0) / n + (1 - (listed - DISCOUNT * words) / n) * p, p)
+        return p
+
+    def asked(self, step: int, base: np.ndarray) -> list[tuple]:
+        """(tokens, keys of them, sums over tokens of a key...) of a step: pairs, then contexts one shorter; at last, flags."""
+        out = []
+        if step <= LENGTH:
+            at = np.flatnonzero((self.context_count(step) > 0) & (self.pair[step - 1] > 0))
+            out.append((at, mix(self.context_key(step) ^ mix(self.number + NEXT))[at], self.on[at].astype("f8")))
+        depth = step - 1
+        if 1 <= depth <= LENGTH:
+            n, pair = self.context_count(depth), self.pair[depth]
+            at = np.flatnonzero(n > 0)
+            m = pair[at]
+            listed = self.on[at] & (m > 0)
+            gain = np.where(listed, np.log2(np.maximum(m, 1) / (n[at] * self.probabilities(base, depth - 1)[at])), 0)
+            out.append((at, self.context_key(depth)[at], listed.astype("f8"), listed / np.maximum(m, 1), gain))
+        if step == LENGTH + 2:
+            for depth in range(1, LENGTH):
+                at = np.flatnonzero((self.context_count(depth) > 0) & (self.kept[depth - 1] == 0))
+                longer_ = np.any(self.kept[depth:], axis=0)
+                out.append((at, self.context_key(depth)[at], longer_[at].astype("f8")))
+        return out
+
+
+STEP, NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads them."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def planes(keys: np.ndarray) -> bytes:
+    """Sorted keys as bytes that compress: their differences, highest bytes of all first."""
+    return np.diff(keys, prepend=np.uint64(0)).astype(">u8").view("u1").reshape(-1, 8).T.tobytes()
+
+
+def sorted_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, "u1").reshape(8, -1).T).view(">u8").ravel().astype("u8"), dtype="u8")
+
+
+STATE = "block string, bucket int, payload binary"
+
+
+def learn(state: DataFrame, step: int, total: int, distinct: int) -> DataFrame:
+    """Blocks (rows of STATE) with what the buckets found out about their pairs and contexts in a step."""
+    n_buckets = 2 * partitions(state.sparkSession)
+    base = lambda b: (b.count + 0.5) / (total + 0.5 * (distinct + 1))
+
+    def opened_(payload: bytes) -> Block:
+        docs, numbers, *known = blocks.expand(payload)
+        return Block(docs, numbers, known)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, payload in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                b = opened_(payload.as_py())
+                parts: list[list] = [[] for _ in range(n_buckets)]
+                for _, keys, *sums in b.asked(step, base(b)):
+                    own, at = np.unique(keys, return_inverse=True)
+                    sums = [np.bincount(at, x, len(own)) for x in sums]
+                    ends = np.searchsorted((own >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32), np.arange(n_buckets + 1))
+                    for k, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
+                        parts[k] += [planes(own[i:j]), blocks.narrow(sums[0][i:j].astype("i8")), *(x[i:j].astype("<f4") for x in sums[1:])]
+                rows = [blocks.compress(*x) for x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n_buckets), pa.array(range(n_buckets), pa.int32()), pa.array(rows, pa.binary())], ["block", "bucket", "payload"])
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = [blocks.expand(x) for x in pdf["payload"]]
+        out: list[list] = [[] for _ in held]
+        at, kinds = 0, ([1] if step <= LENGTH else []) + ([3] if 1 < step <= LENGTH + 1 else []) + ([1] * (LENGTH - 1) if step > LENGTH + 1 else [])
+        for n_sums in kinds:
+            keys = [sorted_keys(h[at]) for h in held]
+            ends = np.cumsum([len(k) for k in keys])[:-1]
+            own, place = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = [np.bincount(place, np.concatenate([h[at + k] for h in held]).astype("f8"), len(own)) for k in range(1, n_sums + 1)]
+            if n_sums == 3:
+                words = np.round(sums[1])
+                found = [sums[0], words, (sums[2] > words * 0.5 * np.log2(max(2, total))).astype("f8")]
+            else:
+                found = [np.where(sums[0] >= LEAST, sums[0], 0) if step <= LENGTH else (sums[0] > 0).astype("f8")]
+            for x in found:
+                for o, part in zip(out, np.split(x.astype("i8")[place], ends), strict=True):
+                    o.append(blocks.narrow(part))
+            at += 1 + n_sums
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "payload": [blocks.compress(*o) for o in out]})
+
+    def put(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bucket")  # the block itself, then keys in order
+        b = opened_(pdf["payload"].iloc[0])
+        found = zip(*map(blocks.expand, pdf["payload"].iloc[1:]), strict=True)
+        made = []
+        for tokens, keys, *sums in b.asked(step, base(b)):
+            at = np.unique(keys, return_inverse=True)[1]
+            for _ in range(len(sums)):
+                x = np.zeros(len(b.count), "i8")
+                x[tokens] = np.concatenate([y.astype("i8") for y in next(found)])[at]
+                made.append(blocks.narrow(x))
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bucket": [-1], "payload": [blocks.compress(b.docs, b.numbers, *b.known, *made)]})
+
+    answered = state.mapInArrow(ask, STATE).groupBy("bucket").applyInPandas(answer, STATE)
+    return materialize(state.union(answered).groupBy("block").applyInPandas(put, STATE), f"step{step}")
 
 
 def score(docs: DataFrame, training) -> DataFrame:
@@ -283,49 +431,37 @@ def score(docs: DataFrame, training) -> DataFrame:
     the training words and one class of unknown words, after every history.
     """
     shuffled = word_shuffle(docs, training)
-    rows = assembled(shuffled)
-    stats = shuffled.where(F.col("kind") == blocks.STATS).select("bucket", "payload")
-    total = stats.mapInPandas(totals, "n long").agg(F.sum("n")).first()[0] or 0
-    tree = train(rows, stats.mapInPandas(frequent(max(LEAST, LISTED * total)), "bucket long, payload binary").collect())
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    stats = shuffled.where(F.col("kind") == blocks.STATS).select("payload")
+    total, distinct = (int(x or 0) for x in stats.mapInPandas(totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first())
+    joined = F.udf(lambda docs, numbers: blocks.compress(bytes(docs), bytes(numbers)), "binary")
+    state = assembled(shuffled).select("block", F.lit(-1).alias("bucket"), joined("docs", "numbers").alias("payload"))
+    for step in range(1, LENGTH + 3):
+        state = learn(state, step, total, distinct)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
         for batch in batches:
-            for held, numbers in zip(batch.column(0), batch.column(1), strict=True):
-                ids, _, lens, place, count, word = opened(t, held.as_py(), numbers.as_py())
-                starts = np.cumsum(lens) - lens
+            for payload in batch.column(0):
+                held, numbers, *known = blocks.expand(payload.as_py())
+                b = Block(held, numbers, known)
+                base = (b.count + 0.5) / (total + 0.5 * (distinct + 1))
+                starts = np.cumsum(b.lens) - b.lens
                 total_ = lambda x: np.add.reduceat(x, starts) if len(starts) else x  # noqa: B023, E731  a text has a token at least
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()), pa.array(lens, pa.int64()), pa.array(total_((count > 0).astype("i8")), pa.int64()),
-                        pa.array([t.total] * len(ids), pa.int64()), pa.array(total_(np.log10(t.base_probability(count.astype("f8")))), pa.float64()),
-                        pa.array(total_(np.log10(t.probabilities(word, place, count))), pa.float64()),
+                        pa.array(b.ids, pa.int64()), pa.array(b.lens, pa.int64()), pa.array(total_((b.count > 0).astype("i8")), pa.int64()),
+                        pa.array([total] * len(b.ids), pa.int64()), pa.array(total_(np.log10(base)), pa.float64()),
+                        pa.array(total_(np.log10(b.probabilities(base, LENGTH))), pa.float64()),
                     ],
                     ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return rows.select("docs", "numbers").mapInArrow(scored, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return state.select("payload").mapInArrow(scored, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"n": [int(blocks.expand(p)[0][0]) for p in pdf["payload"]]})
-
-
-def frequent(least: float):
-    """Statistics with only the words that occur often enough: at most 1/LISTED of them over all buckets."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for bucket, payload in zip(pdf["bucket"], pdf["payload"], strict=True):
-                head, often, counts = blocks.expand(payload)
-                much = counts >= least
-                out.append((int(bucket), blocks.compress(head, often[much], counts[much])))
-            yield pd.DataFrame(out, columns=["bucket", "payload"])
-
-    return cut
+        heads = [blocks.expand(p)[0] for p in pdf["payload"]]
+        yield pd.DataFrame({"n": [int(h[0]) for h in heads], "v": [int(h[1]) for h in heads]})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,25 @@ def test_probabilities_sum_to_one(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert suffixtree.score(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
+
+
+def test_every_context_of_least_occurrences_is_learned_at_any_size(spark, monkeypatch):
+    """One pair of words among very many others: a share of all tokens would lose it. The shuffled tree scores as the one in memory."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 4000)
+    rng = random.Random(7)
+    filler = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(200)) for _ in range(1500)]
+    rows = [(i, t, 1, "x", 2) for i, t in enumerate([*filler, *texts(200), *["zig zag zog"] * 12, *["p x y q", "r x y s"] * 60, "", None])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    training = F.col("doc_id") % 7 != 1
+    got = {r.doc_id: r for r in suffixtree.score(df, training).collect()}
+    shuffled = suffixtree.word_shuffle(df, training)
+    held = suffixtree.assembled(shuffled)
+    tree = suffixtree.train(held, shuffled.where(F.col("kind") == blocks.STATS).select("bucket", "payload").collect())
+    assert tree.levels[2].kept.any() and not tree.levels[0].kept.all()
+    for r in held.collect():
+        ids, _, lens, place, count, word = suffixtree.opened(tree, r.docs, r.numbers)
+        p = np.log10(tree.probabilities(word, place, count))
+        for doc, part in zip(ids, np.split(p, np.cumsum(lens)[:-1]), strict=True):
+            assert math.isclose(got[doc].score, part.sum(), rel_tol=1e-9)
+    zig = got[len(filler) + 200]
+    assert zig.score > 0.5 * zig.base_score  # 12 of 300,000 tokens
