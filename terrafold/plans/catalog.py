@@ -495,6 +495,59 @@ def feature_string(f: Features) -> DataFrame:
     return f.df.where("id < 50").select("id", tags.feature_string().alias("name"))
 
 
+# operators over all rows of their tables; the queries of the same names without _whole take a part of them
+
+_ALL_WAYS = "way_id < 1000000"
+
+
+@query("way_nodes_whole", f"SELECT way_id, seq, node_id AS id, (node_id - {PARTS}) % 3 <> 0 AS anonymous FROM way_nodes WHERE {_ALL_WAYS}")
+def way_nodes_whole(f: Features) -> DataFrame:
+    return f.ways("w").way_nodes().df.select("way_id", "seq", "id", F.col("typed_id").isNull().alias("anonymous"))
+
+
+@query("members_whole", "SELECT rel_id, seq, m_type AS type, m_id AS id, role FROM members")
+def members_whole(f: Features) -> DataFrame:
+    return f.relations().members().df.select("rel_id", "seq", F.col("type").cast("int").alias("type"), "id", "role")
+
+
+@query("parents_ways_whole", f"SELECT DISTINCT node_id AS child, way_id AS id FROM way_nodes JOIN (SELECT id AS node FROM features WHERE type = 0) ON node = node_id WHERE {_ALL_WAYS}")
+def parents_ways_whole(f: Features) -> DataFrame:
+    return related.parent_ways(f.lib, f.nodes().df).select(F.expr("child div 4").alias("child"), "id")
+
+
+@query("parents_relations_whole", "SELECT m_id AS child, rel_id AS id FROM members WHERE m_type = 0")
+def parents_relations_whole(f: Features) -> DataFrame:
+    return f.nodes().parents("r[type=collection],a").df.select(F.expr("child div 4").alias("child"), "id")
+
+
+@query("nodes_of_set_whole", f"SELECT DISTINCT id FROM features JOIN way_nodes ON type = 0 AND id = node_id WHERE {_ALL_WAYS} AND " + o.text("size", "ends_with(@, ' mm')"))
+def nodes_of_set_whole(f: Features) -> DataFrame:
+    return f("n[size='* mm']").nodes_of(f.ways("w")).df.select("id")
+
+
+@query("parents_of_set_whole", "SELECT id FROM features WHERE type = 2 AND id IN (SELECT rel_id FROM members JOIN (SELECT id AS node FROM features WHERE type = 0 AND " + o.text("mktsegment", "@ = 'BUILDING'") + ") ON m_type = 0 AND m_id = node)")
+def parents_of_set_whole(f: Features) -> DataFrame:
+    return f.relations().parents_of(f("n[mktsegment=BUILDING]")).df.select("id")
+
+
+@query("connected_to_whole", "SELECT DISTINCT way_id AS id FROM way_nodes WHERE way_id IN (SELECT id FROM ways WHERE NOT " + o.text("status", "@ = 'F'") + ") AND (x, y) IN (SELECT (x, y) FROM way_nodes WHERE way_id IN (SELECT id FROM ways WHERE " + o.text("status", "@ = 'F'") + "))")
+def connected_to_whole(f: Features) -> DataFrame:
+    return f.ways("w").connected_to(f.ways("w[status=F]")).df.select("id")
+
+
+@query("predicate_filter_whole", "SELECT id FROM features WHERE type = 0 AND length(coalesce(tags['name'], '')) % 2 = 0")
+def predicate_filter_whole(f: Features) -> DataFrame:
+    def even(pdf: pd.DataFrame) -> pd.Series:
+        return pd.Series([len(dict(t or ()).get("name", "")) % 2 == 0 for t in pdf["tags"]], dtype=bool)
+
+    return f.nodes().filter(even).df.select("id")
+
+
+@query("feature_string_whole", "SELECT id, ['node', 'way', 'relation'][type + 1] || '/' || id AS name FROM features")
+def feature_string_whole(f: Features) -> DataFrame:
+    return f.df.select("id", tags.feature_string().alias("name"))
+
+
 # output
 
 
