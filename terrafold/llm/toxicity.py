@@ -2,8 +2,8 @@
 
 A word's embedding is the sum of hashed rows: of the word and of its first four, five and six letters, so
 unseen endings of known stems are known. Filters of several widths run over the words; the greatest
-response of each filter over the whole text feeds a logistic unit. A cut is calibrated for each language,
-which is guessed from the text's own letters.
+response of each filter over the whole text feeds a logistic unit. Filters are learned from a bounded sample;
+a cut is calibrated for each language, which is guessed from the text's own letters, on all other labelled rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ ROWS, SIZE, FILTERS, WIDTHS = 1 << 20, 8, 8, (1, 2, 3)
 EPOCHS, RATE, SEED = 4, 0.1, 17
 #: Words whose responses a worker keeps. Memory only.
 CACHE = 150_000
+#: Logits of a unit that histograms tell apart, and the greatest logit they hold.
+BINS, REACH = 100, 40
 #: A false alarm counts as so many misses where cuts are calibrated: most documents are clean.
 ALARM = 9.0
 
@@ -118,10 +120,15 @@ class Scorer:
         return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
 
 
+def spared(rng: np.random.Generator, n: int) -> np.ndarray:
+    """Which of n texts the filters aren't learned from."""
+    return rng.random(n) < 0.2
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
-    """Learn from whole texts; a fifth of them only calibrates the cuts. Without both labels nothing is toxic."""
+    """Learn from whole texts; a fifth of them only calibrates first cuts. Without both labels nothing is toxic."""
     rng = np.random.default_rng(SEED)
-    fold = rng.random(len(texts)) < 0.2
+    fold = spared(rng, len(texts))
     y = np.asarray(labels)
     fit = np.flatnonzero(~fold)
     if len(set(y[fit])) < 2:
@@ -216,13 +223,14 @@ def train(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def cut(z: np.ndarray, y: np.ndarray) -> float:
-    """Middle of the gap with the least cost between sorted logits."""
-    order = np.argsort(z)
-    z, y = z[order], y[order]
-    balance = max(1.0, (y == 0).sum()) / max(1.0, (y == 1).sum())
-    missed = np.concatenate([[0], np.cumsum(y == 1)]) * balance
-    alarms = np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]]) * ALARM
+def cut(z: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> float:
+    """Middle of the gap with the least cost between sorted logits, of n rows each."""
+    order = np.argsort(z, kind="stable")
+    n = np.ones(len(z), "i8") if n is None else n
+    z, clean, toxic = z[order], np.where(y == 0, n, 0)[order], np.where(y == 1, n, 0)[order]
+    balance = max(1.0, clean.sum()) / max(1.0, toxic.sum())
+    missed = np.concatenate([[0], np.cumsum(toxic)]) * balance
+    alarms = np.concatenate([np.cumsum(clean[::-1])[::-1], [0]]) * ALARM
     cost = missed + alarms
     edges = np.concatenate([[z[0] - 2], (z[1:] + z[:-1]) / 2, [z[-1] + 2]])
     best = np.flatnonzero(cost == cost.min())
@@ -233,7 +241,8 @@ def cut(z: np.ndarray, y: np.ndarray) -> float:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Model from the labelled documents whose crc32(doc_id as text) mod 5 is not 0.
 
-    Only a bounded sample of them, SAMPLE documents of each label by the order of a hash of doc_id, is read.
+    The filters are learned from a bounded sample of them, SAMPLE documents of each label by the order of a hash
+    of doc_id, and the cuts from all the others, where both labels are among them.
     Rows with a null label or text take no part; a doc_id labelled twice counts by its higher label.
     """
     train_ids = (
@@ -247,7 +256,39 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(ids, "doc_id")
     found = {r["doc_id"]: r for r in rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()}
     order = sorted(found)
-    return train([found[i]["text"] for i in order], [found[i]["toxic"] for i in order])
+    model = train([found[i]["text"] for i in order], [found[i]["toxic"] for i in order])
+    if model.out is not None:
+        fitted = [(i,) for i, out in zip(order, spared(np.random.default_rng(SEED), len(order)), strict=True) if not out]
+        calibrate(model, histogram(docs, train_ids, docs.sparkSession.createDataFrame(fitted, "doc_id long"), model))
+    return model
+
+
+def histogram(docs: DataFrame, train_ids: DataFrame, fitted: DataFrame, model: Model) -> pd.DataFrame:
+    """(lang, toxic, bin, n): logits of all labelled training rows of docs but the fitted ones. Bounded by the bins."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(0)]
+            made = [int(np.floor(np.clip(scorer.logit(t), -REACH, REACH) * BINS)) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(map(language, texts), pa.string()), batch.column(1), pa.array(made, pa.int32())], ["lang", "toxic", "bin"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
+    rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).join(train_ids.hint("merge"), "doc_id").join(F.broadcast(fitted), "doc_id", "left_anti")
+    return rows.select("text", "toxic").mapInArrow(bins, "lang string, toxic int, bin int").groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")).toPandas()
+
+
+def calibrate(model: Model, found: pd.DataFrame) -> None:
+    """Cuts for all, and for each language with enough of both labels; without both labels they stay as they are."""
+    z, y, n, langs = (found["bin"].to_numpy() + 0.5) / BINS, found["toxic"].to_numpy(), found["n"].to_numpy(), found["lang"].to_numpy()
+    if len(set(y)) < 2:
+        return
+    model.cuts = {"": cut(z, y, n)}
+    for lang in sorted(set(langs)):
+        mine = langs == lang
+        if min(n[mine & (y == k)].sum() for k in (0, 1)) >= 10:
+            model.cuts[str(lang)] = cut(z[mine], y[mine], n[mine])
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:

@@ -37,3 +37,29 @@ def test_no_labels_and_no_rows(spark):
     assert [r.predicted for r in toxicity.classify(df, toxicity.learn(df, none)).collect()] == [0]
     empty = df.limit(0)
     assert toxicity.classify(empty, toxicity.learn(empty, none)).count() == 0
+
+
+def test_cuts_cover_all_labelled_training_rows(spark, monkeypatch):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(toxicity, "SAMPLE", 60)
+    seen = []
+    monkeypatch.setattr(toxicity, "calibrate", lambda m, h, f=toxicity.calibrate: (seen.append(h), f(m, h)))
+    rows = list(made(900, 3))
+    docs = spark.createDataFrame([(i, t, "en", 0.0, 1) for i, t, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    n_train = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in rows)
+    n_fit = int((~toxicity.spared(toxicity.np.random.default_rng(toxicity.SEED), 120)).sum())
+    assert seen[0]["n"].sum() == n_train - n_fit
+    got = toxicity.classify(docs, model).where(F.col("held_out")).collect()
+    truth = {i: y for i, _, y in rows}
+    assert sum(r.predicted for r in got if not truth[r.doc_id]) <= 0.05 * len(got)
+
+
+def test_cut_counts_rows_of_a_bin():
+    np = toxicity.np
+    z, y, n = np.asarray([-1.0, 0.5, 0.5, 2.0]), np.asarray([0, 0, 1, 1]), np.asarray([900, 1, 5, 20])
+    assert toxicity.cut(z, y, n) == toxicity.cut(np.repeat(z, n), np.repeat(y, n))
