@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.library import Library
-
-#: Relations nested deeper than this are cut off; a relation is visited once anyway.
-DEEPEST = 32
+from ..sources.library import Library, nested
 
 
 def vertices(lib: Library, ways: DataFrame) -> DataFrame:
@@ -68,21 +65,11 @@ def parents(lib: Library, children: DataFrame) -> DataFrame:
 def closure(lib: Library, relations: DataFrame) -> DataFrame:
     """(root, m_typed_id, m_type, m_id) of all members of relations, also of relations in them, each once a root.
 
-    Cycles end as a relation is expanded once a root. Levels of nesting are joins; only relations among
-    members go round again.
+    Cycles end as a relation is expanded once a root.
     """
     roots = relations.where("type = 2").select(F.col("id").alias("root"), F.col("id").alias("rel_id")).distinct()
     direct = lib.members.select("rel_id", "m_typed_id", "m_type", "m_id")
-    links = direct.where("m_type = 2").select("rel_id", F.col("m_id").alias("sub"))
-    reached, front = roots, roots
-    for _ in range(DEEPEST):
-        nxt = front.join(links, "rel_id").select("root", F.col("sub").alias("rel_id")).distinct().join(reached, ["root", "rel_id"], "left_anti")
-        nxt = nxt.persist()
-        if nxt.isEmpty():
-            nxt.unpersist()
-            break
-        reached, front = reached.union(nxt), nxt
-    return reached.join(direct, "rel_id").select("root", "m_typed_id", "m_type", "m_id").distinct()
+    return nested(roots, lib.members).join(direct, "rel_id").select("root", "m_typed_id", "m_type", "m_id").distinct()
 
 
 def connected(lib: Library, features: DataFrame, to: DataFrame) -> DataFrame:

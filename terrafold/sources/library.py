@@ -103,13 +103,25 @@ def area_rule(tags: Column, closed: Column) -> Column:
     return F.coalesce(closed & (F.coalesce(area == "yes", F.lit(False)) | (keyed & (F.coalesce(area, F.lit("")) != "no"))), F.lit(False))
 
 
+def nested(roots: DataFrame, members: DataFrame) -> DataFrame:
+    """(root, rel_id) of roots and all relations in them, however deep: a join a level, until it finds no new pair."""
+    links = members.where("m_type = 2").select("rel_id", F.col("m_id").alias("sub"))
+    reached, front = roots, roots
+    while True:
+        nxt = front.join(links, "rel_id").select("root", F.col("sub").alias("rel_id")).distinct().join(reached, ["root", "rel_id"], "left_anti")
+        nxt = nxt.localCheckpoint()  # without it plans double with each level
+        if nxt.isEmpty():
+            return reached
+        reached, front = reached.union(nxt), nxt
+
+
 def derive(nodes: DataFrame, ways: DataFrame, relations: DataFrame, way_nodes: DataFrame, members: DataFrame, indexed=INDEXED) -> Library:
     """A library from nodes (id, x, y, tags), ways (id, tags[, is_area]), relations (id, tags[, is_area]),
     way_nodes (way_id, seq, node_id, x, y) and members (rel_id, seq, m_type, m_id, role).
 
     Untagged nodes that are no members are anonymous: vertices only. Areas follow area_rule(), and relations
     of type multipolygon or boundary; an is_area column overrides. A relation's bounds are those of its
-    members, of sub-relations two levels deep.
+    members, of sub-relations at any depth.
     """
     members = members.select(
         "rel_id", F.col("seq").cast("int").alias("seq"), F.col("m_type").cast("tinyint").alias("m_type"), "m_id",
@@ -138,10 +150,9 @@ def derive(nodes: DataFrame, ways: DataFrame, relations: DataFrame, way_nodes: D
                  false(F.col("is_member")).alias("is_member"), "is_waynode", *box, "tags")
     union = [fn(c).alias(c) for fn, c in zip((F.min, F.min, F.max, F.max), box, strict=True)]
     known = n.select("typed_id", *box).union(w.select("typed_id", *box))
-    extents = known
-    for _ in range(3):
-        reached = members.join(extents.withColumnRenamed("typed_id", "m_typed_id"), "m_typed_id").groupBy("rel_id").agg(*union)
-        extents = known.union(reached.select(typed_id(F.lit(2), F.col("rel_id")).alias("typed_id"), *box))
+    own = members.join(known.withColumnRenamed("typed_id", "m_typed_id"), "m_typed_id").groupBy("rel_id").agg(*union)
+    within = nested(relations.select(F.col("id").alias("root"), F.col("id").alias("rel_id")).distinct(), members).join(own, "rel_id")
+    extents = within.groupBy("root").agg(*union).select(typed_id(F.lit(2), F.col("root")).alias("typed_id"), *box)
     kind = F.coalesce(F.col("tags")["type"].isin("multipolygon", "boundary"), F.lit(False))
     r = flat(relations, 2).join(extents, "typed_id", "left").join(is_member, "typed_id", "left").select(
         "type", "id", "typed_id", (F.col("is_area") if "is_area" in relations.columns else kind).alias("is_area"), false(F.col("is_member")).alias("is_member"),

@@ -116,3 +116,19 @@ def test_xml_import(spark, tmp_path):
     assert set(got) == {(0, 1), (1, 7), (2, 9)} and got[0, 1].tags["name"] == "A & B"
     assert got[1, 7].is_area and got[1, 7].is_member and got[2, 9].is_area and got[2, 9].max_x == got[1, 7].max_x
     assert [r.node_id for r in lib.way_nodes.orderBy("seq").collect()] == [1, 2, 3, 1]
+
+
+def test_relations_nest_at_any_depth(spark):
+    from terrafold.operators.related import closure
+    from terrafold.sources.library import derive
+
+    deep = 36
+    nodes = spark.createDataFrame([(1, 7, 9, {"a": "b"})], "id long, x int, y int, tags map<string,string>")
+    ways = spark.createDataFrame([], "id long, tags map<string,string>")
+    relations = spark.createDataFrame([(k, {"type": "network"}) for k in range(deep)], "id long, tags map<string,string>")
+    rows = [(k, 0, 2, k + 1, "") for k in range(deep - 1)] + [(deep - 1, 0, 0, 1, "")]
+    members = spark.createDataFrame(rows, "rel_id long, seq int, m_type int, m_id long, role string")
+    lib = derive(nodes, ways, relations, spark.createDataFrame([], "way_id long, seq int, node_id long, x int, y int"), members)
+    assert {(r.min_x, r.max_y) for r in lib.features.where("type = 2").select("min_x", "max_y").collect()} == {(7, 9)}
+    found = closure(lib, spark.createDataFrame([(2, 0)], "type int, id long")).where("m_type = 0").collect()
+    assert [r.m_id for r in found] == [1]
