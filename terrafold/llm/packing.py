@@ -8,6 +8,7 @@ multiplicities; every planning step adds at most one pattern, so the plan is bou
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,30 +25,82 @@ from pyspark.sql.window import Window
 from .common import materialize, partitions, table
 
 SIZE = 2048
-#: Words whose ids a worker keeps, over its tasks; beyond, it starts anew. Memory only, results are the same.
-CACHE = 1_000_000
-#: Texts whose new words are encoded together, by bytes.
-TOGETHER = 1 << 20
+#: Bytes of words and their ids that a task keeps, about. Memory only, results are the same.
+CACHE_BYTES = 64 << 20
+#: Text bytes whose words are looked up together, about.
+TOGETHER = 4 << 20
 #: A lone sign at a word's end is a token of its own, as it is after white space.
-SIGN = re.compile(rb"(?<=[a-z0-9])([.,;:!?])(?=[ \t\n])")
-#: Most exchanges that the local search makes. Each serves a whole group of equal bins.
-STEPS = 20_000
+SIGN = r"([a-z0-9])([.,;:!?])([ \t\n])"
 
 Pattern = tuple[tuple[int, int], ...]
 
 
+class Letters:
+    """The vocabulary's merges for words of lower-case Latin-1 letters, as byte ranks of another library.
+
+    That library merges single bytes, so each of the vocabulary's symbols (a byte of UTF-8, within a word or at
+    its end) is given a code below 128. Ids are the ranks; a token with a word's end closes the word.
+    """
+
+    WORD = re.compile("[a-zß-öø-ÿ]+")
+    #: Codes: 0 the lead byte of the letters beyond ASCII, then their second bytes; ENDS hold a word's last symbol.
+    ENDS = (0x22, 0x5C)
+
+    def __init__(self, model: dict):
+        import tiktoken
+
+        merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        ids = [model["vocab"]["".join(x)] for x in merges]
+        self.usable = model["end_of_word_suffix"] == "</w>" and not model["dropout"] and not model["ignore_merges"] and ids == sorted(ids)
+        if not self.usable:
+            return
+        seconds = range(0x9F, 0xC0)
+        ends = [x for x in range(0x22, 0x5D) if not 0x41 <= x <= 0x5A]
+        code = {chr(0xC3): 0, **{chr(c): c for c in range(0x61, 0x7B)}}
+        code |= {chr(c) + "</w>": c - 0x20 for c in range(0x61, 0x7B)}
+        shown = lambda b: chr(b) if b not in (*range(0x7F, 0xA1), 0xAD) else chr(0x100 + (b - 0x7F + 33 if b < 0xA1 else 67))  # noqa: E731  byte-level letters of bytes
+        code |= {shown(b): 1 + k for k, b in enumerate(seconds)} | {shown(b) + "</w>": ends[k] for k, b in enumerate(seconds)}
+        self.last = {chr(c): chr(c - 0x20) for c in range(0x61, 0x7B)} | {chr(0xC0 + b - 0x80): "\0" + chr(ends[k]) for k, b in enumerate(seconds)}
+        self.within = bytes(0 if b == 0xC3 else 1 + b - 0x9F if b in seconds else b for b in range(256))
+        ranks, self.closes = {}, np.zeros(max(model["vocab"].values()) + 1, bool)
+        for token, k in model["vocab"].items():
+            body = token.removesuffix("</w>")
+            self.closes[k] = body != token
+            symbols = [*body[:-1], body[-1:] + token[len(body) :]]
+            if all(x in code for x in symbols):
+                ranks[bytes(code[x] for x in symbols)] = k
+        self.usable = all(bytes([c]) in ranks for c in code.values())
+        if self.usable:
+            self.bpe = tiktoken.Encoding("letters", pat_str=r"[^\x22-\x5c]*[\x22-\x5c]", mergeable_ranks=ranks, special_tokens={})
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        last = self.last
+        coded = "".join([w[:-1] + last[w[-1]] for w in words]).encode().translate(self.within).decode()
+        ids = np.asarray(self.bpe.encode_ordinary(coded), "<u4")
+        data, cuts = ids.tobytes(), (4 * np.flatnonzero(self.closes[ids]) + 4).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+
 class WordIds:
     """Ids of texts under a vocabulary that drops white space: a text's ids are its words' ids in turn.
 
-    New words are encoded together, as one text with a mark between them whose single id no word has.
+    New words are encoded together: those of plain letters by Letters, others by the vocabulary's own library, as
+    one text with a mark between them whose single id no word has. Texts that hold a special token of the
+    vocabulary are encoded as they are, as it may stand inside a word. Words met again stay longer than others:
+    each of the two tables holds CACHE_BYTES / 2 and then starts anew.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.letters = Letters(json.loads(self.tokenizer.to_str())["model"])
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.often: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self.room = [CACHE_BYTES // 2, CACHE_BYTES // 2]
         self.mark, self.mark_id = self.find_mark()
 
     def ids(self, text: str) -> list[int]:
@@ -60,52 +114,81 @@ class WordIds:
                 return c, found[0]
         raise ValueError("the vocabulary has no symbol to set words apart by")
 
-    def learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        ids = np.asarray(self.ids(f" {self.mark} ".join(texts)), "<u4")
+    def marked(self, words: list[str]) -> list[bytes]:
+        ids = np.asarray(self.ids(f" {self.mark} ".join(words)), "<u4")
         marks = np.flatnonzero(ids == self.mark_id)
         if len(marks) != len(words) - 1:  # a word has the mark itself
-            self.known.update((w, np.asarray(self.ids(t), "<u4").tobytes()) for w, t in zip(words, texts, strict=True))
-            return
+            return [np.asarray(self.ids(w), "<u4").tobytes() for w in words]
         data, cuts = ids.tobytes(), (4 * marks).tolist()
-        self.known.update((w, data[a:b]) for w, a, b in zip(words, [0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+        return [data[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        if not self.letters.usable:
+            return self.marked(words)
+        plain = [Letters.WORD.fullmatch(w) is not None for w in words]
+        made = iter(self.letters([w for w, p in zip(words, plain, strict=True) if p]))
+        others = [w for w, p in zip(words, plain, strict=True) if not p]
+        other = iter(self.marked(others) if others else ())
+        return [next(made) if p else next(other) for p in plain]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        often, recent = self.often, self.recent
+        out = [often.get(w) for w in words]
+        new = []
+        for k, x in enumerate(out):
+            if x is None:
+                w = words[k]
+                x = recent.pop(w, None)
+                if x is None:
+                    new.append(k)
+                else:
+                    out[k] = often[w] = x
+                    self.room[0] -= 200 + len(w) + len(x)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for k, x in zip(part, self.learn([words[k] for k in part]), strict=True):
+                out[k] = recent[words[k]] = x
+                self.room[1] -= 200 + len(words[k]) + len(x)
+        if self.room[0] < 0:
+            self.often, self.room[0] = {}, CACHE_BYTES // 2
+        if self.room[1] < 0:
+            self.recent, self.room[1] = {}, CACHE_BYTES // 2
+        return out
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian ids of each text, null is empty."""
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s, ignore_case=True).to_numpy(zero_copy_only=False)
         # the tokenizer lowers letters and drops white space; only ASCII of either is done here
-        found = [SIGN.sub(rb" \1", t.encode("utf-8", "surrogatepass").lower()).split() for t in texts]
-        known = self.known
-        ids = [list(map(known.get, ws)) for ws in found]
-        new = list({w for ws, got in zip(found, ids, strict=True) if None in got for w, x in zip(ws, got, strict=True) if x is None})
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list({w for ws in found for w in ws})
-            for at in range(0, len(new), 2048):
-                self.learn(new[at : at + 2048])
-            ids = [list(map(known.get, ws)) for ws in found]
-        return [b"".join(got) for got in ids]
-
-
-_KEPT: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """One for each worker process."""
-    if path not in _KEPT:
-        _KEPT[path] = WordIds(path)
-    return _KEPT[path]
-
-
-def together(texts: list[str | None]) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t or "")
-        size += len(held[-1])
-        if size >= TOGETHER:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(texts), SIGN, r"\1 \2\3"))
+        flat = words.flatten().dictionary_encode()
+        codes = flat.indices.to_numpy()
+        made = self.of_words(flat.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, made), "i8", len(made)) // 4
+        each = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        kind = "i4" if max(ends[-1], sizes.sum()) < 1 << 31 else "i8"
+        places = np.repeat(((np.cumsum(sizes) - sizes)[codes] - ends[:-1]).astype(kind), each) + np.arange(ends[-1], dtype=kind)
+        ids = np.frombuffer(b"".join(made), "<u4")[places]
+        stops = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(stops, stops[1:], strict=False)]
+        for k in np.flatnonzero(whole):
+            out[k] = np.asarray(self.ids(texts[int(k)].as_py()), "<u4").tobytes()
+        return out
+
+
+def together(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about TOGETHER bytes."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < len(texts):
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + TOGETHER)))
+        yield texts.slice(at, end - at)
+        at = end
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -118,10 +201,10 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(path)
+        ids_of = WordIds(path)
         for batch in batches:
             out: list[tuple] = []
-            coded = (ids for part in together(batch.column(1).to_pylist()) for ids in ids_of(part))
+            coded = (ids for part in together(batch.column(1)) for ids in ids_of(part))
             for doc, ids in zip(batch.column(0).to_pylist(), coded, strict=True):
                 ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
@@ -190,11 +273,12 @@ def exchanges(a: Counter, b: Counter, room: int) -> Iterator[tuple[int, Counter,
                 yield both - x, Counter({x: 1}), ys
 
 
-def local_search(bins: Counter, size: int, steps: int = STEPS) -> Counter:
+def local_search(bins: Counter, size: int) -> Counter:
     """Empty the least filled bins into other underfull bins.
 
     Every step takes from the emptiest bin and fills another underfull, fuller one, so the sum of
-    squared fills grows; it ends at the least possible number of bins, or where no step helps.
+    squared fills grows, which it can't do for ever; it ends at the least possible number of bins, or where
+    no step helps. A step serves a whole group of equal bins.
     """
     bins = Counter(bins)
     fill = lambda p: sum(k * v for k, v in p)
@@ -208,7 +292,7 @@ def local_search(bins: Counter, size: int, steps: int = STEPS) -> Counter:
             del bins[pattern]
 
     under = {p for p in bins if fill(p) < size}
-    while steps and sum(bins.values()) > least:
+    while sum(bins.values()) > least:
         under = {p for p in under if bins[p]}
         source = min((p for p in under if p not in stuck), key=lambda p: (fill(p), p), default=None)
         if source is None:
@@ -228,7 +312,6 @@ def local_search(bins: Counter, size: int, steps: int = STEPS) -> Counter:
                 change(p, k)
             under |= {p for p in (new_a, new_b) if p and fill(p) < size}
             stuck.clear()
-            steps -= 1
             done = True
             break
         if not done:
