@@ -235,39 +235,52 @@ def spatial_semi_join_areas(f: Features) -> DataFrame:
 
 # relationships
 
+_ALL_WAYS = "way_id < 1000000"
+
 
-@query("way_nodes", f"SELECT way_id, seq, node_id AS id, (node_id - {PARTS}) % 3 <> 0 AS anonymous FROM way_nodes WHERE way_id < 1000000 AND way_id % 10 = 3")
+@query("way_nodes", f"SELECT way_id, seq, node_id AS id, (node_id - {PARTS}) % 3 <> 0 AS anonymous FROM way_nodes WHERE {_ALL_WAYS}")
 def way_nodes(f: Features) -> DataFrame:
-    found = f.ways("w").filter(F.col("id") % 10 == 3).way_nodes()
-    return found.df.select("way_id", "seq", "id", F.col("typed_id").isNull().alias("anonymous"))
+    return f.ways("w").way_nodes().df.select("way_id", "seq", "id", F.col("typed_id").isNull().alias("anonymous"))
 
 
-@query("way_feature_nodes", f"SELECT way_id, seq, node_id AS id FROM way_nodes JOIN features ON type = 0 AND id = node_id WHERE way_id < 1000000 AND " + o.numeric("size", "> 40"))
-def way_feature_nodes(f: Features) -> DataFrame:
-    return f.ways("w").way_nodes("n[size>40]").df.select("way_id", "seq", "id")
+@query("members", "SELECT rel_id, seq, m_type AS type, m_id AS id, role FROM members")
+def members(f: Features) -> DataFrame:
+    return f.relations().members().df.select("rel_id", "seq", F.col("type").cast("int").alias("type"), "id", "role")
 
 
-@query("members", "SELECT rel_id, seq, m_type AS type, m_id AS id, role FROM members WHERE rel_id IN (3, 102)")
-def members(f: Features) -> DataFrame:
-    found = f.relations().filter(F.col("id").isin(3, 102)).members().df
-    return found.select("rel_id", "seq", F.col("type").cast("int").alias("type"), "id", "role")
+@query("parents_ways", f"SELECT DISTINCT node_id AS child, way_id AS id FROM way_nodes JOIN (SELECT id AS node FROM features WHERE type = 0) ON node = node_id WHERE {_ALL_WAYS}")
+def parents_ways(f: Features) -> DataFrame:
+    return related.parent_ways(f.lib, f.nodes().df).select(F.expr("child div 4").alias("child"), "id")
 
 
-@query("members_role", "SELECT rel_id, m_id AS id FROM members WHERE role IN ('supplier', 'outer')")
-def members_role(f: Features) -> DataFrame:
-    return f.relations().members().with_role("supplier", "outer").df.select("rel_id", "id")
+@query("parents_relations", "SELECT m_id AS child, rel_id AS id FROM members WHERE m_type = 0")
+def parents_relations(f: Features) -> DataFrame:
+    return f.nodes().parents("r[type=collection],a").df.select(F.expr("child div 4").alias("child"), "id")
 
 
-@query("parents_ways", f"SELECT DISTINCT node_id AS child, way_id AS id FROM way_nodes WHERE node_id > {PARTS} AND (node_id - {PARTS}) % 30 = 0")
-def parents_ways(f: Features) -> DataFrame:
-    some = f.nodes().filter((F.col("id") > PARTS) & ((F.col("id") - PARTS) % 30 == 0))
-    return related.parent_ways(f.lib, some.df).select(F.expr("child div 4").alias("child"), "id")
+@query("nodes_of_set", f"SELECT DISTINCT id FROM features JOIN way_nodes ON type = 0 AND id = node_id WHERE {_ALL_WAYS} AND " + o.text("size", "ends_with(@, ' mm')"))
+def nodes_of_set(f: Features) -> DataFrame:
+    return f("n[size='* mm']").nodes_of(f.ways("w")).df.select("id")
 
 
-@query("parents_relations", "SELECT m_id AS child, rel_id AS id FROM members WHERE m_type = 0 AND m_id < 500")
-def parents_relations(f: Features) -> DataFrame:
-    found = f.nodes().filter(F.col("id") < 500).parents("r[type=collection],a").df
-    return found.select(F.expr("child div 4").alias("child"), "id")
+@query("parents_of_set", "SELECT id FROM features WHERE type = 2 AND id IN (SELECT rel_id FROM members JOIN (SELECT id AS node FROM features WHERE type = 0 AND " + o.text("mktsegment", "@ = 'BUILDING'") + ") ON m_type = 0 AND m_id = node)")
+def parents_of_set(f: Features) -> DataFrame:
+    return f.relations().parents_of(f("n[mktsegment=BUILDING]")).df.select("id")
+
+
+@query("connected_to", "SELECT DISTINCT way_id AS id FROM way_nodes WHERE way_id IN (SELECT id FROM ways WHERE NOT " + o.text("status", "@ = 'F'") + ") AND (x, y) IN (SELECT (x, y) FROM way_nodes WHERE way_id IN (SELECT id FROM ways WHERE " + o.text("status", "@ = 'F'") + "))")
+def connected_to(f: Features) -> DataFrame:
+    return f.ways("w").connected_to(f.ways("w[status=F]")).df.select("id")
+
+
+@query("way_feature_nodes", f"SELECT way_id, seq, node_id AS id FROM way_nodes JOIN features ON type = 0 AND id = node_id WHERE way_id < 1000000 AND " + o.numeric("size", "> 40"))
+def way_feature_nodes(f: Features) -> DataFrame:
+    return f.ways("w").way_nodes("n[size>40]").df.select("way_id", "seq", "id")
+
+
+@query("members_role", "SELECT rel_id, m_id AS id FROM members WHERE role IN ('supplier', 'outer')")
+def members_role(f: Features) -> DataFrame:
+    return f.relations().members().with_role("supplier", "outer").df.select("rel_id", "id")
 
 
 @query("parents_all", f"SELECT type, id FROM (SELECT DISTINCT 1 AS type, way_id AS id FROM way_nodes WHERE node_id IN ({PARTS + 3}, {PARTS + 6}) UNION SELECT DISTINCT 2, rel_id FROM members WHERE m_type = 0 AND m_id IN (5, {SUPPLIERS + 1}))")
@@ -283,25 +296,9 @@ def parents_of_anonymous(f: Features) -> DataFrame:
     return related.parent_ways(f.lib, bare).select("id").distinct()
 
 
-@query("nodes_of_set", "SELECT DISTINCT id FROM features JOIN way_nodes ON type = 0 AND id = node_id WHERE way_id % 100 = 1 AND way_id < 1000000 AND " + o.text("size", "ends_with(@, ' mm')"))
-def nodes_of_set(f: Features) -> DataFrame:
-    return f("n[size='* mm']").nodes_of(f.ways("w").filter(F.col("id") % 100 == 1)).df.select("id")
-
-
-@query("members_of_set", "SELECT id FROM features WHERE type = 0 AND id IN (SELECT m_id FROM members WHERE rel_id = 7 AND m_type = 0) AND " + o.text("mktsegment", "@ = 'BUILDING'"))
+@query("members_of_set", "SELECT id FROM features WHERE type = 0 AND id IN (SELECT m_id FROM members JOIN nations n ON rel_id = n.id WHERE m_type = 0 AND n.tags['name'] = 'GERMANY') AND " + o.text("mktsegment", "@ = 'BUILDING'"))
 def members_of_set(f: Features) -> DataFrame:
-    return f("n[mktsegment=BUILDING]").members_of(f.relations().filter(F.col("id") == 7)).df.select("id")
-
-
-@query("parents_of_set", "SELECT id FROM features WHERE type = 2 AND id IN (SELECT rel_id FROM members WHERE m_type = 0 AND m_id < 40)")
-def parents_of_set(f: Features) -> DataFrame:
-    return f.relations().parents_of(f.nodes().filter(F.col("id") < 40)).df.select("id")
-
-
-@query("connected_to", "SELECT DISTINCT way_id AS id FROM way_nodes WHERE way_id % 500 <> 1 AND way_id < 1000000 AND (x, y) IN (SELECT (x, y) FROM way_nodes WHERE way_id % 500 = 1 AND way_id < 1000000)")
-def connected_to(f: Features) -> DataFrame:
-    ways = f.ways("w")
-    return ways.connected_to(ways.filter(F.col("id") % 500 == 1)).df.select("id")
+    return f("n[mktsegment=BUILDING]").members_of(f.relations("a[name=GERMANY]")).df.select("id")
 
 
 @query("member_closure", f"SELECT n_regionkey + {REGIONS} AS root, CAST(sum(c) + count(*) AS BIGINT) AS n FROM nation JOIN (SELECT rel_id, count(*) AS c FROM members WHERE rel_id < {REGIONS} GROUP BY 1) m ON rel_id = n_nationkey GROUP BY 1")
@@ -322,10 +319,10 @@ def shared_location(f: Features) -> DataFrame:
     return nodes.join(nodes.groupBy("min_x", "min_y").count().where("count > 1"), ["min_x", "min_y"], "left_semi").select("id")
 
 
-@query("predicate_filter", "SELECT id FROM features WHERE type = 0 AND length(coalesce(tags['name'], '')) % 2 = 0 AND id % 5 = 2")
+@query("predicate_filter", "SELECT id FROM features WHERE type = 0 AND length(coalesce(tags['name'], '')) % 2 = 0")
 def predicate_filter(f: Features) -> DataFrame:
     def even(pdf: pd.DataFrame) -> pd.Series:
-        return pd.Series([len(dict(t or ()).get("name", "")) % 2 == 0 and i % 5 == 2 for t, i in zip(pdf["tags"], pdf["id"], strict=True)])
+        return pd.Series([len(dict(t or ()).get("name", "")) % 2 == 0 for t in pdf["tags"]], dtype=bool)
 
     return f.nodes().filter(even).df.select("id")
 
@@ -490,61 +487,8 @@ def label(f: Features) -> DataFrame:
     return f.df.select("id", tags.label().alias("label"))
 
 
-@query("feature_string", "SELECT id, ['node', 'way', 'relation'][type + 1] || '/' || id AS name FROM features WHERE id < 50")
+@query("feature_string", "SELECT id, ['node', 'way', 'relation'][type + 1] || '/' || id AS name FROM features")
 def feature_string(f: Features) -> DataFrame:
-    return f.df.where("id < 50").select("id", tags.feature_string().alias("name"))
-
-
-# operators over all rows of their tables; the queries of the same names without _whole take a part of them
-
-_ALL_WAYS = "way_id < 1000000"
-
-
-@query("way_nodes_whole", f"SELECT way_id, seq, node_id AS id, (node_id - {PARTS}) % 3 <> 0 AS anonymous FROM way_nodes WHERE {_ALL_WAYS}")
-def way_nodes_whole(f: Features) -> DataFrame:
-    return f.ways("w").way_nodes().df.select("way_id", "seq", "id", F.col("typed_id").isNull().alias("anonymous"))
-
-
-@query("members_whole", "SELECT rel_id, seq, m_type AS type, m_id AS id, role FROM members")
-def members_whole(f: Features) -> DataFrame:
-    return f.relations().members().df.select("rel_id", "seq", F.col("type").cast("int").alias("type"), "id", "role")
-
-
-@query("parents_ways_whole", f"SELECT DISTINCT node_id AS child, way_id AS id FROM way_nodes JOIN (SELECT id AS node FROM features WHERE type = 0) ON node = node_id WHERE {_ALL_WAYS}")
-def parents_ways_whole(f: Features) -> DataFrame:
-    return related.parent_ways(f.lib, f.nodes().df).select(F.expr("child div 4").alias("child"), "id")
-
-
-@query("parents_relations_whole", "SELECT m_id AS child, rel_id AS id FROM members WHERE m_type = 0")
-def parents_relations_whole(f: Features) -> DataFrame:
-    return f.nodes().parents("r[type=collection],a").df.select(F.expr("child div 4").alias("child"), "id")
-
-
-@query("nodes_of_set_whole", f"SELECT DISTINCT id FROM features JOIN way_nodes ON type = 0 AND id = node_id WHERE {_ALL_WAYS} AND " + o.text("size", "ends_with(@, ' mm')"))
-def nodes_of_set_whole(f: Features) -> DataFrame:
-    return f("n[size='* mm']").nodes_of(f.ways("w")).df.select("id")
-
-
-@query("parents_of_set_whole", "SELECT id FROM features WHERE type = 2 AND id IN (SELECT rel_id FROM members JOIN (SELECT id AS node FROM features WHERE type = 0 AND " + o.text("mktsegment", "@ = 'BUILDING'") + ") ON m_type = 0 AND m_id = node)")
-def parents_of_set_whole(f: Features) -> DataFrame:
-    return f.relations().parents_of(f("n[mktsegment=BUILDING]")).df.select("id")
-
-
-@query("connected_to_whole", "SELECT DISTINCT way_id AS id FROM way_nodes WHERE way_id IN (SELECT id FROM ways WHERE NOT " + o.text("status", "@ = 'F'") + ") AND (x, y) IN (SELECT (x, y) FROM way_nodes WHERE way_id IN (SELECT id FROM ways WHERE " + o.text("status", "@ = 'F'") + "))")
-def connected_to_whole(f: Features) -> DataFrame:
-    return f.ways("w").connected_to(f.ways("w[status=F]")).df.select("id")
-
-
-@query("predicate_filter_whole", "SELECT id FROM features WHERE type = 0 AND length(coalesce(tags['name'], '')) % 2 = 0")
-def predicate_filter_whole(f: Features) -> DataFrame:
-    def even(pdf: pd.DataFrame) -> pd.Series:
-        return pd.Series([len(dict(t or ()).get("name", "")) % 2 == 0 for t in pdf["tags"]], dtype=bool)
-
-    return f.nodes().filter(even).df.select("id")
-
-
-@query("feature_string_whole", "SELECT id, ['node', 'way', 'relation'][type + 1] || '/' || id AS name FROM features")
-def feature_string_whole(f: Features) -> DataFrame:
     return f.df.select("id", tags.feature_string().alias("name"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.box import cell
+from .scratch import materialize
 
 FEATURES = (
     "type tinyint, id bigint, typed_id bigint, is_area boolean, is_member boolean, is_waynode boolean, "
@@ -109,7 +110,7 @@ def nested(roots: DataFrame, members: DataFrame) -> DataFrame:
     reached, front = roots, roots
     while True:
         nxt = front.join(links, "rel_id").select("root", F.col("sub").alias("rel_id")).distinct().join(reached, ["root", "rel_id"], "left_anti")
-        nxt = nxt.localCheckpoint()  # without it plans double with each level
+        nxt = materialize(nxt, "nested")  # without it plans double with each level
         if nxt.isEmpty():
             return reached
         reached, front = reached.union(nxt), nxt
