@@ -1,9 +1,10 @@
 """WARC 1.1 archives: a deduplicating writer and a salvaging reader.
 
 Archives are written by Spark's text sink, so every store that Spark writes to will do, and a lost task is
-simply run again. Each record is a gzip member of its own, so damage costs the records that it meets and no
-others. In plain archives the sink's line separator is the pair of line ends that closes a record. The reader
-also takes members of several records.
+simply run again. A row of the sink is a whole archive, of about ARCHIVE_BYTES or one larger record; each record
+is a gzip member of its own, so damage costs the records that it meets and no others. In plain archives the
+sink's line separator is the pair of line ends that closes a record. The reader also takes members of several
+records.
 """
 
 from __future__ import annotations
@@ -20,17 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import materialize, shared_dir, table
 
 VERSION = "WARC/1.1"
 NL = "\r\n"
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
-#: Rows of an archive at most: the reader takes an archive at a time.
-RECORDS = 2000
+#: Bytes of an archive, about: the reader takes an archive at a time. One record is never cut.
+ARCHIVE_BYTES = 32 << 20
 #: A fixed date: rewriting the same pages gives the same archives.
 DATE = "2024-01-01T00:00:00Z"
-URI = "https://pages.invalid/"
+#: Stands for URLs that are no URIs; they follow it, encoded.
+URI = "https://pages.invalid/?url="
 
 
 def base32(hexed: Column) -> Column:
@@ -68,10 +70,19 @@ def record_id(page: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+def plain_url(url: Column) -> Column:
+    return url.rlike(r"^[\x21-\x7e]+$") & ~url.startswith(URI)
+
+
+def url_of(uri: Column) -> Column:
+    """The URL that a record was written for; a page without one has an empty one."""
+    return F.when(uri.startswith(URI), F.url_decode(F.substr(uri, F.lit(len(URI) + 1)))).otherwise(uri)
+
+
 def record_bytes(rows: DataFrame) -> Column:
     """A whole record but for the line ends that close it. A revisit has no block; its digest is the full payload's."""
     revisit = F.col("record_type") == "revisit"
-    uri = F.when(F.col("url").rlike(r"^[\x21-\x7e]+$"), F.col("url")).otherwise(F.concat(F.lit(URI), F.col("page_id").cast("string")))
+    uri = F.when(plain_url(F.col("url")), F.col("url")).otherwise(F.concat(F.lit(URI), F.url_encode("url")))
     lines = [
         F.lit(VERSION),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
@@ -106,18 +117,29 @@ def deflate(record: bytes) -> bytes:
 def write(pages: DataFrame, path: str, least: int = LEAST_BYTES, compression: str = "gzip") -> None:
     """Write a record for every row of pages to archives below path: a gzip member a record, or plain ("none")."""
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([deflate(r.as_py()) for r in batch.column(0)], pa.binary())], ["value"])
+            for r in batch.column(0):
+                part = deflate(r.as_py() + end) + b"\0" if compression == "gzip" else r.as_py() + end
+                held.append(part)
+                size += len(part)
+                if size >= ARCHIVE_BYTES:
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
+
+    def made(held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[: -len(last)]], pa.binary())], ["value"])
 
     if compression not in ("gzip", "none"):
         raise ValueError(f"compression {compression!r} is neither gzip nor none")
+    end = (NL * 2).encode()
+    last = b"\0" if compression == "gzip" else end  # the sink puts it down after the row
     rows = plan_records(pages, least)
-    records, end = rows.select(record_bytes(rows).alias("value")), NL * 2
-    if compression == "gzip":
-        whole = records.select(F.concat("value", F.lit(end)).cast("binary").alias("value"))
-        records, end = whole.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value")), "\0"
-    records.write.option("lineSep", end).option("maxRecordsPerFile", RECORDS).option("compression", "none").text(path)
+    whole = rows.select(record_bytes(rows).cast("binary").alias("value")).mapInArrow(archives, "value binary").select(F.col("value").cast("string").alias("value"))
+    whole.write.option("lineSep", last.decode()).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
 @dataclass
@@ -237,16 +259,22 @@ def before_break(got: Salvage, reason: str) -> list[Record]:
     return [r for r in got.records if kept(r)]
 
 
-def salvage(data: bytes) -> Salvage:
-    """All valid records of an archive, plain or of gzip members.
+Gap = tuple[int, int, str]
+
+
+def scan(data: bytes) -> Iterator[Record | Gap]:
+    """Valid records of an archive and its gaps, plain or of gzip members, a member at a time.
 
     Offsets are those of the file; in a member of several records, of the inflated data after the member's
     start. A member that doesn't end or fails its checksum gives its sound records (before_break); the rest of
     it, up to the next magic bytes that begin a member, is a gap.
     """
     if not data.startswith(MAGIC) and (data.find(MAGIC) < 0 or START.search(data, 0, 1 << 16)):
-        return salvage_plain(data)
-    found, at, bad, why = Salvage(), 0, None, ""
+        got = salvage_plain(data)
+        yield from got.records
+        yield from got.gaps
+        return
+    at, bad, why = 0, None, ""
     while at < len(data):
         inner, end, reason = inflate(data, at) if data.startswith(MAGIC, at) else (b"", None, "no member")
         got = salvage_plain(inner)
@@ -258,39 +286,58 @@ def salvage(data: bytes) -> Salvage:
             end = nxt if nxt >= 0 else len(data)
         else:
             if bad is not None:
-                found.gaps.append((bad, at, why))
+                yield bad, at, why
                 bad = None
-            found.gaps.extend((at, end, w) for _, _, w in got.gaps)
-        found.records.extend(Record(at + r.offset * (len(got.records) > 1), r.headers, r.block) for r in records)
+            yield from ((at, end, w) for _, _, w in got.gaps)
+        yield from (Record(at + r.offset * (len(got.records) > 1), r.headers, r.block) for r in records)
         at = end
     if bad is not None:
-        found.gaps.append((bad, len(data), why))
+        yield bad, len(data), why
+
+
+def salvage(data: bytes) -> Salvage:
+    """All that scan finds in an archive."""
+    found = Salvage()
+    for x in scan(data):
+        (found.records if isinstance(x, Record) else found.gaps).append(x)
     return found
 
 
-ROWS = "archive string, offset long, gap_end long, reason string, headers map<string,string>, block binary, block_digest string"
+ROWS = "archive string, offset long, gap_end long, reason string, headers map<string,string>, block binary, block_bytes long, block_digest string"
+#: Bytes of blocks of a batch that the reader gives, about.
+BATCH_BYTES = 4 << 20
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
     """Rows of ROWS of all archives below path: a record each, or a quarantined gap (reason not null).
 
     An archive is read by one task as a whole, as its members can't be found but in turn; the writer above
-    bounds archives by records. Empty archives give no rows.
+    bounds archives by bytes. Empty archives give no rows. Without blocks, only their sizes and digests are given.
     """
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.int64(), pa.string())
+    names = ["archive", "offset", "gap_end", "reason", "headers", "block", "block_bytes", "block_digest"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.string())
-        names = ["archive", "offset", "gap_end", "reason", "headers", "block", "block_digest"]
+        rows, size = [], 0
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = salvage(data.as_py())
-                rows = [(name, a, b, why, None, None, None) for a, b, why in got.gaps]
-                for r in got.records:
-                    digest = base64.b32encode(hashlib.sha1(r.block).digest()).decode()
-                    rows.append((name, r.offset, None, None, list(r.headers.items()), r.block, digest))
-                for k in range(0, len(rows), 500):
-                    cols = list(zip(*rows[k : k + 500], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+                for x in scan(data.as_py()):
+                    if isinstance(x, Record):
+                        digest = base64.b32encode(hashlib.sha1(x.block).digest()).decode()
+                        rows.append((name, x.offset, None, None, list(x.headers.items()), x.block if blocks else None, len(x.block), digest))
+                        size += len(x.block) * blocks + 500
+                    else:
+                        rows.append((name, *x, None, None, None, None))
+                        size += 500
+                    if size >= BATCH_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(parse, ROWS)
@@ -301,25 +348,29 @@ def archive(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
 
     Null and empty pages are payloads of no bytes; repeated rows have a record each; of a page_id on rows with
     equal payloads none refers to itself, all are responses; an empty table gives no rows; columns besides
-    page_id, url and html aren't read.
+    page_id, url and html aren't read. What was read is written to a table of the shared folder; a quarantined
+    gap in archives just written is an error that names that table.
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, path, least)
+    found = materialize(read(spark, path, blocks=False).drop("block"), "warc-rows")
+    if gaps := found.where("reason IS NOT NULL").count():
+        raise RuntimeError(f"{gaps} quarantined gaps in {path}, logged in {found.inputFiles()[0].rpartition('/')[0]}")
     h = F.col("headers")
-    got = read(spark, path).where("reason IS NULL")
     revisit = h["warc-type"] == "revisit"
-    return got.select(
+    return found.select(
         h["warc-page-id"].cast("long").alias("page_id"),
-        F.when(revisit, h["warc-payload-length"].cast("long")).otherwise(F.octet_length("block").cast("long")).alias("payload_bytes"),
+        F.when(revisit, h["warc-payload-length"].cast("long")).otherwise(F.col("block_bytes")).alias("payload_bytes"),
         F.when(revisit, F.substring_index(h["warc-payload-digest"], ":", -1)).otherwise(F.col("block_digest")).alias("payload_digest"),
         h["warc-type"].alias("record_type"),
         F.when(revisit, h["warc-refers-to-page"].cast("long")).alias("refers_to"),
+        url_of(h["warc-target-uri"]).alias("url"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(table(spark, sf_dir, "pages"))
+    return archive(table(spark, sf_dir, "pages")).drop("url")
 
 
 SQL = """

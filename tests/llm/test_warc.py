@@ -23,9 +23,13 @@ def test_round_trip(spark):
     rows = [(i, f"http://h/{i}", t, "x", 1) for i, t in enumerate(
         ["a", None, "", "WARC/1.1\r\nx\r\n\r\n", "ü\r\n\r\n\r\n", "a", "\n", "x" * 300_000, "a", "é\x00"])]
     rows += [(3, None, "again", "x", 1), (3, "spa ce", "again", "x", 1)]
-    got = warc.archive(spark.createDataFrame(rows, SCHEMA)).collect()
+    made = warc.archive(spark.createDataFrame(rows, SCHEMA))
+    got = made.drop("url").collect()
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, got), key=key) == sorted(expected(rows), key=key)
+    urls = [(10, None), (11, ""), (12, "http://ü.example/ä b?q=%41&x=+"), (13, warc.URI), (14, "a\r\nWARC-Type: x")]
+    made = warc.archive(spark.createDataFrame([(i, u, "t", "x", 1) for i, u in urls], SCHEMA))
+    assert {r.page_id: r.url for r in made.collect()} == {i: u or "" for i, u in urls}
 
 
 def test_empty_table(spark):
@@ -84,6 +88,19 @@ def test_records_before_a_break_are_kept():
     assert ids(got) == [0, 1, 2] and got.gaps == [(0, len(whole) // 2, "member cut off")]
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 4000)
+    rows = [(i, f"http://h/{i}", f"page {i} " + "".join(chr(33 + (i * k * 7 + k * k) % 90) for k in range(1 + 100 * (i % 20))), "x", 1) for i in range(300)]
+    for kind in ("gzip", "none"):
+        warc.write(spark.createDataFrame(rows, SCHEMA), str(tmp_path / kind), compression=kind)
+        files = [f.read_bytes() for f in (tmp_path / kind).glob("part-*")]
+        assert len(files) > 20 and max(map(len, files)) < 8000
+        found = warc.read(spark, str(tmp_path / kind)).collect()
+        assert sorted(int(r.headers["warc-page-id"]) for r in found) == list(range(300))
+        texts = {i: t for i, _, t, *_ in rows}
+        assert all(bytes(r.block).decode() == texts[int(r.headers["warc-page-id"])] for r in found if r.headers["warc-type"] == "response")
+
+
 def test_flipped_byte_in_a_written_archive_costs_one_record(spark, tmp_path):
     rows = [(i, f"http://h/{i}", f"page {i % 40} " + "abc " * (i % 40), "x", 1) for i in range(60)]
     warc.write(spark.createDataFrame(rows, SCHEMA).coalesce(1), str(tmp_path / "out"))
