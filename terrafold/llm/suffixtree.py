@@ -1,16 +1,16 @@
 """A probabilistic suffix tree over words: variable-length contexts, smoothed, scored at their longest suffix.
 
 Counts go through the shuffle of distinct words (blocks.py): a block learns the corpus count of each of its
-words from the word's bucket. Pairs of a context and its next word, and contexts, travel in the same way: once
-a block, to buckets by a 64-bit hash, and what a bucket finds out travels back. Contexts and pairs count if they
-occur LEAST times, so the tree grows with the corpus; it is never in one place, and only the corpus totals come
-to the driver. Tree is the same model in memory, for small corpora.
+words from the word's bucket. Pairs of a context and its next word travel in the same way, one length after the
+other: once a block, to buckets by a 64-bit hash, and their counts travel back. A pair is asked for only if both
+its shorter parts occur LEAST times. At last contexts travel with their share of the divergence, and come back
+with what they leave to shorter contexts if they are kept. The tree grows with the corpus; it is never in one
+place, and only the corpus totals come to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -19,87 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import materialize, partitions, table
+from .common import discard, materialize, partitions, table
 
 #: Longest context in words.
 LENGTH = 3
 #: Fewest occurrences of a context, and of a context with its next word.
-LEAST = 3
+LEAST = 2
 #: Taken from each listed count and left to the shorter context.
 DISCOUNT = 0.5
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-@dataclass
-class Level:
-    """Contexts of one length: sorted keys (of the context without its first word, and that word), counts, listed pairs."""
-
-    keys: np.ndarray
-    count: np.ndarray
-    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, "i8"))
-    pair_count: np.ndarray = field(default_factory=lambda: np.empty(0, "i8"))
-    kept: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
-    rest: np.ndarray = field(default_factory=lambda: np.empty(0, "f8"))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        return lookup(self.keys, keys)
-
-
-def lookup(table_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of each key in a sorted array, -1 if absent or the key is negative."""
-    if not len(table_):
-        return np.full(len(keys), -1, "i8")
-    at = np.minimum(np.searchsorted(table_, keys), len(table_) - 1)
-    return np.where((keys >= 0) & (table_[at] == keys), at, -1)
-
-
-@dataclass
-class Tree:
-    total: int  # training tokens
-    distinct: int
-    words: np.ndarray  # sorted numbers of the frequent words
-    word_count: np.ndarray
-    end: int  # place of the end token among them, or -1
-    levels: list[Level] = field(default_factory=list)
-
-    @property
-    def base(self) -> int:
-        return len(self.words) + 1
-
-    def base_probability(self, count: np.ndarray) -> np.ndarray:
-        return (count + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-
-    def contexts(self, word: np.ndarray, place: np.ndarray, depth: int) -> list[np.ndarray]:
-        """For each token the number of its context of each length up to depth, -1 where there's none.
-
-        word: frequent-word places of a block's tokens, place: positions in their documents. Before a document
-        stands an end token.
-        """
-        found = []
-        for k in range(1, depth + 1):
-            back = np.full(len(word), -1, "i8")
-            back[k:] = word[:-k] if k <= len(word) else []
-            back = np.where(place >= k, back, self.end if self.end >= 0 else -1)
-            back = np.where(place >= k - 1, back, -1)
-            keys = back if k == 1 else np.where((found[-1] >= 0) & (back >= 0), found[-1] * self.base + back, -1)
-            found.append(self.levels[k - 1].find(keys))
-        return found
-
-    def probabilities(self, word: np.ndarray, place: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Of each token at the longest kept suffix of its history; listed counts are mixed with shorter contexts."""
-        p = self.base_probability(count.astype("f8"))
-        for level, at in zip(self.levels, self.contexts(word, place, len(self.levels)), strict=True):
-            on = np.flatnonzero(at >= 0)
-            on = on[level.kept[at[on]]]
-            if not len(on):
-                continue
-            c = at[on]
-            pair = lookup(level.pairs, np.where(word[on] >= 0, c * self.base + word[on], -1))
-            listed = np.where(pair >= 0, level.pair_count[pair] - DISCOUNT, 0) if len(level.pairs) else np.zeros(len(on))
-            p[on] = listed / level.count[c] + level.rest[c] * p[on]
-        return p
-
-
 def word_shuffle(docs: DataFrame, flag) -> DataFrame:
     """Materialized rows of blocks.ROW: SEQUENCE rows as cut, WORDS rows with corpus counts, STATS rows of each bucket."""
 
@@ -123,20 +53,18 @@ def word_shuffle(docs: DataFrame, flag) -> DataFrame:
         for _, places, counts in parts:
             totals[places] += counts  # a word is once in a block
         out = [(blocks.WORDS, 0, name, bucket, blocks.compress(blocks.narrow(totals[p]), blocks.narrow(p))) for name, p, _ in parts]
-        often = np.flatnonzero(totals >= LEAST)
-        end = known.get(b"\n", -1)
-        stats = blocks.compress(np.asarray([totals.sum(), (totals > 0).sum(), end], "<i8"), often.astype("<u4"), blocks.narrow(totals[often]))
+        stats = blocks.compress(np.asarray([totals.sum(), (totals > 0).sum()], "<i8"))
         return pd.DataFrame([*out, (blocks.STATS, 0, "", bucket, stats)], columns=blocks.NAMES)
 
     rows = blocks.cut_blocks(docs, tokens, flag)
     return materialize(rows.groupBy("kind", "key").applyInPandas(count, blocks.ROW), "words")
 
 
-ASSEMBLED = "block string, docs binary, numbers binary"
+STATE = "block string, bucket int, payload binary"
 
 
 def assembled(shuffled: DataFrame) -> DataFrame:
-    """A row a block: its documents and codes, and the counts and numbers of its words."""
+    """A row of STATE a block: its documents and codes, and the counts and numbers of its words."""
 
     def put(pdf: pd.DataFrame) -> pd.DataFrame:
         words = pdf[pdf["kind"] == blocks.WORDS].sort_values("bucket")
@@ -146,159 +74,55 @@ def assembled(shuffled: DataFrame) -> DataFrame:
             counts.append(c.astype("i8"))
             numbers.append(p.astype("i8") + (int(bucket) << 32))
         docs = pdf.loc[pdf["kind"] == blocks.SEQUENCE, "payload"].iloc[0]
-        made = blocks.compress(blocks.narrow(np.concatenate(counts)), np.concatenate(numbers))
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "docs": [docs], "numbers": [made]})
+        made = blocks.compress(docs, blocks.narrow(np.concatenate(counts)), np.concatenate(numbers))
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bucket": [-1], "payload": [made]})
 
     rows = shuffled.where(F.col("kind") != blocks.STATS).select("kind", "block", "bucket", "payload")
-    return materialize(rows.groupBy("block").applyInPandas(put, ASSEMBLED), "blocks")
-
-
-def opened(tree: Tree, docs: bytes, numbers: bytes) -> tuple:
-    """(doc_ids, flags, tokens of each, position in the document, corpus count, frequent-word place) of a block's tokens."""
-    ids, on, lens, codes = blocks.sequence(docs)
-    count, number = blocks.expand(numbers)
-    place = np.arange(len(codes)) - np.repeat(np.cumsum(lens) - lens, lens)
-    return ids, on, lens, place, count.astype("i8")[codes], lookup(tree.words, number)[codes]
-
-
-def train(rows: DataFrame, stats: list) -> Tree:
-    """The tree from blocks and the buckets' statistics, one pass over the blocks for each context length."""
-    total = distinct = 0
-    end, numbers, counts = -1, [np.zeros(0, "i8")], [np.zeros(0, "i8")]
-    for r in stats:
-        (t, v, e), often, c = blocks.expand(r["payload"])
-        total, distinct = total + int(t), distinct + int(v)
-        much = c.astype("i8") >= LEAST
-        numbers.append(often.astype("i8")[much] + (r["bucket"] << 32))
-        counts.append(c.astype("i8")[much])
-        if e >= 0:
-            end = (r["bucket"] << 32) + int(e)
-    number, count = np.concatenate(numbers), np.concatenate(counts)
-    order = np.argsort(number)
-    tree = Tree(total, distinct, number[order], count[order], -1)
-    tree.end = int(lookup(tree.words, np.asarray([end]))[0])
-    often = np.arange(len(tree.words), dtype="i8")
-    level = Level(often, np.zeros(len(often), "i8"))
-    for depth in range(1, LENGTH + 1):
-        tree.levels.append(level)
-        found = count_pairs(rows, tree, depth)
-        context, word = found["pair"].to_numpy() // tree.base, found["pair"].to_numpy() % tree.base
-        n = found["n"].to_numpy()
-        whole = word == tree.base - 1
-        level.count = np.zeros(len(level.keys), "i8")
-        level.count[context[whole]] = n[whole]
-        pairs, n = found["pair"].to_numpy()[~whole], n[~whole]
-        order = np.argsort(pairs)
-        level.pairs, level.pair_count = pairs[order], n[order]
-        judge(tree, depth)
-        if depth == LENGTH or not len(level.pairs):
-            break
-        # a pair (context, next word) is a longer context read forwards; it is looked up by its own suffix
-        level = longer(tree, depth, level.pairs)
-    for k in range(len(tree.levels) - 1, 0, -1):
-        tree.levels[k - 1].kept[tree.levels[k].keys[tree.levels[k].kept] // tree.base] = True
-    return tree
-
-
-def spelled(tree: Tree, depth: int, at: np.ndarray) -> list[np.ndarray]:
-    """Words of contexts, nearest first."""
-    out = []
-    for k in range(depth, 0, -1):
-        key = tree.levels[k - 1].keys[at]
-        out.append(key if k == 1 else key % tree.base)
-        at = key // tree.base
-    return out[::-1]
-
-
-def longer(tree: Tree, depth: int, pairs: np.ndarray) -> Level:
-    """The level of contexts one word longer, from frequent pairs of context and next word."""
-    words = [pairs % tree.base, *spelled(tree, depth, pairs // tree.base)]  # nearest first
-    at = tree.levels[0].find(words[0])
-    for k in range(1, depth):
-        at = np.where(at >= 0, tree.levels[k].find(np.where(at >= 0, at * tree.base + words[k], -1)), -1)
-    keys = np.where((at >= 0) & (words[0] != tree.end), at * tree.base + words[depth], -1)
-    keys = np.unique(keys[keys >= 0])
-    return Level(keys, np.zeros(len(keys), "i8"))
-
-
-def count_pairs(rows: DataFrame, tree: Tree, depth: int) -> pd.DataFrame:
-    """(pair, n): training counts of contexts of a length with their next frequent word, and with any word (the last place)."""
-    shared = rows.sparkSession.sparkContext.broadcast(tree)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        for batch in batches:
-            for docs, numbers in zip(batch.column(0), batch.column(1), strict=True):
-                _, on, lens, place, _, word = opened(t, docs.as_py(), numbers.as_py())
-                at = np.where(np.repeat(on, lens), t.contexts(word, place, depth)[-1], -1)
-                mine = np.flatnonzero(at >= 0)
-                key, n = np.unique(at[mine], return_counts=True)
-                mine = mine[word[mine] >= 0]
-                pair, m = np.unique(at[mine] * t.base + word[mine], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"pair": np.concatenate([key * t.base + t.base - 1, pair]).astype("i8"), "n": np.concatenate([n, m]).astype("i8")})
+    return materialize(rows.groupBy("block").applyInPandas(put, STATE), "blocks")
 
-    found = rows.select("docs", "numbers").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return found.where((F.col("n") >= LEAST) | (F.col("pair") % tree.base == tree.base - 1)).toPandas()
 
+STEP, NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
-def judge(tree: Tree, depth: int) -> None:
-    """Keep contexts whose next words diverge from the shorter context's by more than listing them costs.
 
-    The gain is the count times the divergence, in bits; the cost is half the logarithm of the corpus size for
-    each listed word. Once all lengths are judged, suffixes of kept contexts are kept too.
-    """
-    level = tree.levels[depth - 1]
-    context, word = level.pairs // tree.base, level.pairs % tree.base
-    count = np.maximum(level.count, 1)
-    level.rest = 1 - np.bincount(context, level.pair_count - DISCOUNT, len(level.keys)) / count
-    p = level.pair_count / count[context]
-    q = tree.base_probability(tree.word_count[word].astype("f8"))
-    words = spelled(tree, depth, context)
-    at = np.zeros(len(context), "i8")
-    for k in range(depth - 1):
-        shorter = tree.levels[k]
-        at = shorter.find(words[k] if k == 0 else np.where(at >= 0, at * tree.base + words[k], -1))
-        on = at >= 0
-        pair = lookup(shorter.pairs, np.where(on, at * tree.base + word, -1))
-        listed = np.where(pair >= 0, shorter.pair_count[pair] - DISCOUNT, 0)
-        q = np.where(on & shorter.kept[at], listed / shorter.count[at] + shorter.rest[at] * q, q)
-    gain = np.bincount(context, level.pair_count * np.log2(p / q), len(level.keys))
-    cost = np.bincount(context, minlength=len(level.keys)) * 0.5 * np.log2(max(2, tree.total))
-    level.kept = (gain > cost) & (level.count > 0)
-
-
-@dataclass
-class Block:
-    """A block's tokens with what is known so far of their pairs and contexts of each length, in step order."""
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads them."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def planes(keys: np.ndarray) -> bytes:
+    """Sorted keys as bytes that compress: their differences, highest bytes of all first."""
+    return np.diff(keys, prepend=np.uint64(0)).astype(">u8").view("u1").reshape(-1, 8).T.tobytes()
+
+
+def sorted_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, "u1").reshape(8, -1).T).view(">u8").ravel().astype("u8"), dtype="u8")
 
-    docs: bytes
-    numbers: bytes
-    known: list[np.ndarray]
 
-    def __post_init__(self):
+def cost(total: int) -> float:
+    """Bits that listing a word costs: half the logarithm of the corpus size."""
+    return 0.5 * np.log2(max(2, total))
+
+
+class Block:
+    """A block's tokens, with the counts found so far of the pairs of each length that they end."""
+
+    def __init__(self, payload: bytes):
+        self.docs, self.counts, self.numbers, *self.known = blocks.expand(payload)
         self.ids, on, self.lens, codes = blocks.sequence(self.docs)
-        count, number = blocks.expand(self.numbers)
         self.on = np.repeat(on, self.lens)
-        self.place = np.arange(len(codes)) - np.repeat(np.cumsum(self.lens) - self.lens, self.lens)
-        self.count, self.number = count.astype("i8")[codes], number.astype("u8")[codes]
-        known = iter(self.known)
-        #: Of each length, 0 for the word alone: counts of the pair that a token ends, 0 if below LEAST.
-        self.pair = [np.where(self.count >= LEAST, self.count, 0)]
-        #: Of each context: count and number of its listed pairs, whether it is kept.
-        self.listed, self.words, self.kept = [], [], []
-        for step in range(1, LENGTH + 2):
-            for add in ([self.pair] if step <= LENGTH else []) + ([self.listed, self.words, self.kept] if step > 1 else []):
-                found = next(known, None)
-                if found is not None:
-                    add.append(found.astype("i8"))
-        for k, more in enumerate(known):  # by their longer contexts
-            self.kept[k] = self.kept[k] | more.astype("i8")
+        self.place = np.arange(len(codes), dtype="i4") - np.repeat(np.cumsum(self.lens) - self.lens, self.lens).astype("i4")
+        self.count, self.number = self.counts.astype("i8")[codes], self.numbers.astype("u8")[codes]
+        #: Of each length, 0 for the word alone; 0 below LEAST.
+        self.pair = [np.where(self.count >= LEAST, self.count, 0), *(x.astype("i8") for x in self.known)]
 
     def before(self, x: np.ndarray, k: int, start) -> np.ndarray:
-        """x of the k-th token before each; a document has start before its first token, and garbage before that."""
+        """x of the k-th token before each; before its first token a document has start."""
         back = np.full(len(x), start, x.dtype)
         back[k:] = x[:-k] if k <= len(x) else []
-        return np.where(self.place >= k, back, np.asarray(start, x.dtype))
+        back[self.place < k] = start
+        return back
 
     def context_count(self, depth: int) -> np.ndarray:
         """Of each token's context: as often as the pair that it is itself; 0 if there is none."""
@@ -310,117 +134,118 @@ class Block:
             key = mix(key + self.before(self.number, k, self.number[-1]) + np.uint64(k * int(STEP) % 2**64))
         return key
 
-    def probabilities(self, base: np.ndarray, depth: int) -> np.ndarray:
-        """Of each token by its kept contexts up to a length."""
-        p = base
-        for n, pair, listed, words, kept in zip(map(self.context_count, range(1, depth + 1)), self.pair[1:], self.listed, self.words, self.kept, strict=False):
-            on = (n > 0) & (kept > 0)
-            n = np.maximum(n, 1)
-            p = np.where(on, np.where(pair > 0, pair - DISCOUNT, 0) / n + (1 - (listed - DISCOUNT * words) / n) * p, p)
-        return p
-
-    def asked(self, step: int, base: np.ndarray) -> list[tuple]:
-        """(tokens, keys of them, sums over tokens of a key...) of a step: pairs, then contexts one shorter; at last, flags."""
-        out = []
-        if step <= LENGTH:
-            at = np.flatnonzero((self.context_count(step) > 0) & (self.pair[step - 1] > 0))
-            out.append((at, mix(self.context_key(step) ^ mix(self.number + NEXT))[at], self.on[at].astype("f8")))
-        depth = step - 1
-        if 1 <= depth <= LENGTH:
-            n, pair = self.context_count(depth), self.pair[depth]
-            at = np.flatnonzero(n > 0)
-            m = pair[at]
-            listed = self.on[at] & (m > 0)
-            gain = np.where(listed, np.log2(np.maximum(m, 1) / (n[at] * self.probabilities(base, depth - 1)[at])), 0)
-            out.append((at, self.context_key(depth)[at], listed.astype("f8"), listed / np.maximum(m, 1), gain))
-        if step == LENGTH + 2:
-            for depth in range(1, LENGTH):
-                at = np.flatnonzero((self.context_count(depth) > 0) & (self.kept[depth - 1] == 0))
-                longer_ = np.any(self.kept[depth:], axis=0)
-                out.append((at, self.context_key(depth)[at], longer_[at].astype("f8")))
-        return out
-
+    def may_be_kept(self, depth: int, total: int) -> np.ndarray:
+        """False for tokens whose context can't be kept whatever follows it.
 
-STEP, NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64 bits that spreads them."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        A next word's share can't grow more from the shorter context than that is more frequent, so the gain is at
+        most the count times the logarithm of the ratio of counts; it has to pay for a word at least.
+        """
+        n = self.context_count(depth)
+        shorter = self.context_count(depth - 1) if depth > 1 else np.full(len(n), total)
+        return (n > 0) & (n * np.log2(np.maximum(shorter, 1) / np.maximum(n, 1)) > cost(total))
 
+    def pairs(self, depth: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens whose pair of a length may count, and its keys. The longest pairs matter to their contexts alone."""
+        on = self.may_be_kept(depth, total) if depth == LENGTH else self.context_count(depth) > 0
+        at = np.flatnonzero(on & (self.pair[depth - 1] > 0))
+        return at, mix(self.context_key(depth)[at] ^ mix(self.number[at] + NEXT))
 
-def planes(keys: np.ndarray) -> bytes:
-    """Sorted keys as bytes that compress: their differences, highest bytes of all first."""
-    return np.diff(keys, prepend=np.uint64(0)).astype(">u8").view("u1").reshape(-1, 8).T.tobytes()
+    def contexts(self, depth: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.may_be_kept(depth, total))
+        return at, self.context_key(depth)[at]
 
+    def divergence(self, depth: int, at: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of training tokens whose pair is listed: 1, their part of a listed word, and of the gain in bits.
 
-def sorted_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, "u1").reshape(8, -1).T).view(">u8").ravel().astype("u8"), dtype="u8")
+        The gain is the divergence of the context's next words from the shorter context's.
+        """
+        m, n = self.pair[depth][at], self.context_count(depth)[at]
+        on = self.on[at] & (m > 0)
+        shorter = self.pair[depth - 1][at] / (np.maximum(1, self.context_count(depth - 1)[at]) if depth > 1 else max(1, total))
+        m = np.maximum(1, m)
+        return on.astype("f8"), on / m, np.where(on, np.log2(m / n / np.where(on, shorter, 1)), 0)
 
 
-STATE = "block string, bucket int, payload binary"
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of each key among them."""
+    code, own = pd.factorize(keys)
+    order = np.argsort(own)
+    rank = np.empty(len(own), "i8")
+    rank[order] = np.arange(len(own))
+    return own[order], rank[code]
 
 
-def learn(state: DataFrame, step: int, total: int, distinct: int) -> DataFrame:
-    """Blocks (rows of STATE) with what the buckets found out about their pairs and contexts in a step."""
-    n_buckets = 2 * partitions(state.sparkSession)
-    base = lambda b: (b.count + 0.5) / (total + 0.5 * (distinct + 1))
+def dealt(state: DataFrame, n_buckets: int, asked, answer) -> DataFrame:
+    """state, and for each block and bucket a row of the answers to its questions.
 
-    def opened_(payload: bytes) -> Block:
-        docs, numbers, *known = blocks.expand(payload)
-        return Block(docs, numbers, known)
+    asked(block) gives, in turn, keys and arrays of their tokens; arrays are summed by key. answer takes such
+    sums of a bucket's distinct keys and gives an array, which is sent back to every block that asked.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, payload in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                b = opened_(payload.as_py())
                 parts: list[list] = [[] for _ in range(n_buckets)]
-                for _, keys, *sums in b.asked(step, base(b)):
-                    own, at = np.unique(keys, return_inverse=True)
-                    sums = [np.bincount(at, x, len(own)) for x in sums]
+                for keys, *values in asked(Block(payload.as_py())):
+                    own, at = distinct(keys)
+                    sums = [np.bincount(at, x, len(own)) for x in values]
                     ends = np.searchsorted((own >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32), np.arange(n_buckets + 1))
                     for k, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
-                        parts[k] += [planes(own[i:j]), blocks.narrow(sums[0][i:j].astype("i8")), *(x[i:j].astype("<f4") for x in sums[1:])]
+                        parts[k] += [planes(own[i:j]), *(whole(x[i:j]) for x in sums)]
                 rows = [blocks.compress(*x) for x in parts]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n_buckets), pa.array(range(n_buckets), pa.int32()), pa.array(rows, pa.binary())], ["block", "bucket", "payload"])
 
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    def reply(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")  # sums of fractions come out alike
         held = [blocks.expand(x) for x in pdf["payload"]]
         out: list[list] = [[] for _ in held]
-        at, kinds = 0, ([1] if step <= LENGTH else []) + ([3] if 1 < step <= LENGTH + 1 else []) + ([1] * (LENGTH - 1) if step > LENGTH + 1 else [])
-        for n_sums in kinds:
+        at, n_sums = 0, answer.__code__.co_argcount
+        while held and at < len(held[0]):
             keys = [sorted_keys(h[at]) for h in held]
-            ends = np.cumsum([len(k) for k in keys])[:-1]
-            own, place = np.unique(np.concatenate(keys), return_inverse=True)
+            own, place = distinct(np.concatenate(keys))
             sums = [np.bincount(place, np.concatenate([h[at + k] for h in held]).astype("f8"), len(own)) for k in range(1, n_sums + 1)]
-            if n_sums == 3:
-                words = np.round(sums[1])
-                found = [sums[0], words, (sums[2] > words * 0.5 * np.log2(max(2, total))).astype("f8")]
-            else:
-                found = [np.where(sums[0] >= LEAST, sums[0], 0) if step <= LENGTH else (sums[0] > 0).astype("f8")]
-            for x in found:
-                for o, part in zip(out, np.split(x.astype("i8")[place], ends), strict=True):
-                    o.append(blocks.narrow(part))
+            found = answer(*sums)[place]
+            for o, part in zip(out, np.split(found, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+                o.append(whole(part))
             at += 1 + n_sums
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "payload": [blocks.compress(*o) for o in out]})
 
+    return state.union(state.mapInArrow(ask, STATE).groupBy("bucket").applyInPandas(reply, STATE))
+
+
+def whole(x: np.ndarray) -> np.ndarray:
+    """Numbers in few bytes: exact where they are whole."""
+    return blocks.narrow(x.astype("i8")) if (x == np.floor(x)).all() and (x >= 0).all() else x.astype("<f4")
+
+
+def answers(pdf: pd.DataFrame) -> tuple[Block, Iterator[np.ndarray]]:
+    """A block, and of each of its questions the answers in the order of its distinct keys."""
+    pdf = pdf.sort_values("bucket")  # the block itself, then keys in order
+    parts = zip(*map(blocks.expand, pdf["payload"].iloc[1:]), strict=True)
+    return Block(pdf["payload"].iloc[0]), (np.concatenate(x) for x in parts)
+
+
+def learn(state: DataFrame, depth: int, n_buckets: int, total: int) -> DataFrame:
+    """Blocks with the counts of the pairs of one more length."""
+
+    def asked(b: Block) -> Iterator[tuple]:
+        at, keys = b.pairs(depth, total)
+        yield keys, b.on[at].astype("f8")
+
     def put(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket")  # the block itself, then keys in order
-        b = opened_(pdf["payload"].iloc[0])
-        found = zip(*map(blocks.expand, pdf["payload"].iloc[1:]), strict=True)
-        made = []
-        for tokens, keys, *sums in b.asked(step, base(b)):
-            at = np.unique(keys, return_inverse=True)[1]
-            for _ in range(len(sums)):
-                x = np.zeros(len(b.count), "i8")
-                x[tokens] = np.concatenate([y.astype("i8") for y in next(found)])[at]
-                made.append(blocks.narrow(x))
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bucket": [-1], "payload": [blocks.compress(b.docs, b.numbers, *b.known, *made)]})
-
-    answered = state.mapInArrow(ask, STATE).groupBy("bucket").applyInPandas(answer, STATE)
-    return materialize(state.union(answered).groupBy("block").applyInPandas(put, STATE), f"step{step}")
+        b, found = answers(pdf)
+        at, keys = b.pairs(depth, total)
+        made = np.zeros(len(b.count), "i8")
+        made[at] = next(found)[distinct(keys)[1]].astype("i8")
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bucket": [-1], "payload": [blocks.compress(b.docs, b.counts, b.numbers, *b.known, blocks.narrow(made))]})
+
+    rows = dealt(state, n_buckets, asked, lambda n: np.where(n >= LEAST, n, 0))
+    made = materialize(rows.groupBy("block").applyInPandas(put, STATE), f"pairs{depth}")
+    discard(state)
+    return made
+
+
+SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame, training) -> DataFrame:
@@ -430,32 +255,43 @@ def score(docs: DataFrame, training) -> DataFrame:
     gives no rows; columns besides doc_id and text aren't read. Probabilities of the next token sum to 1 over
     the training words and one class of unknown words, after every history.
     """
+    n_buckets = 2 * partitions(docs.sparkSession)
     shuffled = word_shuffle(docs, training)
     stats = shuffled.where(F.col("kind") == blocks.STATS).select("payload")
-    total, distinct = (int(x or 0) for x in stats.mapInPandas(totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first())
-    joined = F.udf(lambda docs, numbers: blocks.compress(bytes(docs), bytes(numbers)), "binary")
-    state = assembled(shuffled).select("block", F.lit(-1).alias("bucket"), joined("docs", "numbers").alias("payload"))
-    for step in range(1, LENGTH + 3):
-        state = learn(state, step, total, distinct)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(0):
-                held, numbers, *known = blocks.expand(payload.as_py())
-                b = Block(held, numbers, known)
-                base = (b.count + 0.5) / (total + 0.5 * (distinct + 1))
-                starts = np.cumsum(b.lens) - b.lens
-                total_ = lambda x: np.add.reduceat(x, starts) if len(starts) else x  # noqa: B023, E731  a text has a token at least
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(b.ids, pa.int64()), pa.array(b.lens, pa.int64()), pa.array(total_((b.count > 0).astype("i8")), pa.int64()),
-                        pa.array([total] * len(b.ids), pa.int64()), pa.array(total_(np.log10(base)), pa.float64()),
-                        pa.array(total_(np.log10(b.probabilities(base, LENGTH))), pa.float64()),
-                    ],
-                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return state.select("payload").mapInArrow(scored, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    total, n_words = (int(x or 0) for x in stats.mapInPandas(totals, "n long, v long").agg(F.sum("n"), F.sum("v")).first())
+    state = assembled(shuffled)
+    discard(shuffled)
+    for depth in range(1, LENGTH + 1):
+        state = learn(state, depth, n_buckets, total)
+
+    def asked(b: Block) -> Iterator[tuple]:
+        for depth in range(1, LENGTH + 1):
+            at, keys = b.contexts(depth, total)
+            yield keys, *b.divergence(depth, at, total)
+
+    def judge(listed: np.ndarray, words: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        """Of a kept context the count that its listed words keep, in discounts; 0 if it isn't kept."""
+        words = np.round(words)
+        return np.where(gain > words * cost(total), listed / DISCOUNT - words, 0)
+
+    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
+        b, found = answers(pdf)
+        base = (b.count + 0.5) / (total + 0.5 * (n_words + 1))
+        p = base.copy()
+        for depth in range(1, LENGTH + 1):
+            at, keys = b.contexts(depth, total)
+            held = next(found)[distinct(keys)[1]].astype("f8") * DISCOUNT
+            at, held = at[held > 0], held[held > 0]
+            m, n = b.pair[depth][at], b.context_count(depth)[at]
+            p[at] = np.where(m > 0, m - DISCOUNT, 0) / n + (1 - held / n) * p[at]
+        starts = np.cumsum(b.lens) - b.lens  # a text has a token at least
+        sums = lambda x: np.add.reduceat(x, starts)
+        return pd.DataFrame(
+            {"doc_id": pd.array(b.ids, "Int64"), "n_tokens": b.lens, "n_known": sums((b.count > 0).astype("i8")), "train_tokens": total,
+             "base_score": sums(np.log10(base)), "score": sums(np.log10(p))}
+        )
+
+    return dealt(state, n_buckets, asked, judge).groupBy("block").applyInPandas(scored, SCORES)
 
 
 def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

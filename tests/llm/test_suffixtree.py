@@ -2,7 +2,6 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from terrafold.llm import blocks, suffixtree
@@ -44,48 +43,73 @@ def test_counts_base_and_gain(spark, monkeypatch):
     assert sum(r.score for r in held) > 0.85 * sum(r.base_score for r in held)
 
 
-def test_probabilities_sum_to_one(spark, monkeypatch):
-    rows = [(i, t, 1, "x", 2) for i, t in enumerate(texts(300))]
-    df = spark.createDataFrame(rows, SCHEMA)
-    shuffled = suffixtree.word_shuffle(df, F.lit(True))
-    tree = suffixtree.train(suffixtree.assembled(shuffled), shuffled.where(F.col("kind") == blocks.STATS).select("bucket", "payload").collect())
-    assert sum(level.kept.sum() for level in tree.levels[1:]) > 0
-    every = np.arange(len(tree.words))
-    rest = tree.total - tree.word_count.sum()
-    for history in ([], [0], [1, 2], [2, 1, 3], [0, 0, 0, 1]):
-        p = []
-        for w in [*every, -1]:
-            word = np.asarray([*history, w])
-            count = np.asarray([1] * len(history) + [tree.word_count[w] if w >= 0 else 0])
-            p.append(tree.probabilities(word, np.arange(len(word)), count)[-1])
-        # words that aren't frequent share the base's rest: each gets the same factor of its base probability
-        unknown = p[-1] / tree.base_probability(np.asarray(0.0))
-        others = tree.distinct - len(tree.words)
-        base_rest = (rest + 0.5 * others) / (tree.total + 0.5 * (tree.distinct + 1))
-        assert math.isclose(sum(p) + unknown * base_rest, 1, rel_tol=1e-9)
+class Brute:
+    """The same model in dictionaries of whole contexts, without hashes, blocks or steps."""
+
+    def __init__(self, texts):
+        self.docs = [[None, *tokens(t)] for t in texts]
+        self.words = Counter(t for d in self.docs for t in d[1:])
+        self.total, least, cut = sum(self.words.values()), suffixtree.LEAST, suffixtree.DISCOUNT
+        counts = Counter((tuple(d[i - k : i]), d[i]) for d in self.docs for i in range(1, len(d)) for k in range(1, 4) if i >= k)
+        self.pair = {x: n for x, n in counts.items() if n >= least}
+        context = Counter()
+        for (c, _), n in counts.items():
+            context[c] += n
+        self.context, self.kept = context, {}
+        listed = {}
+        for (c, w), n in self.pair.items():
+            listed.setdefault(c, []).append((w, n))
+        for c, found in listed.items():
+            shorter = lambda w: self.pair[c[1:], w] / context[c[1:]] if len(c) > 1 else self.words[w] / self.total  # noqa: B023, E731
+            gain = sum(n * math.log2(n / context[c] / shorter(w)) for w, n in found)
+            if gain > len(found) * 0.5 * math.log2(self.total):
+                self.kept[c] = 1 - sum(n - cut for _, n in found) / context[c]
+
+    def p(self, history, w):
+        p = (self.words[w] + 0.5) / (self.total + 0.5 * (len(self.words) + 1))
+        for k in range(1, 4):
+            c = tuple(history[-k:])
+            if len(c) == k and c in self.kept:
+                n = self.pair.get((c, w), 0)
+                p = (n - suffixtree.DISCOUNT if n else 0) / self.context[c] + self.kept[c] * p
+        return p
+
+    def score(self, text):
+        d = [None, *tokens(text)]
+        return sum(math.log10(self.p(d[:i], d[i])) for i in range(1, len(d)))
 
 
 def test_empty_table(spark):
     assert suffixtree.score(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
 
 
-def test_every_context_of_least_occurrences_is_learned_at_any_size(spark, monkeypatch):
-    """One pair of words among very many others: a share of all tokens would lose it. The shuffled tree scores as the one in memory."""
+def test_score_against_brute_force(spark, monkeypatch):
+    """Contexts that occur LEAST times among very many others are learned; every score is that of the model in dictionaries."""
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 4000)
     rng = random.Random(7)
-    filler = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(200)) for _ in range(1500)]
-    rows = [(i, t, 1, "x", 2) for i, t in enumerate([*filler, *texts(200), *["zig zag zog"] * 12, *["p x y q", "r x y s"] * 60, "", None])]
+    filler = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(100)) for _ in range(500)]
+    once = " ".join(f"once{k} w{rng.randint(0, 400)}" for k in range(40))
+    rows = [(i, t, 1, "x", 2) for i, t in enumerate([*filler, *texts(200), *["zig zag zog"] * 12, *["p x y q", "r x y s"] * 60, once, once, "", None, "a " * 20000])]
     df = spark.createDataFrame(rows, SCHEMA)
-    training = F.col("doc_id") % 7 != 1
-    got = {r.doc_id: r for r in suffixtree.score(df, training).collect()}
-    shuffled = suffixtree.word_shuffle(df, training)
-    held = suffixtree.assembled(shuffled)
-    tree = suffixtree.train(held, shuffled.where(F.col("kind") == blocks.STATS).select("bucket", "payload").collect())
-    assert tree.levels[2].kept.any() and not tree.levels[0].kept.all()
-    for r in held.collect():
-        ids, _, lens, place, count, word = suffixtree.opened(tree, r.docs, r.numbers)
-        p = np.log10(tree.probabilities(word, place, count))
-        for doc, part in zip(ids, np.split(p, np.cumsum(lens)[:-1]), strict=True):
-            assert math.isclose(got[doc].score, part.sum(), rel_tol=1e-9)
+    got = {r.doc_id: r for r in suffixtree.score(df, F.col("doc_id") % 7 != 1).collect()}
+    brute = Brute([t for i, t, *_ in rows if i % 7 != 1])
+    assert {len(c) for c in brute.kept} == {1, 2, 3}
+    for i, t, *_ in rows:
+        assert math.isclose(got[i].score, brute.score(t), rel_tol=1e-6), i
     zig = got[len(filler) + 200]
-    assert zig.score > 0.5 * zig.base_score  # 12 of 300,000 tokens
+    assert zig.score > 0.6 * zig.base_score
+    twice = [got[i] for i, t, *_ in rows if t == once]
+    assert all(r.score > 0.6 * r.base_score for r in twice) and len(twice) == 2
+
+
+def test_probabilities_sum_to_one():
+    brute = Brute(list(texts(300)))
+    for history in ([None], [None, "a"], [None, "c", "d"], [None, "a", "b", "h"], [None, "nowhere"]):
+        assert math.isclose(sum(brute.p(history, w) for w in [*brute.words, "unknown"]), 1, rel_tol=1e-9)
+
+
+def test_odd_rows(spark):
+    """Repeated rows, null ids and a very long text: a row each."""
+    rows = [(1, "a b", 1, "x", 2), (1, "a b", 1, "x", 2), (None, "a b", 1, "x", 2), (2, None, 1, "x", 2), (3, "long " * 200_000, 1, "x", 2)]
+    got = suffixtree.score(spark.createDataFrame(rows, SCHEMA), F.lit(True)).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 3), (1, 3), (2, 1), (3, 200_001)]
