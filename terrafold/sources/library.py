@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.box import cell
-from .scratch import materialize
+from .scratch import discard, materialize
 
 FEATURES = (
     "type tinyint, id bigint, typed_id bigint, is_area boolean, is_member boolean, is_waynode boolean, "
@@ -105,15 +105,21 @@ def area_rule(tags: Column, closed: Column) -> Column:
 
 
 def nested(roots: DataFrame, members: DataFrame) -> DataFrame:
-    """(root, rel_id) of roots and all relations in them, however deep: a join a level, until it finds no new pair."""
-    links = members.where("m_type = 2").select("rel_id", F.col("m_id").alias("sub"))
-    reached, front = roots, roots
-    while True:
-        nxt = front.join(links, "rel_id").select("root", F.col("sub").alias("rel_id")).distinct().join(reached, ["root", "rel_id"], "left_anti")
-        nxt = materialize(nxt, "nested")  # without it plans double with each level
-        if nxt.isEmpty():
-            return reached
-        reached, front = reached.union(nxt), nxt
+    """(root, rel_id) of roots and all relations in them, however deep.
+
+    Links between relations are joined with themselves until no new pair appears: paths double with each round, so
+    a nesting of n levels takes log n of them. Relations in relations are few beside other members.
+    """
+    reach = materialize(members.where("m_type = 2").select("rel_id", F.col("m_id").alias("sub")).distinct(), "nested")
+    n = reach.count()
+    while n:
+        further = reach.join(reach.toDF("sub", "deeper"), "sub").select("rel_id", F.col("deeper").alias("sub"))
+        grown = materialize(reach.union(further).distinct(), "nested")
+        discard(reach)
+        reach, before, n = grown, n, grown.count()
+        if n == before:
+            break
+    return roots.union(roots.join(reach, "rel_id").select("root", F.col("sub").alias("rel_id"))).distinct()
 
 
 def derive(nodes: DataFrame, ways: DataFrame, relations: DataFrame, way_nodes: DataFrame, members: DataFrame, indexed=INDEXED) -> Library:
