@@ -7,15 +7,16 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import formats, measures, tags
+from ..functions import formats, geometry, measures, tags
 from ..functions.box import Box
 from ..functions.mercator import Plane, meters_per_unit
 from ..sources.library import Library
 from . import related, rings, spatial
-from .kernel import Shape
+from .kernel import Shape, distance
 from .tagquery import compile_query, query_kinds
 
 
@@ -108,7 +109,8 @@ class Features:
         return Shape.of("polygon" if row.is_area else "collection" if row.type == 2 else "line", parts)
 
     def _shape(self, of, allow_collection: bool = False) -> Shape:
-        shape = of.shape() if isinstance(of, Features) else of
+        """Of a set of one feature, a Shape, or well-known text or binary in degrees."""
+        shape = of.shape() if isinstance(of, Features) else geometry.shape(bytes(of) if not isinstance(of, str) else of) if isinstance(of, (str, bytes, bytearray)) else of
         if shape.kind == "collection":
             if not allow_collection:
                 raise spatial.UnsupportedGeometry("not defined for a relation that is no area")
@@ -125,14 +127,16 @@ class Features:
         return self._with(spatial.crossing(self.lib, self.df, self._shape(of, True), self.kinds))
 
     def containing(self, x, y: int | None = None) -> Features:
-        """Features that hold a point, given as x and y, or a whole geometry: all of its vertices, its edges not crossing theirs."""
+        """Features that hold a point, given as x and y, or a whole geometry: its vertices, and its edges between them."""
         if y is not None:
             return self._with(spatial.containing_point(self.lib, self.df, x, y, self.kinds))
-        shape = self._shape(x)
-        found = self.df
-        for px, py in np.unique(np.concatenate([shape.starts, shape.edges[:, :2], shape.edges[:, 2:]]), axis=0).tolist():
-            found = spatial.containing_point(self.lib, found, int(px), int(py), self.kinds)
-        return self._with(found)
+        return self._with(spatial.containing(self.lib, self.df, self._shape(x), self.kinds))
+
+    def meters_to(self, of) -> float:
+        """Between the nearest points of a set of one feature and a geometry, by the scale in the middle between them."""
+        one, two = self._shape(self, True), self._shape(of, True)
+        middle = (min(one.bounds[1], two.bounds[1]) + max(one.bounds[3], two.bounds[3])) / 2
+        return distance(one, two) / Plane.units(1.0, middle)
 
     def containing_lonlat(self, lon: float, lat: float) -> Features:
         return self.containing(Plane.x(lon), Plane.y(lat))
@@ -186,11 +190,34 @@ class Features:
         """Members with one of the roles; other views have none."""
         return self._with(self.df.where(F.col("role").isin(*roles))) if self.view == "members" else self.empty()
 
+    # nodes by what shares their place and what uses them
+
+    def sharing_location(self) -> Features:
+        """Nodes at whose place another node of the library lies. A place is counted with partial aggregates."""
+        nodes = self.lib.features.where("type = 0").groupBy("min_x", "min_y").count().where("count > 1")
+        return self.nodes()._with(self.df.where("type = 0").join(nodes, ["min_x", "min_y"], "left_semi").select(*self.df.columns))
+
+    def duplicates(self) -> Features:
+        """Nodes without tags that share their place."""
+        return self.sharing_location().filter(F.coalesce(F.size("tags"), F.lit(0)) <= 0)
+
+    def orphans(self) -> Features:
+        """Nodes without tags that are no vertices and no members."""
+        return self.nodes().filter((F.coalesce(F.size("tags"), F.lit(0)) <= 0) & ~F.col("is_waynode") & ~F.col("is_member"))
+
     # terminals
 
     def count(self) -> int:
         return self.df.count()
 
+    def __contains__(self, feature) -> bool:
+        """Whether a feature, a row with typed_id or a set of one, is in the set."""
+        row = feature.one() if isinstance(feature, Features) else feature
+        return row.typed_id is not None and not self.df.where(F.col("typed_id") == row.typed_id).isEmpty()
+
+    def explain(self, mode: str = "formatted") -> None:
+        self.df.explain(mode=mode)
+
     def is_empty(self) -> bool:
         return self.df.isEmpty()
 
@@ -226,18 +253,24 @@ class Features:
 
     def lengths(self) -> DataFrame:
         """(typed_id, length) in meters: of ways, and of relations by all their member ways; nodes have none."""
-        deep = related.closure(self.lib, self.df).where("m_type = 1").select((F.col("root") * 4 + 2).alias("typed_id"), F.col("m_id").alias("id"))
-        parts = self.df.where("type = 1").select("typed_id", "id").distinct().union(deep)
-        each = spatial.coords(self.lib, parts.select("id").distinct()).select("id", measures.length(F.col("points")).alias("length"))
-        return parts.join(each, "id").groupBy("typed_id").agg(F.sum("length").alias("length"))
+        own = spatial.pointed(self.lib, self.df.where("type = 1").dropDuplicates(["typed_id"]) if self.view != "world" else self.df.where("type = 1"))
+        ways = own.select("typed_id", measures.length(F.col("points")).alias("length"))
+        if 2 not in self.kinds:
+            return ways
+        parts = related.closure(self.lib, self.df).where("m_type = 1").select((F.col("root") * 4 + 2).alias("typed_id"), F.col("m_id").alias("id"))
+        each = spatial.coords(self.lib, parts.select("id")).select("id", measures.length(F.col("points")).alias("length"))
+        return ways.unionByName(parts.join(each, "id").groupBy("typed_id").agg(F.sum("length").alias("length")))
 
     def polygon_rings(self) -> DataFrame:
         return rings.polygonize(self.df.where("type = 2 AND is_area").select("id").distinct(), self.lib.members, self.lib.way_nodes)
 
     def areas(self) -> DataFrame:
         """(typed_id, area) in square meters of areas: of relations outer rings less holes."""
-        w = self.df.where("type = 1 AND is_area").select("typed_id", "id", "min_y", "max_y").distinct()
-        ways = w.join(spatial.coords(self.lib, w.select("id")), "id").select("typed_id", measures.area(F.col("points"), F.col("min_y"), F.col("max_y")).alias("area"))
+        w = self.df.where("type = 1 AND is_area")
+        w = spatial.pointed(self.lib, w.dropDuplicates(["typed_id"]) if self.view != "world" else w)
+        ways = w.select("typed_id", measures.area(F.col("points"), F.col("min_y"), F.col("max_y")).alias("area"))
+        if 2 not in self.kinds:
+            return ways
         r = self.df.where("type = 2").select("typed_id", "id", "min_y", "max_y").distinct()
         twice = F.abs(measures.shoelace(F.col("points"))) * F.when(F.col("ring") == 0, 1).otherwise(-1)
         total = self.polygon_rings().groupBy(F.col("rel_id").alias("id")).agg(F.sum(twice).alias("twice"))
@@ -250,10 +283,11 @@ class Features:
         Areas of relations: outer rings less holes. Other relations: by their areal members if there are any,
         else lineal, else nodes; the middle of the bounds where nothing else applies.
         """
-        one = self.df.select("typed_id", "id", "type", "is_area", "min_x", "min_y", "max_x", "max_y").dropDuplicates(["typed_id"])
+        one = self.df if self.view == "world" else self.df.dropDuplicates(["typed_id"])
         nodes = one.where("type = 0").select("typed_id", F.col("min_x").cast("double").alias("cx"), F.col("min_y").cast("double").alias("cy"))
-        w = one.where("type = 1")
-        ways = w.join(spatial.coords(self.lib, w.select("id")), "id").select("typed_id", self._way_centroid().alias("c"))
+        ways = spatial.pointed(self.lib, one.where("type = 1")).select("typed_id", self._way_centroid().alias("c"))
+        if 2 not in self.kinds:
+            return nodes.unionByName(ways.select("typed_id", F.col("c.x").alias("cx"), F.col("c.y").alias("cy")))
         r = one.where("type = 2")
         weighted = self._ring_moments()
         bounds = [((F.col(a).cast("double") + F.col(b)) / 2).alias(c) for a, b, c in (("min_x", "max_x", "cx"), ("min_y", "max_y", "cy"))]
@@ -283,7 +317,7 @@ class Features:
         found = self.lib.features.join(parts, "typed_id")
         nodes = found.where("type = 0").select("rel", F.lit(0).alias("rank"), F.lit(1.0).alias("w"), F.col("min_x").cast("double").alias("x"), F.col("min_y").cast("double").alias("y"))
         w = found.where("type = 1")
-        lines = w.join(spatial.coords(self.lib, w.select("id").distinct()), "id")
+        lines = spatial.pointed(self.lib, w)
         size = F.when(F.col("is_area"), F.abs(measures.shoelace(F.col("points"))) / 2).otherwise(measures.length(F.col("points")))
         ways = lines.select("rel", F.when(F.col("is_area"), 2).otherwise(1).alias("rank"), size.alias("w"), self._way_centroid().alias("c")).select("rel", "rank", "w", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
         sums = nodes.unionByName(ways).where("w > 0").groupBy("rel", "rank").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("y")).alias("y"))
@@ -293,25 +327,28 @@ class Features:
     # output
 
     def geometries(self, form: str = "wkt", precision: int = 7) -> DataFrame:
-        """(typed_id, geometry) as "wkt" or "geojson"; relations that are no areas as collections of their members."""
+        """(typed_id, geometry) as "wkt", "wkb" or "geojson"; relations that are no areas as collections of their members."""
+        if form == "wkb":
+            return self.geometries("wkt", max(precision, 9)).withColumn("geometry", wkb("geometry"))
         wkt = form == "wkt"
-        one = self.df.select("typed_id", "id", "type", "is_area", "min_x", "min_y").dropDuplicates(["typed_id"])
+        one = self.df if self.view == "world" else self.df.dropDuplicates(["typed_id"])
 
         def simple(rows: DataFrame) -> DataFrame:
             x, y = F.col("min_x"), F.col("min_y")
             point = formats.wkt_point(x, y, precision) if wkt else formats.geojson_geometry("Point", formats.json_point(x, y, precision))
-            w = rows.where("type = 1")
             line = (formats.wkt_way if wkt else formats.geojson_way)(F.col("points"), F.col("is_area"), precision)
-            lines = w.join(spatial.coords(self.lib, w.select("id").distinct()), "id").select("typed_id", line.alias("geometry"))
+            lines = spatial.pointed(self.lib, rows.where("type = 1")).select("typed_id", line.alias("geometry"))
             return rows.where("type = 0").select("typed_id", point.alias("geometry")).unionByName(lines)
 
+        if 2 not in self.kinds:
+            return simple(one)
         areas = one.where("type = 2 AND is_area").select("typed_id", "id")
         made = formats.polygons(self.polygon_rings(), form, precision).withColumnRenamed("rel_id", "id")
         none = "POLYGON EMPTY" if wkt else '{"type":"Polygon","coordinates":[]}'
         areas = areas.join(made, "id", "left").select("typed_id", F.coalesce("geometry", F.lit(none)).alias("geometry"))
         groups = one.where("type = 2 AND NOT is_area").select("typed_id", "id", "type")
         parts = related.closure(self.lib, groups).where("m_type < 2").select("root", F.col("m_typed_id").alias("typed_id"))
-        leaf = simple(self.lib.features.join(parts.select("typed_id").distinct(), "typed_id", "left_semi").select("typed_id", "id", "type", "is_area", "min_x", "min_y"))
+        leaf = simple(self.lib.features.join(parts.select("typed_id").distinct(), "typed_id", "left_semi"))
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("typed_id", "geometry"))), lambda s: s["geometry"]), ",")
         held = parts.join(leaf, "typed_id").groupBy(F.col("root").alias("id")).agg(text.alias("t"))
         if wkt:
@@ -337,22 +374,46 @@ class Features:
     def write_csv(self, path: str, schema: str, precision: int = 7) -> None:
         formats.csv_lines(self.rows(schema, precision)).write.text(path)
 
-    def map_html(self, most: int = 1000, **page) -> str:
-        """A Leaflet page of at most ``most`` features: for people, not for pipelines."""
-        some = self.df.limit(most).select("typed_id", "type", "is_area", "id", "min_x", "min_y", tags.label().alias("label")).collect()
-        ids = [r.id for r in some if r.type == 1]
-        ways = self.lib.features.where((F.col("type") == 1) & F.col("id").isin(ids)) if ids else self.lib.features.where(F.lit(False))
-        lines = {r.id: r.points for r in spatial.coords(self.lib, ways.select("id")).collect()} if ids else {}
-        at = lambda x, y: [round(Plane.lat(y), 7), round(Plane.lon(x), 7)]
+    def map_html(self, most: int = 10_000, **page) -> str:
+        """A Leaflet page of the set: for people, not for pipelines. A set of more than ``most`` features is an error.
+
+        Relations are drawn as their polygons, or else as the nodes and ways among their members, at any depth.
+        """
+        one = self.df.dropDuplicates(["typed_id"]) if self.view != "world" else self.df
+        own = one.select(F.col("typed_id").alias("of"), "typed_id", "type", "is_area", "min_x", "min_y", tags.label().alias("label"), *(["points"] if "points" in one.columns else []), "id")
+        some = own.limit(most + 1).count()
+        if some > most:
+            raise ValueError(f"more than {most} features: narrow the set, or raise most")
+        rows = own.where("type < 2")
+        polygons: list = []
+        if 2 in self.kinds:
+            rels = own.where("type = 2")
+            parts = related.closure(self.lib, rels.where("NOT is_area")).where("m_type < 2").select((F.col("root") * 4 + 2).alias("of"), F.col("m_typed_id").alias("typed_id"))
+            named = parts.join(rels.select("of", "label"), "of")
+            rows = rows.unionByName(self.lib.features.join(named, "typed_id").select(*rows.columns))
+            polygons = self.polygon_rings().join(rels.where("is_area").select("id", "label"), F.col("rel_id") == F.col("id")).orderBy("rel_id", "polygon", "ring").collect()
+        drawn = rows.where("type = 0").withColumn("points", F.array(F.struct(F.col("min_x").alias("x"), F.col("min_y").alias("y"))))
+        drawn = drawn.unionByName(spatial.pointed(self.lib, rows.where("type = 1")).select(*drawn.columns))
+        at = lambda p: [round(Plane.lat(p["y"]), 7), round(Plane.lon(p["x"]), 7)]
         shapes = []
-        for r in some:
-            if r.type == 0:
-                shapes.append({"kind": "marker", "latlngs": at(r.min_x, r.min_y), "label": r.label})
-            elif r.type == 1 and r.id in lines:
-                shapes.append({"kind": "polygon" if r.is_area else "polyline", "latlngs": [at(p["x"], p["y"]) for p in lines[r.id]], "label": r.label})
+        for r in drawn.orderBy("of", "typed_id").collect():
+            kind = "marker" if r.type == 0 else "polygon" if r.is_area else "polyline"
+            shapes.append({"kind": kind, "latlngs": at(r.points[0]) if r.type == 0 else [at(p) for p in r.points], "label": r.label})
+        by: dict = {}
+        for r in polygons:
+            by.setdefault((r.rel_id, r.label), {}).setdefault(r.polygon, []).append([at(p) for p in r.points])
+        shapes += [{"kind": "polygon", "latlngs": list(found.values()), "label": label} for (_, label), found in by.items()]
         return formats.leaflet(shapes, **page)
 
 
+def wkb(text: str) -> Column:
+    @F.arrow_udf("binary")
+    def made(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else geometry.to_wkb(geometry.parse_wkt(t)) for t in texts.to_pylist()], pa.binary())
+
+    return made(text)
+
+
 def _min(c: str):
     return lambda points: F.array_min(F.transform(points, lambda p: p[c]))
 

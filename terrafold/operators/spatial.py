@@ -16,23 +16,37 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import measures
 from ..functions.box import Box
 from ..functions.mercator import Plane
-from ..sources.library import Library
-from .kernel import Shape, edges_of, locate, meets, on_edges, segment_distance, side
+from ..sources.library import Library, ordered_points
+from .kernel import Shape, each_meets, edges_of, holds, locate, on_edges, segment_distance, side
 from .related import closure
 
+
 class UnsupportedGeometry(ValueError):
     """The operator isn't defined for this kind of geometry."""
 
 
 def coords(lib: Library, ways: DataFrame) -> DataFrame:
     """(id, points): the vertices of ways (id) in order."""
-    v = lib.way_nodes.join(ways.select(F.col("id").alias("way_id")), "way_id", "left_semi")
-    return v.groupBy(F.col("way_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
+    ids = ways.select("id").distinct()
+    if "points" in lib.features.columns:
+        return lib.features.where("type = 1 AND points IS NOT NULL").join(ids, "id", "left_semi").select("id", "points")
+    v = lib.way_nodes.join(ids.select(F.col("id").alias("way_id")), "way_id", "left_semi")
+    return v.groupBy(F.col("way_id").alias("id")).agg(ordered_points().alias("points"))
+
+
+def pointed(lib: Library, ways: DataFrame) -> DataFrame:
+    """Way rows with their vertices in points: stored with the way, or else gathered."""
+    if "points" in ways.columns:
+        return ways.where("points IS NOT NULL")
+    return ways.join(coords(lib, ways).withColumnRenamed("id", "w"), F.col("id") == F.col("w")).drop("w")
 
 
 def node_location(shape: Shape):
@@ -51,44 +65,63 @@ def node_location(shape: Shape):
     return at
 
 
+def unpacked(points: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All vertices of vertex arrays (n, 2), and where each array starts, with the end: without a Python object each."""
+    flat = points.flatten()
+    p = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype("i8") for c in ("x", "y")], axis=1) if len(flat) else np.empty((0, 2), "i8")
+    return p, np.concatenate([[0], np.cumsum(pc.list_value_length(points).to_numpy(zero_copy_only=False))]).astype("i8")
+
+
+def all_edges(p: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of all arrays, and the number of the array that each is of."""
+    owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    inner = owner[1:] == owner[:-1]
+    return np.hstack([p[:-1], p[1:]])[inner], owner[1:][inner]
+
+
 WAY_TEST = "first tinyint, n_in int, n_edge int, n_out int, meets boolean, holds boolean, leaves boolean"
 
 
 def way_tests(shape: Shape):
-    """Column function of points and is_area: a struct of WAY_TEST."""
-
-    @F.pandas_udf(WAY_TEST)
-    def tests(points: pd.Series, area: pd.Series) -> pd.DataFrame:
-        rows = []
-        for ps, is_area in zip(points, area, strict=True):
-            p = np.asarray([(q["x"], q["y"]) for q in ps], "i8").reshape(-1, 2)
-            e = edges_of(p)
-            if shape.kind == "polygon":
-                loc = locate(p[:, 0], p[:, 1], shape.edges)
-            elif shape.kind == "line":
-                loc = np.where(on_edges(p[:, 0], p[:, 1], shape.edges), 0, -1)
-            else:
-                loc = np.where((p[:, None] == shape.starts[None]).all(2).any(1), 0, -1)
-            if shape.kind == "point":
-                hit = bool(on_edges(shape.starts[:, 0], shape.starts[:, 1], e).any())
-            else:
-                hit = meets(e, shape.edges)
-            holds = bool(is_area) and bool((locate(shape.starts[:, 0], shape.starts[:, 1], e) >= 0).any())
-            leaves = shape.kind == "polygon" and proper_crossing(e, shape.edges)
-            rows.append((int(loc[0]) if len(loc) else -1, int((loc > 0).sum()), int((loc == 0).sum()), int((loc < 0).sum()), hit, holds, leaves))
-        return pd.DataFrame(rows, columns=["first", "n_in", "n_edge", "n_out", "meets", "holds", "leaves"])
+    """Column function of points and is_area: a struct of WAY_TEST. All vertices and edges of a batch are tested together."""
+
+    @F.arrow_udf(WAY_TEST)
+    def tests(points: pa.Array, area: pa.Array) -> pa.Array:
+        p, cuts = unpacked(points)
+        n = len(points)
+        if shape.kind == "polygon":
+            loc = locate(p[:, 0], p[:, 1], shape.edges)
+        elif shape.kind == "line":
+            loc = np.where(on_edges(p[:, 0], p[:, 1], shape.edges), 0, -1)
+        else:
+            loc = np.where((p[:, None] == shape.starts[None]).all(2).any(1), 0, -1)
+        vertex = np.repeat(np.arange(n), np.diff(cuts))
+        e, owner = all_edges(p, cuts)
+        of = lambda owners, on: np.bincount(owners[on], minlength=n)
+        if shape.kind == "point":
+            hit = np.zeros(len(e), bool)
+            for x, y in shape.starts.tolist():
+                hit |= touched(e, x, y)
+        else:
+            hit = each_meets(e, shape.edges)
+        leaves = of(owner, each_meets(e, shape.edges, through=True)) > 0 if shape.kind == "polygon" else np.zeros(n, bool)
+        held = np.zeros(n, bool)
+        for k in np.flatnonzero(area.to_numpy(zero_copy_only=False).astype(bool)):
+            ring = e[np.searchsorted(owner, k) : np.searchsorted(owner, k, side="right")]
+            held[k] = len(ring) and (locate(shape.starts[:, 0], shape.starts[:, 1], ring) >= 0).any()
+        first = np.where(np.diff(cuts) > 0, loc[np.minimum(cuts[:-1], max(0, len(loc) - 1))] if len(loc) else -1, -1)
+        made = [pa.array(first.astype("i1")), *(pa.array(of(vertex, x).astype("i4")) for x in (loc > 0, loc == 0, loc < 0))]
+        made += [pa.array(x.astype(bool)) for x in (of(owner, hit) > 0, held, leaves)]
+        return pa.StructArray.from_arrays(made, [c.split()[0] for c in WAY_TEST.split(", ")])
 
     return tests
 
 
-def proper_crossing(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether a segment of a runs through one of b, not merely touching it."""
-    for e in a:
-        one = side(e[0], e[1], e[2], e[3], b[:, 0], b[:, 1]) * side(e[0], e[1], e[2], e[3], b[:, 2], b[:, 3])
-        two = side(b[:, 0], b[:, 1], b[:, 2], b[:, 3], e[0], e[1]) * side(b[:, 0], b[:, 1], b[:, 2], b[:, 3], e[2], e[3])
-        if ((one < 0) & (two < 0)).any():
-            return True
-    return False
+def touched(e: np.ndarray, x: int, y: int) -> np.ndarray:
+    """Whether a point is on each segment."""
+    near_ = (np.minimum(e[:, 0], e[:, 2]) <= x) & (x <= np.maximum(e[:, 0], e[:, 2])) & (np.minimum(e[:, 1], e[:, 3]) <= y) & (y <= np.maximum(e[:, 1], e[:, 3]))
+    near_[near_] = side(*(e[near_, k] for k in range(4)), np.int64(x), np.int64(y)) == 0
+    return near_
 
 
 def near(df: DataFrame, shape: Shape) -> DataFrame:
@@ -100,7 +133,8 @@ def tested(lib: Library, df: DataFrame, shape: Shape, node_rule, way_rule) -> tu
     nodes = df.where("type = 0").withColumn("ok", node_rule(node_location(shape)(F.col("min_x"), F.col("min_y"))))
     ways = df.where("type = 1")
     t = way_tests(shape)(F.col("points"), F.col("is_area")).alias("t")
-    ways = ways.join(coords(lib, ways).withColumnRenamed("id", "w"), F.col("id") == F.col("w")).select(*df.columns, t).withColumn("ok", way_rule(F.col("t")))
+    rows = pointed(lib, ways)
+    ways = rows.select(*rows.columns, t).withColumn("ok", way_rule(F.col("t")))
     return nodes, ways
 
 
@@ -164,27 +198,80 @@ def area_relations_holding(lib: Library, df: DataFrame, points: np.ndarray) -> D
     ways = lib.members.where("m_type = 1").join(rels.select(F.col("id").alias("rel_id")), "rel_id", "left_semi").select("rel_id", F.col("m_id").alias("id"))
     lines = ways.join(coords(lib, ways.select("id").distinct()), "id")
 
-    @F.pandas_udf("array<struct<n:int,edge:boolean>>")
-    def crossings(points_: pd.Series) -> pd.Series:
-        out = []
-        for ps in points_:
-            e = edges_of(np.asarray([(q["x"], q["y"]) for q in ps], "i8").reshape(-1, 2))
-            edge = on_edges(points[:, 0], points[:, 1], e)
-            out.append([{"n": int(a > 0), "edge": bool(b)} for a, b in zip(odd(points, e), edge, strict=True)])
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<n:int,edge:boolean>>")
+    def crossings(points_: pa.Array) -> pa.Array:
+        p, cuts = unpacked(points_)
+        e, owner = all_edges(p, cuts)
+        n, k = len(points_), len(points)
+        crossed, edge = np.zeros((n, k), "i4"), np.zeros((n, k), bool)
+        for j, (x, y) in enumerate(points.tolist()):
+            crossed[:, j] = np.bincount(owner, crosses_ray(e, x, y), n) % 2
+            edge[:, j] = np.bincount(owner[touched(e, x, y)], minlength=n) > 0
+        flat = pa.StructArray.from_arrays([pa.array(crossed.ravel()), pa.array(edge.ravel())], ["n", "edge"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4") * k), flat)
 
     found = lines.select("rel_id", F.posexplode(crossings("points")).alias("k", "c")).groupBy("rel_id", "k").agg((F.sum("c.n") % 2 == 1).alias("odd"), F.bool_or("c.edge").alias("edge"))
     hit = found.where("odd OR edge").select("rel_id").distinct()
     return rels.join(hit, rels.id == hit.rel_id, "left_semi")
 
 
-def odd(points: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """1 where a ray from the point crosses the edges an odd number of times, else -1; boundaries don't matter."""
-    px, py = points[:, 0][:, None], points[:, 1][:, None]
-    x1, y1, x2, y2 = (e[:, k][None] for k in range(4))
-    s = side(x1, y1, x2, y2, px, py)
-    n = (((y1 <= py) & (py < y2) & (s > 0)) | ((y2 <= py) & (py < y1) & (s < 0))).sum(1)
-    return np.where(n % 2 == 1, 1, -1)
+def crosses_ray(e: np.ndarray, x: int, y: int) -> np.ndarray:
+    """1 for each segment that a ray from a point crosses."""
+    rows = (np.minimum(e[:, 1], e[:, 3]) <= y) & (y < np.maximum(e[:, 1], e[:, 3]))
+    out = np.zeros(len(e))
+    s = side(*(e[rows, k] for k in range(4)), np.int64(x), np.int64(y))
+    up = e[rows, 1] < e[rows, 3]
+    out[rows] = np.where(up, s > 0, s < 0)
+    return out
+
+
+def containing(lib: Library, df: DataFrame, shape: Shape, kinds: frozenset = ALL) -> DataFrame:
+    """Areas that hold a whole geometry, boundaries included: its vertices, and its edges between them.
+
+    Lines hold geometries that lie on them and nodes a point at them; other relations never hold any.
+    """
+    if not len(shape.starts):
+        return df.where(F.lit(False))
+    if shape.kind == "point" and len(shape.starts) == 1:
+        return containing_point(lib, df, int(shape.starts[0][0]), int(shape.starts[0][1]), kinds)
+    low_x, low_y, high_x, high_y = shape.bounds
+    at = df.where((F.col("min_x") <= low_x) & (F.col("max_x") >= high_x) & (F.col("min_y") <= low_y) & (F.col("max_y") >= high_y))
+
+    @F.arrow_udf("boolean")
+    def held(points: pa.Array, area: pa.Array) -> pa.Array:
+        p, cuts = unpacked(points)
+        out = []
+        for a, b, is_area in zip(cuts, cuts[1:], area.to_pylist(), strict=False):
+            ring = edges_of(p[a:b])
+            out.append(holds(ring, shape) if is_area else lies_on(ring, shape))
+        return pa.array(out, pa.bool_())
+
+    def member_ways(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rings = [edges_of(np.stack([np.asarray(x, "i8"), np.asarray(y, "i8")], axis=1)) for x, y in zip(pdf["xs"], pdf["ys"], strict=True)]
+        return pd.DataFrame({"id": [key[0]] if holds(np.concatenate(rings), shape) else []}).astype("int64")
+
+    ok = F.lit(True).alias("ok")
+    w = pointed(lib, at.where("type = 1"))
+    ways = w.where(held("points", "is_area")).select("*", ok)
+    nodes = at.where("type = 0").select("*", (F.lit(low_x == high_x) & F.lit(low_y == high_y)).alias("ok"))
+
+    def relations() -> DataFrame:
+        rels = at.where("type = 2 AND is_area")
+        of = lib.members.where("m_type = 1").join(rels.select(F.col("id").alias("rel_id")), "rel_id", "left_semi").select("rel_id", F.col("m_id").alias("id"))
+        xs, ys = F.transform("points", lambda p: p["x"]).alias("xs"), F.transform("points", lambda p: p["y"]).alias("ys")
+        lines = of.join(coords(lib, of.select("id")), "id").select("rel_id", xs, ys)
+        hit = lines.groupBy("rel_id").applyInPandas(member_ways, "id long")  # a group is the boundary of one feature
+        return rels.join(hit, "id", "left_semi")
+
+    return keep(df, kinds, nodes, ways, relations)
+
+
+def lies_on(line: np.ndarray, shape: Shape) -> bool:
+    """Whether a line runs through all points of a shape, between vertices too."""
+    if shape.kind == "polygon" or not len(line):
+        return False
+    points = inside_points(shape, np.concatenate([line, line[-1:, [2, 3, 2, 3]]]))
+    return bool(on_edges(points[:, 0], points[:, 1], 2 * line).all())
 
 
 def within(lib: Library, df: DataFrame, shape: Shape, strict: bool = False, kinds: frozenset = ALL) -> DataFrame:
@@ -196,9 +283,10 @@ def within(lib: Library, df: DataFrame, shape: Shape, strict: bool = False, kind
     way_rule = lambda t: (t["n_out"] == 0) & (t["n_in"] > 0) & (~t["leaves"] if strict else F.lit(True))
     nodes, ways = tested(lib, inside, shape, node_rule, way_rule)
     # areas whose vertices are all on the boundary: by their centroid
-    center = (F.col("min_x").cast("long") + F.col("max_x")) / 2, (F.col("min_y").cast("long") + F.col("max_y")) / 2
+    box_ = [F.col(c) for c in ("min_x", "min_y", "max_x", "max_y")]
     edge_only = F.col("is_area") & (F.col("t.n_out") == 0) & (F.col("t.n_in") == 0)
-    at_center = node_location(shape)(center[0].cast("int"), center[1].cast("int"))
+    center = F.when(edge_only, measures.ring_centroid(F.col("points"), *box_))
+    at_center = node_location(shape)(F.coalesce(F.round(center["x"]).cast("int"), F.col("min_x")), F.coalesce(F.round(center["y"]).cast("int"), F.col("min_y")))
     ways = ways.withColumn("ok", F.col("ok") | (edge_only & (at_center > 0)))
 
     def rule() -> Column:
@@ -234,18 +322,17 @@ def max_meters_from(lib: Library, df: DataFrame, meters: float, x: int, y: int,
     d2 = lambda a, b: (a.cast("double") - x) * (a.cast("double") - x) + (b.cast("double") - y) * (b.cast("double") - y)
     close = lambda rows: rows.where("type = 0").where(d2(F.col("min_x"), F.col("min_y")) < units * units)
 
-    @F.pandas_udf("boolean")
-    def line_near(points: pd.Series, area: pd.Series) -> pd.Series:
-        out = []
-        for ps, is_area in zip(points, area, strict=True):
-            e = edges_of(np.asarray([(q["x"], q["y"]) for q in ps], "i8").reshape(-1, 2))
-            hit = len(e) and segment_distance(x, y, e).min() < units
-            out.append(bool(hit or (is_area and len(e) and locate(np.asarray([x]), np.asarray([y]), e)[0] >= 0)))
-        return pd.Series(out)
+    @F.arrow_udf("boolean")
+    def line_near(points: pa.Array, area: pa.Array) -> pa.Array:
+        p, cuts = unpacked(points)
+        e, owner = all_edges(p, cuts)
+        n = len(points)
+        hit = np.bincount(owner[segment_distance(x, y, e) < units], minlength=n) > 0
+        held = (np.bincount(owner, crosses_ray(e, x, y), n) % 2 == 1) | (np.bincount(owner[touched(e, x, y)], minlength=n) > 0)
+        return pa.array(hit | (held & area.to_numpy(zero_copy_only=False).astype(bool)))
 
     def lines(rows: DataFrame) -> DataFrame:
-        w = rows.where("type = 1")
-        return w.join(coords(lib, w).withColumnRenamed("id", "w"), F.col("id") == F.col("w")).where(line_near("points", "is_area")).select(*rows.columns)
+        return pointed(lib, rows.where("type = 1")).where(line_near("points", "is_area")).select(*rows.columns)
 
     def relations() -> DataFrame:
         rels = at.where("type = 2")

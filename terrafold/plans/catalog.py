@@ -25,9 +25,12 @@ RING = [(-1500000000, -1200000000), (1200000000, -1000000000), (200000000, 0), (
 LINE = [(-1900000000, -1400000000), (0, 100000000), (1900000000, 1300000000)]
 BOX = Box(-800000000, -600000000, 700000000, 900000000)
 POINT = (500000000, -200000000)
+#: A line within one nation's rectangle.
+INNER = [(-1900000000, -1400000000), (-1500000000, -1000000000), (-1300000000, -1450000000)]
 METERS = 1500000.0
 
 _QUERIES: dict = {}
+_ON_WORLD: dict = {}
 _SQL: dict = {}
 
 
@@ -39,6 +42,7 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
     """Register a function of the world; sql is what follows the prelude's tables."""
 
     def add(fn):
+        _ON_WORLD[name] = fn
         _QUERIES[name] = lambda spark, sf_dir: fn(world(spark, sf_dir))
         if sql:
             _SQL[name] = f"{o.PRELUDE}{', ' + ctes if ctes else ''}\n{sql}"
@@ -184,6 +188,11 @@ def crosses_line(f: Features) -> DataFrame:
     return f.ways().crossing(line()).df.select("id")
 
 
+@query("containing_line", f"SELECT 1 AS type, id FROM areas WHERE {min(x for x, _ in INNER)} >= min_x AND {max(x for x, _ in INNER)} <= max_x AND {min(y for _, y in INNER)} >= min_y AND {max(y for _, y in INNER)} <= max_y UNION ALL SELECT 2, id - {NATIONS} FROM areas WHERE {min(x for x, _ in INNER)} >= min_x AND {max(x for x, _ in INNER)} <= max_x AND {min(y for _, y in INNER)} >= min_y AND {max(y for _, y in INNER)} <= max_y")
+def containing_line(f: Features) -> DataFrame:
+    return ids(f("a").containing(Shape.of("line", [np.asarray(INNER)])))
+
+
 @query("contains_point", f"SELECT 1 AS type, id FROM areas WHERE {POINT[0]} BETWEEN min_x AND max_x AND {POINT[1]} BETWEEN min_y AND max_y UNION ALL SELECT 2, id - {NATIONS} FROM areas WHERE {POINT[0]} BETWEEN min_x AND max_x AND {POINT[1]} BETWEEN min_y AND max_y")
 def contains_point(f: Features) -> DataFrame:
     return ids(f("a").containing(*POINT))
@@ -296,9 +305,9 @@ def parents_of_anonymous(f: Features) -> DataFrame:
     return related.parent_ways(f.lib, bare).select("id").distinct()
 
 
-@query("members_of_set", "SELECT id FROM features WHERE type = 0 AND id IN (SELECT m_id FROM members JOIN nations n ON rel_id = n.id WHERE m_type = 0 AND n.tags['name'] = 'GERMANY') AND " + o.text("mktsegment", "@ = 'BUILDING'"))
+@query("members_of_set", "SELECT id FROM features WHERE type = 0 AND id IN (SELECT m_id FROM members JOIN nations n ON rel_id = n.id WHERE m_type = 0 AND n.tags['name'] = 'NATION_7') AND " + o.text("mktsegment", "@ = 'BUILDING'"))
 def members_of_set(f: Features) -> DataFrame:
-    return f("n[mktsegment=BUILDING]").members_of(f.relations("a[name=GERMANY]")).df.select("id")
+    return f("n[mktsegment=BUILDING]").members_of(f.relations("a[name='NATION_7']")).df.select("id")
 
 
 @query("member_closure", f"SELECT n_regionkey + {REGIONS} AS root, CAST(sum(c) + count(*) AS BIGINT) AS n FROM nation JOIN (SELECT rel_id, count(*) AS c FROM members WHERE rel_id < {REGIONS} GROUP BY 1) m ON rel_id = n_nationkey GROUP BY 1")
@@ -314,9 +323,19 @@ def intersection_of_sets(f: Features) -> DataFrame:
 
 @query("shared_location", "SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY min_x, min_y) AS c FROM features WHERE type = 0) WHERE c > 1")
 def shared_location(f: Features) -> DataFrame:
-    # coincident nodes by a count joined back: a place shared by very many nodes is no single task
-    nodes = f.nodes().df.select("id", "min_x", "min_y")
-    return nodes.join(nodes.groupBy("min_x", "min_y").count().where("count > 1"), ["min_x", "min_y"], "left_semi").select("id")
+    return f.sharing_location().df.select("id")
+
+
+@query("coarse_shared_location", "SELECT id, CAST(c AS BIGINT) AS n FROM (SELECT id, count(*) OVER (PARTITION BY floor(min_x / 4e7), floor(min_y / 4e7)) AS c FROM features WHERE type = 0 AND tags['supplier'] IS NOT NULL) WHERE c > 1")
+def coarse_shared_location(f: Features) -> DataFrame:
+    nodes = f.nodes("n[supplier]").df.select("id", F.floor(F.col("min_x") / 4e7).alias("x"), F.floor(F.col("min_y") / 4e7).alias("y"))
+    places = nodes.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1")
+    return nodes.join(places, ["x", "y"]).select("id", "n")
+
+
+@query("orphans", "SELECT id FROM features WHERE type = 0 AND len(map_keys(tags)) = 0 AND NOT is_waynode AND NOT is_member")
+def orphans(f: Features) -> DataFrame:
+    return f.orphans().df.select("id")
 
 
 @query("predicate_filter", "SELECT id FROM features WHERE type = 0 AND length(coalesce(tags['name'], '')) % 2 = 0")
@@ -495,8 +514,8 @@ def feature_string(f: Features) -> DataFrame:
 # output
 
 
-def _text(v: str) -> str:
-    return f"regexp_replace(regexp_replace(CAST(CAST(round({v}, 6) AS DECIMAL(30, 6)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
+def _text(v: str, places: int = 6) -> str:
+    return f"regexp_replace(regexp_replace(CAST(CAST(round({v}, {places}) AS DECIMAL(30, {places})) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
 
 
 @query("rows_projection", f"SELECT 'N' || id AS id, {_text(_LON)} AS lon, {_text(_LAT)} AS lat, coalesce(tags['mktsegment'], '') AS mktsegment, coalesce(tags['name'], '') AS name FROM features WHERE type = 0 AND is_member")
@@ -513,19 +532,51 @@ def wkt_way(f: Features) -> DataFrame:
     return f.ways().geometries("wkt", 6).select(F.expr("typed_id div 4").alias("id"), F.col("geometry").alias("wkt"))
 
 
-@query("geojson_way")
+def _json(v: str) -> str:
+    """A JSON value in SQL: numbers bare, texts quoted."""
+    return f"CASE WHEN {o.stored(v)} THEN {v} ELSE CAST(to_json({v}) AS VARCHAR) END"
+
+
+def _properties(tags_: str, without: str = "") -> str:
+    return f"'{{' || array_to_string(list_transform(list_sort(list_filter(map_keys({tags_}), lambda x: x <> '{without}')), lambda k: CAST(to_json(k) AS VARCHAR) || ':' || {_json(f'{tags_}[k]')}), ',') || '}}'"
+
+
+_JSON_RING = f"string_agg('[' || {_text('@LON', 7)} || ',' || {_text('@LAT', 7)} || ']', ',' ORDER BY seq)"
+
+
+@query("geojson_way", f"""SELECT typed_id, '{{"type":"Feature","id":"W' || id || '","geometry":{{"type":"' || CASE WHEN is_area THEN 'Polygon","coordinates":[[' || t || ']]' ELSE 'LineString","coordinates":[' || t || ']' END || '}},"properties":' || {_properties('tags')} || '}}' AS geojson
+FROM (SELECT id, id * 4 + 1 AS typed_id, is_area, tags FROM features WHERE type = 1) JOIN (SELECT way_id, {_JSON_RING.replace('@LON', _VLON).replace('@LAT', _VLAT)} AS t FROM way_nodes GROUP BY 1) ON way_id = id""")
 def geojson_way(f: Features) -> DataFrame:
     return f.ways().geojson()
 
 
-@query("geojson_relation")
+_RING_OF = f"""ring AS (SELECT m.rel_id AS id, {_JSON_RING.replace('seq)', 'w.seq)').replace('@LON', _VLON).replace('@LAT', _VLAT)} AS t FROM members m JOIN way_nodes w ON m.m_type = 1 AND w.way_id = m.m_id GROUP BY 1)"""
+
+
+@query("geojson_relation", f"""SELECT f.id * 4 + 2 AS typed_id, '{{"type":"Feature","id":"R' || f.id || '","geometry":{{"type":"Polygon","coordinates":[[' || t || ']]}},"properties":' || {_properties('f.tags')} || '}}' AS geojson
+FROM features f JOIN ring ON ring.id = f.id WHERE f.type = 2 AND f.is_area""", _RING_OF)
 def geojson_relation(f: Features) -> DataFrame:
-    return f.relations().geojson()
+    return f.relations("a").geojson()
+
+
+@query("geojson_collection_relation")
+def geojson_collection_relation(f: Features) -> DataFrame:
+    return f.relations("r").geojson()
+
 
+def _csv(v: str) -> str:
+    return f"CASE WHEN regexp_matches({v}, '[\",\r\n]') THEN '\"' || replace({v}, '\"', '\"\"') || '\"' ELSE {v} END"
 
-@query("csv_rows")
+
+_CLON = f"(((CAST(a.min_x AS DOUBLE) + a.max_x) / 2) * 360.0 / {MAP_WIDTH!r})"
+_CLAT = f"(atan(exp(((CAST(a.min_y AS DOUBLE) + a.max_y) / 2) * {_C!r})) * 360.0 / {math.pi!r} - 90.0)"
+_WKT_RING = f"string_agg({_text(_VLON)} || ' ' || {_text(_VLAT)}, ',' ORDER BY w.seq)"
+
+
+@query("csv_rows", f"""SELECT 'R' || f.id || ',' || {_text(_CLON)} || ',' || {_text(_CLAT)} || ',' || {_csv("f.tags['name']")} || ',' || {_csv(_properties('f.tags', 'name'))} || ',' || {_csv("'POLYGON((' || t || '))'")} AS value
+FROM features f JOIN areas a ON a.id = f.id + {NATIONS} JOIN (SELECT m.rel_id AS id, {_WKT_RING} AS t FROM members m JOIN way_nodes w ON m.m_type = 1 AND w.way_id = m.m_id GROUP BY 1) r ON r.id = f.id WHERE f.type = 2 AND f.is_area""")
 def csv_rows(f: Features) -> DataFrame:
-    return formats.csv_lines(f.relations("a").rows("id,lon,lat,name,tags,geom"))
+    return formats.csv_lines(f.relations("a").rows("id,lon,lat,name,tags,geom", 6))
 
 
 @query("leaflet")
@@ -550,5 +601,10 @@ def queries() -> dict:
     return dict(_QUERIES)
 
 
+def on_world() -> dict:
+    """Name -> callable(Features), for a library that is open already."""
+    return dict(_ON_WORLD)
+
+
 def oracle_sql() -> dict:
     return dict(_SQL)

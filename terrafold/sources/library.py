@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +15,13 @@ from .scratch import discard, materialize
 
 FEATURES = (
     "type tinyint, id bigint, typed_id bigint, is_area boolean, is_member boolean, is_waynode boolean, "
-    "min_x int, min_y int, max_x int, max_y int, tags map<string,string>, key_bits int, cell int"
+    "min_x int, min_y int, max_x int, max_y int, tags map<string,string>, key_bits int, cell int, points array<struct<x:int,y:int>>"
 )
+#: Columns that a library may lack.
+OPTIONAL = ("points",)
 WAY_NODES = "way_id bigint, seq int, node_id bigint, x int, y int"
 MEMBERS = "rel_id bigint, seq int, m_type tinyint, m_id bigint, m_typed_id bigint, role string"
+META = "indexed array<string>, revision bigint, timestamp string, guid string, properties map<string,string>"
 TABLES = {"features": FEATURES, "way_nodes": WAY_NODES, "members": MEMBERS}
 #: Keys with a bit in key_bits, 31 at most. A parameter of every library; these are the defaults.
 INDEXED = ("amenity", "shop", "highway", "building", "railway", "landuse", "natural", "leisure", "tourism", "waterway", "power", "boundary", "place", "man_made", "route")
@@ -32,6 +37,11 @@ def typed_id(kind: Column, number: Column) -> Column:
     return number * 4 + kind.cast("bigint")
 
 
+def ordered_points() -> Column:
+    """Aggregate of vertices (seq, x, y): an array of them in order."""
+    return F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+
+
 def key_bits(tags: Column, indexed=INDEXED) -> Column:
     found = F.lit(0)
     for n, key in enumerate(indexed):
@@ -47,14 +57,27 @@ class Library:
     way_nodes: DataFrame
     members: DataFrame
     indexed: tuple[str, ...] = INDEXED
+    #: revision, timestamp (ISO 8601), guid and properties, as far as they're known.
+    meta: dict = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:
         return self.features.sparkSession
 
     @staticmethod
-    def open(spark: SparkSession, path: str, indexed=INDEXED) -> Library:
-        """The library in a folder. Missing tables and wrong columns are errors before any query runs."""
+    def open(spark: SparkSession, path: str, indexed=None) -> Library:
+        """The library in a folder, with the indexed keys that it was written with.
+
+        Missing tables, wrong columns and other indexed keys than the library's are errors before any query runs.
+        """
+        try:
+            meta = spark.read.schema(META).json(f"{path}/meta").first()
+        except Exception:  # a library without metadata
+            meta = None
+        meta = meta.asDict(recursive=True) if meta else {}
+        known = tuple(meta.pop("indexed", None) or indexed or INDEXED)
+        if indexed is not None and tuple(indexed) != known:
+            raise LibraryError(f"the library in {path} has other indexed keys: {', '.join(known)}")
         found = {}
         for name, ddl in TABLES.items():
             try:
@@ -63,14 +86,17 @@ class Library:
                 raise LibraryError(f"no table {name} in {path}") from e
             wanted = T._parse_datatype_string(ddl)
             kinds = {f.name: f.dataType for f in df.schema.fields}
-            wrong = [f.name for f in wanted.fields if kinds.get(f.name) != f.dataType]
+            wrong = [f.name for f in wanted.fields if kinds.get(f.name, f.dataType if f.name in OPTIONAL else None) != f.dataType]
             if wrong:
                 raise LibraryError(f"table {name} in {path} lacks {', '.join(wrong)}")
             found[name] = df
-        return Library(**found, indexed=tuple(indexed))
+        return Library(**found, indexed=known, meta={k: v for k, v in meta.items() if v is not None})
 
-    def write(self, path: str, files: int | None = None) -> None:
-        """Clustered for pruning: features by tile, vertices and members by owner. Spark's commit makes each table appear whole."""
+    def write(self, path: str, files: int | None = None, **properties: str) -> None:
+        """Clustered for pruning: features by tile, vertices and members by owner. Spark's commit makes each table appear whole.
+
+        Metadata is written last: revision counts up from that of the library it was made of.
+        """
         def dealt(df: DataFrame, *by: str) -> DataFrame:
             ranged = df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)
             return ranged.sortWithinPartitions(*by)
@@ -78,6 +104,14 @@ class Library:
         dealt(self.features, "cell", "type", "id").write.parquet(f"{path}/features")
         dealt(self.way_nodes, "way_id", "seq").write.parquet(f"{path}/way_nodes")
         dealt(self.members, "rel_id", "seq").write.parquet(f"{path}/members")
+        now = datetime.now(timezone.utc).isoformat(timespec="seconds")
+        all_ = {**(self.meta.get("properties") or {}), **properties}
+        row = (list(self.indexed), int(self.meta.get("revision", 0)) + 1, now, self.meta.get("guid") or str(uuid.uuid4()), all_)
+        self.spark.createDataFrame([row], META).coalesce(1).write.json(f"{path}/meta")
+
+    def tile(self, number: int) -> DataFrame:
+        """Features of one tile (cell); a tile that the library lacks has none. The scan skips other tiles' row groups."""
+        return self.features.where(F.col("cell") == number)
 
     def info(self) -> DataFrame:
         """One row: counts by type, tiles, bounds."""
@@ -150,11 +184,12 @@ def derive(nodes: DataFrame, ways: DataFrame, relations: DataFrame, way_nodes: D
         F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"),
         F.coalesce(F.bool_or("known"), F.lit(False)).alias("is_waynode"),
         (F.min_by(F.struct("x", "y"), "seq") == F.max_by(F.struct("x", "y"), "seq")).alias("closed"), F.count("*").alias("n"),
+        ordered_points().alias("points"),
     )
     box = ["min_x", "min_y", "max_x", "max_y"]
     w = flat(ways, 1).join(extent.withColumnRenamed("way_id", "id"), "id").join(is_member, "typed_id", "left")
     w = w.select("type", "id", "typed_id", (F.col("is_area") if "is_area" in ways.columns else area_rule(F.col("tags"), F.col("closed") & (F.col("n") > 3))).alias("is_area"),
-                 false(F.col("is_member")).alias("is_member"), "is_waynode", *box, "tags")
+                 false(F.col("is_member")).alias("is_member"), "is_waynode", *box, "tags", "points")
     union = [fn(c).alias(c) for fn, c in zip((F.min, F.min, F.max, F.max), box, strict=True)]
     known = n.select("typed_id", *box).union(w.select("typed_id", *box))
     own = members.join(known.withColumnRenamed("typed_id", "m_typed_id"), "m_typed_id").groupBy("rel_id").agg(*union)
@@ -164,6 +199,6 @@ def derive(nodes: DataFrame, ways: DataFrame, relations: DataFrame, way_nodes: D
     r = flat(relations, 2).join(extents, "typed_id", "left").join(is_member, "typed_id", "left").select(
         "type", "id", "typed_id", (F.col("is_area") if "is_area" in relations.columns else kind).alias("is_area"), false(F.col("is_member")).alias("is_member"),
         F.lit(False).alias("is_waynode"), *box, "tags")
-    rows = n.unionByName(w).unionByName(r)
+    rows = n.unionByName(w, allowMissingColumns=True).unionByName(r, allowMissingColumns=True)
     features = rows.select("*", key_bits(F.col("tags"), indexed).alias("key_bits"), cell(F.col("min_x"), F.col("max_y")).alias("cell"))
     return Library(features, way_nodes, members, tuple(indexed))

@@ -68,10 +68,12 @@ def open_star(spark: SparkSession, path: str) -> Library:
     bounds = lines.withColumn("x", x_of(vertex)).withColumn("y", y_of(vertex)).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"),
         F.bool_or(F.col("l_partkey") % 3 == 0).alias("is_waynode"), F.count("*").alias("n"),
+        # read only where vertices are: the plan drops it elsewhere
+        F.transform(F.array_sort(F.collect_list(F.struct(*TIES.split(", "), "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"),
     ).where("n > 1")
     ways = t("orders").join(bounds, "o_orderkey").select(
         F.lit(1).cast("tinyint").alias("type"), F.col("o_orderkey").cast("bigint").alias("id"), false.alias("is_area"), false.alias("is_member"), "is_waynode", *box,
-        tag_map(priority=F.col("o_orderpriority"), status=F.col("o_orderstatus")).alias("tags"),
+        tag_map(priority=F.col("o_orderpriority"), status=F.col("o_orderstatus")).alias("tags"), "points",
     )
     n = t("nation")
     key = F.col("n_nationkey").cast("bigint")
@@ -80,6 +82,7 @@ def open_star(spark: SparkSession, path: str) -> Library:
     areas = n.select(
         F.lit(1).cast("tinyint").alias("type"), (key + NATIONS).alias("id"), true.alias("is_area"), true.alias("is_member"), false.alias("is_waynode"), *rectangle,
         tag_map(boundary=F.lit("administrative"), admin_level=F.lit("2"), name=F.col("n_name")).alias("tags"),
+        F.array(*[F.struct(x.cast("int").alias("x"), y.cast("int").alias("y")) for x, y in corners(key)]).alias("points"),
     )
     people = c.select(F.col("c_nationkey").alias("k"), F.lit(0).alias("part"), F.col("c_custkey").cast("bigint").alias("m_id"), F.lower("c_mktsegment").alias("role"))
     sellers = t("supplier").select(F.col("s_nationkey").alias("k"), F.lit(1).alias("part"), (F.col("s_suppkey") + SUPPLIERS).alias("m_id"), F.lit("supplier").alias("role"))
@@ -104,7 +107,7 @@ def open_star(spark: SparkSession, path: str) -> Library:
     )
     rows = customers
     for df in (suppliers, parts, ways, areas, nations.drop("n_regionkey"), regions):
-        rows = rows.unionByName(df)
+        rows = rows.unionByName(df, allowMissingColumns=True)
     features = rows.select("*", typed_id(F.col("type"), F.col("id")).alias("typed_id"), key_bits(F.col("tags"), INDEXED).alias("key_bits"), cell(F.col("min_x"), F.col("max_y")).alias("cell"))
     # the tie-break makes the order of vertices unique
     order = F.expr(f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {TIES})") - 1

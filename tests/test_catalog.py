@@ -9,7 +9,8 @@ import pytest
 from terrafold.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-NAMES = ["way_nodes", "members", "parents_ways", "parents_relations", "nodes_of_set", "members_of_set", "parents_of_set", "connected_to", "predicate_filter", "feature_string"]
+NAMES = ["way_nodes", "members", "parents_ways", "parents_relations", "nodes_of_set", "members_of_set", "parents_of_set", "connected_to", "predicate_filter", "feature_string",
+         "coarse_shared_location", "orphans", "containing_line", "geojson_way", "geojson_relation", "csv_rows"]
 
 
 @pytest.fixture(scope="module")

@@ -72,6 +72,87 @@ def test_space(world):
     assert ids(world.ways("w[highway]").max_meters_from(5 * meters, 0, 48)) == [101]
 
 
+def line(*points):
+    return Shape.of("line", [np.asarray(points)])
+
+
+def test_containing_tests_edges_too(spark):
+    from terrafold.operators.kernel import distance, holds
+
+    from .town import library_of
+
+    u = [(0, 0), (90, 0), (90, 90), (60, 90), (60, 30), (30, 30), (30, 90), (0, 90), (0, 0)]
+    ring = np.hstack([np.asarray(u)[:-1], np.asarray(u)[1:]])
+    square = lambda a, b: Shape.of("polygon", [np.asarray([(a, a), (b, a), (b, b), (a, b), (a, a)])])
+    for shape, held in (
+        (line((10, 80), (80, 80)), False), (line((10, 80), (10, 10), (80, 10), (80, 80)), True), (line((30, 30), (60, 30)), True), (line((30, 90), (60, 90)), False),
+        (line((20, 30), (70, 30)), True), (line((20, 31), (70, 31)), False), (square(5, 25), True), (square(5, 85), False), (square(-5, 25), False),
+        (Shape.of("point", [np.asarray([(10, 10)]), np.asarray([(45, 60)])]), False),
+    ):
+        assert holds(ring, shape) == held, shape
+    world = library_of(spark, {1: u}, {})
+    assert ids(world.ways("a").containing(line((10, 80), (80, 80)))) == [] and ids(world.ways("a").containing(line((10, 80), (10, 10)))) == [1]
+    assert distance(line((0, 0), (10, 0)), line((0, 5), (10, 7))) == 5 and distance(square(0, 100), square(40, 60)) == 0
+
+
+def test_containing_in_relations_with_holes(world):
+    rel = world.relations("a")
+    assert ids(rel.containing(line((10, 10), (10, 90)))) == [1000] and ids(rel.containing(line((10, 50), (90, 50)))) == []
+    around = Shape.of("polygon", [np.asarray([(20, 20), (80, 20), (80, 80), (20, 80), (20, 20)])])
+    assert ids(rel.containing(around)) == [] and ids(world.ways("a").containing(around)) == [100]
+
+
+def test_areas_on_the_boundary_are_within_by_their_centroid(spark):
+    from .town import library_of
+
+    notched = Shape.of("polygon", [np.asarray([(0, 0), (90, 0), (90, 90), (60, 90), (60, 30), (30, 30), (30, 90), (0, 90), (0, 0)])])
+    # all vertices on the boundary; the second spans the notch with most of its area in it
+    world = library_of(spark, {1: [(0, 0), (90, 0), (60, 30), (30, 30), (0, 0)], 2: [(30, 30), (60, 30), (60, 90), (30, 90), (30, 30)]}, {})
+    assert ids(world.ways("a").within(notched)) == [1]
+
+
+def test_membership_and_nodes_by_use(world, spark):
+    pub = world("n[amenity=pub]")
+    assert pub in world and pub.one() in world.nodes() and pub not in world.ways() and world("a[leisure]").one() in world("a")
+    assert ids(world("n").sharing_location()) == [1, 4] and ids(world.sharing_location().duplicates()) == [] and ids(world.orphans()) == []
+    from .town import library_of
+
+    bare = library_of(spark, {}, {70: (5, 5, {}), 71: (5, 5, {}), 72: (6, 6, {"a": "b"})})
+    assert ids(bare.duplicates()) == [70, 71] and ids(bare.orphans()) == [70, 71]
+
+
+def test_geometry_in_and_out(world):
+    from terrafold.functions import geometry
+    from terrafold.functions.mercator import Plane
+
+    lon, lat = Plane.lon, Plane.lat
+    text = "POLYGON((" + ",".join(f"{lon(x):.12f} {lat(y):.12f}" for x, y in [(0, 0), (100, 0), (100, 100), (0, 100), (0, 0)]) + "))"
+    assert ids(world.nodes("n[amenity]").within(text)) == [1, 4] and ids(world.nodes("n[amenity]").within(geometry.to_wkb(geometry.parse_wkt(text)))) == [1, 4]
+    texts = {
+        "POINT(1 -2.5)": ("POINT", [(1.0, -2.5)]), "point empty": ("POINT", []), "LINESTRING Z (1 2 9,3 4 9)": ("LINESTRING", [(1.0, 2.0), (3.0, 4.0)]),
+        "POLYGON((0 0,1 0,1 1,0 0),(0 0,1e-3 0,0 1,0 0))": ("POLYGON", [[(0, 0), (1, 0), (1, 1), (0, 0)], [(0, 0), (0.001, 0), (0, 1), (0, 0)]]),
+        "MULTIPOINT(1 2,(3 4))": ("MULTIPOINT", [(1, 2), (3, 4)]), "MULTILINESTRING((1 2,3 4),(5 6,7 8))": ("MULTILINESTRING", [[(1, 2), (3, 4)], [(5, 6), (7, 8)]]),
+        "MULTIPOLYGON(((0 0,1 0,1 1,0 0)))": ("MULTIPOLYGON", [[[(0, 0), (1, 0), (1, 1), (0, 0)]]]),
+        "GEOMETRYCOLLECTION(POINT(1 2),LINESTRING(1 2,3 4))": ("GEOMETRYCOLLECTION", [("POINT", [(1, 2)]), ("LINESTRING", [(1, 2), (3, 4)])]),
+    }
+    for t, want in texts.items():
+        assert geometry.parse_wkt(t) == want and geometry.parse_wkb(geometry.to_wkb(want)) == want, t
+    for bad in ("", "POINT", "POINT(1)", "POINT(1 2", "CIRCLE(1 2)", "POINT(1 2) x", "LINESTRING((1 2))"):
+        with pytest.raises(geometry.GeometryError):
+            geometry.parse_wkt(bad)
+    wkt = {r.typed_id: r.geometry for r in world.geometries("wkt", 9).collect()}
+    wkb = {r.typed_id: bytes(r.geometry) for r in world.geometries("wkb").collect()}
+    assert {k: geometry.parse_wkb(v) for k, v in wkb.items()} == {k: geometry.parse_wkt(v) for k, v in wkt.items()}
+
+
+def test_map_draws_relations_and_never_drops_features(world):
+    page = world.relations().map_html()
+    # the area with its hole as one polygon; the route's ways and stop; the networks' members through each other
+    assert page.count("L.polygon(") == 1 and page.count("L.polyline(") == 3 * 2 and page.count("L.circleMarker(") == 1 + 2 * 2
+    with pytest.raises(ValueError, match="more than 2"):
+        world.map_html(most=2)
+
+
 def test_measures_and_output(world):
     meters = 40075016.68558 / 4294967294.9999
     assert world("w[highway=primary]").length() == pytest.approx(200 * meters, rel=1e-6)
@@ -94,6 +175,13 @@ def test_library_round_trip(world, spark, tmp_path):
     world.lib.write(str(tmp_path / "lib"))
     again = Library.open(spark, str(tmp_path / "lib"))
     assert again.features.count() == world.lib.features.count() and again.way_nodes.count() == world.lib.way_nodes.count()
+    assert again.indexed == world.lib.indexed and again.meta["revision"] == 1 and len(again.meta["guid"]) == 36
+    with pytest.raises(LibraryError):
+        Library.open(spark, str(tmp_path / "lib"), indexed=("other",))
+    again.write(str(tmp_path / "next"), source="town")
+    meta = Library.open(spark, str(tmp_path / "next")).meta
+    assert (meta["revision"], meta["guid"], meta["properties"]) == (2, again.meta["guid"], {"source": "town"})
+    assert all(r.cell == again.features.first().cell for r in again.tile(again.features.first().cell).collect()) and again.tile(-7).count() == 0
     with pytest.raises(LibraryError):
         Library.open(spark, str(tmp_path / "none"))
     from terrafold.streaming.tagstream import matching, read_features

@@ -34,6 +34,16 @@ def library(spark):
                   spark.createDataFrame(members, "rel_id long, seq int, m_type int, m_id long, role string"))
 
 
+def library_of(spark, areas, nodes):
+    """Closed ways given by vertices, which are no nodes, and nodes."""
+    n = spark.createDataFrame([(k, *v) for k, v in nodes.items()], f"id long, x int, y int, tags {TAGS}")
+    ways = spark.createDataFrame([(k, {"area": "yes"}) for k in areas], f"id long, tags {TAGS}")
+    vertices = [(k, i, 1000 * k + i, x, y) for k, ring in areas.items() for i, (x, y) in enumerate(ring)]
+    none = spark.createDataFrame([], f"id long, tags {TAGS}")
+    members = spark.createDataFrame([], "rel_id long, seq int, m_type int, m_id long, role string")
+    return Features.of(derive(n, ways, none, spark.createDataFrame(vertices, "way_id long, seq int, node_id long, x int, y int"), members))
+
+
 def town(spark):
     lib = library(spark)
     kept = {n: getattr(lib, n).cache() for n in ("features", "way_nodes", "members")}
