@@ -16,10 +16,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 #: Bound of the sample that is learned from: so many documents of each label, by the order of a hash.
 SAMPLE = 2500
@@ -111,14 +111,6 @@ class Scorer:
             at += w * FILTERS
         return float(np.concatenate(pooled) @ m.out + m.out_bias)
 
-    def score(self, text: str | None) -> float:
-        """0 to 1; 0.5 at the cut of the text's language. Null is scored as the empty text."""
-        if self.m.out is None:
-            return 0.0
-        text = text or ""
-        z = self.logit(text) - self.m.cuts.get(language(text), self.m.cuts[""])
-        return 1 / (1 + float(np.exp(-np.clip(z, -30, 30))))
-
 
 def spared(rng: np.random.Generator, n: int) -> np.ndarray:
     """Which of n texts the filters aren't learned from."""
@@ -238,18 +230,23 @@ def cut(z: np.ndarray, y: np.ndarray, n: np.ndarray | None = None) -> float:
     return float(edges[best[widths[best].argmax()]])
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model from the labelled documents whose crc32(doc_id as text) mod 5 is not 0.
-
-    The filters are learned from a bounded sample of them, SAMPLE documents of each label by the order of a hash
-    of doc_id, and the cuts from all the others, where both labels are among them.
-    Rows with a null label or text take no part; a doc_id labelled twice counts by its higher label.
-    """
-    train_ids = (
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that may be learned from, one row a doc_id."""
+    return (
         labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna()
         .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
         .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     )
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, list[int]]:
+    """Filters, with first cuts, from a bounded sample of the labelled documents whose crc32(doc_id as text) mod 5 is not 0.
+
+    The sample is SAMPLE documents of each label by the order of a hash of doc_id. Also gives the doc_ids that the
+    filters are learned from. Rows with a null label or text take no part; a doc_id labelled twice counts by its
+    higher label, one on rows of different texts by the least text.
+    """
+    train_ids = labelled(labels)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(train_ids, "doc_id")
     chosen = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for k in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * SAMPLE rows
@@ -257,26 +254,38 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     found = {r["doc_id"]: r for r in rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()}
     order = sorted(found)
     model = train([found[i]["text"] for i in order], [found[i]["toxic"] for i in order])
-    if model.out is not None:
-        fitted = [(i,) for i, out in zip(order, spared(np.random.default_rng(SEED), len(order)), strict=True) if not out]
-        calibrate(model, histogram(docs, train_ids, docs.sparkSession.createDataFrame(fitted, "doc_id long"), model))
-    return model
+    return model, [i for i, out in zip(order, spared(np.random.default_rng(SEED), len(order)), strict=True) if not out]
+
+
+def logits(texts: pa.Array, scorer: Scorer) -> pa.StructArray:
+    """(lang, logit) of each text; null is scored as the empty text."""
+    langs, made = [], []
+    for t in texts:
+        t = t.as_py() or ""
+        langs.append(language(t))
+        made.append(scorer.logit(t) if scorer.m.out is not None else 0.0)
+    return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(made, pa.float64())], ["lang", "logit"])
 
 
-def histogram(docs: DataFrame, train_ids: DataFrame, fitted: DataFrame, model: Model) -> pd.DataFrame:
-    """(lang, toxic, bin, n): logits of all labelled training rows of docs but the fitted ones. Bounded by the bins."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def with_logits(rows: DataFrame, model: Model) -> DataFrame:
+    """rows and a column s (lang, logit) of their text: each text is scored once, in a written table."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # rows of the bounded sample's words
 
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang string, logit double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(0)]
-            made = [int(np.floor(np.clip(scorer.logit(t), -REACH, REACH) * BINS)) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(map(language, texts), pa.string()), batch.column(1), pa.array(made, pa.int32())], ["lang", "toxic", "bin"])
+        for texts in batches:
+            yield logits(texts, scorer)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    rows = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).join(train_ids.hint("merge"), "doc_id").join(F.broadcast(fitted), "doc_id", "left_anti")
-    return rows.select("text", "toxic").mapInArrow(bins, "lang string, toxic int, bin int").groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n")).toPandas()
+    return materialize(rows.withColumn("s", score("text")), "logits")
+
+
+def histogram(scored: DataFrame, train_ids: DataFrame, fitted: list[int]) -> pd.DataFrame:
+    """(lang, toxic, bin, n): logits of all labelled training rows but the fitted ones. Bounded by the bins."""
+    out = F.broadcast(scored.sparkSession.createDataFrame([(i,) for i in fitted], "id long"))  # at most 2 * SAMPLE rows
+    rows = scored.where("known").select("id", "s.*").join(out, "id", "left_anti").join(train_ids.withColumnRenamed("doc_id", "id"), "id")
+    bin_ = F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.col("logit"))) * BINS).cast("int").alias("bin")
+    return rows.groupBy("lang", "toxic", bin_).agg(F.count("*").alias("n")).toPandas()
 
 
 def calibrate(model: Model, found: pd.DataFrame) -> None:
@@ -291,40 +300,43 @@ def calibrate(model: Model, found: pd.DataFrame) -> None:
             model.cuts[str(lang)] = cut(z[mine], y[mine], n[mine])
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, extra: tuple = ()) -> tuple[DataFrame, Column]:
+    """A written table of all rows of docs (id, extra columns, s), and the score, 0.5 at the cut of a text's language."""
+    model, fitted = fit(docs, labels)
+    ids = F.col("doc_id").cast("long").alias("id")
+    scored = with_logits(docs.select(ids, F.col("text").isNotNull().alias("known"), *extra, "text"), model).drop("text")
+    if model.out is None:
+        return scored, F.lit(0.0)
+    calibrate(model, histogram(scored, labelled(labels), fitted))
+    at = F.lit(model.cuts[""])
+    for lang, z in model.cuts.items():
+        at = F.when(F.col("s.lang") == lang, z).otherwise(at) if lang else at
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("s.logit") - at))
+    return scored, 1 / (1 + F.exp(-z))
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs; null and empty texts are scored as empty.
 
+    Learned from the labelled documents whose crc32(doc_id as text) mod 5 is not 0; cuts come from all of them but
+    those that the filters are learned from, where both labels are among them. Without both labels all scores are 0.
     Repeated rows are scored each; an empty table gives none; columns besides doc_id and text aren't read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # rows of the bounded sample's words
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            made = [scorer.score(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(made, pa.float64()), pa.array([int(s >= 0.5) for s in made], pa.int32())],
-                ["doc_id", "held_out", "score", "predicted"],
-            )
-
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    scored, score = scores(docs, labels)
+    held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return scored.select(F.col("id").alias("doc_id"), held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return classify(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic, with the columns of docs."""
-    shared = spark.sparkContext.broadcast(learn(docs, table(spark, sf_dir, "labels")))
+    """Documents that aren't predicted toxic, with the columns of docs; clashing names in docs are harmless.
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(shared.value)
-        for part in texts:
-            yield pd.Series([scorer.score(t) for t in part], dtype="f8")
-
-    return docs.where(score(F.col("text")) < 0.5)
+    Null and empty texts stay unless the empty text is toxic by the model; repeated rows are judged each, alike; an
+    empty table stays empty.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    scored, score = scores(docs, table(spark, sf_dir, "labels"), (row,))
+    return scored.where(score < 0.5).select("row.*")

@@ -23,7 +23,7 @@ def test_held_out_accuracy(spark):
     docs = [(i, t, "en", 0.0, 1) for i, t, _ in rows] + [(2000, None, None, 0.0, 1), (2001, "", None, 0.0, 1), (2002, "a " * 30000, "en", 0.0, 1)]
     df = spark.createDataFrame([*docs, docs[0]], SCHEMA)
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(5, 1, None)], "doc_id long, quality int, toxic int")
-    got = toxicity.classify(df, toxicity.learn(df, labels)).collect()
+    got = toxicity.classify(df, labels).collect()
     assert len(got) == len(docs) + 1 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     truth = {i: y for i, _, y in rows}
     held = [r for r in got if r.held_out and r.doc_id in truth]
@@ -34,9 +34,9 @@ def test_held_out_accuracy(spark):
 def test_no_labels_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a", "en", 0.0, 1)], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert [r.predicted for r in toxicity.classify(df, toxicity.learn(df, none)).collect()] == [0]
+    assert [r.predicted for r in toxicity.classify(df, none).collect()] == [0]
     empty = df.limit(0)
-    assert toxicity.classify(empty, toxicity.learn(empty, none)).count() == 0
+    assert toxicity.classify(empty, none).count() == 0
 
 
 def test_cuts_cover_all_labelled_training_rows(spark, monkeypatch):
@@ -50,15 +50,45 @@ def test_cuts_cover_all_labelled_training_rows(spark, monkeypatch):
     rows = list(made(900, 3))
     docs = spark.createDataFrame([(i, t, "en", 0.0, 1) for i, t, _ in rows], SCHEMA)
     labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
-    model = toxicity.learn(docs, labels)
+    got = toxicity.classify(docs, labels).where(F.col("held_out")).collect()
     n_train = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in rows)
     n_fit = int((~toxicity.spared(toxicity.np.random.default_rng(toxicity.SEED), 120)).sum())
     assert seen[0]["n"].sum() == n_train - n_fit
-    got = toxicity.classify(docs, model).where(F.col("held_out")).collect()
     truth = {i: y for i, _, y in rows}
     assert sum(r.predicted for r in got if not truth[r.doc_id]) <= 0.05 * len(got)
 
 
+def test_logits_against_plain_convolution():
+    """Pooled responses of all windows, one window at a time, against the scorer's."""
+    np = toxicity.np
+    rows = list(made(300, 5))
+    model = toxicity.train([t for _, t, _ in rows], [y for *_, y in rows])
+    scorer = toxicity.Scorer(model)
+    for text in ["", "x", "vilefoo dumbbarly the", rows[0][1], rows[7][1]]:
+        embedded = [model.table[model.at(np.asarray(toxicity.features(w)))].sum(0) for w in toxicity.WORD.findall(text.lower())]
+        pooled = []
+        for w in toxicity.WIDTHS:
+            every = [sum(embedded[i + k] @ model.filters[w][k] for k in range(w)) + model.bias[w] for i in range(len(embedded) - w + 1)]
+            pooled.append(np.maximum(0, np.max(every, axis=0)) if every else np.zeros(toxicity.FILTERS))
+        assert abs(scorer.logit(text) - (np.concatenate(pooled) @ model.out + model.out_bias)) < 1e-3
+
+
+def test_stage_with_odd_rows(spark, tmp_path):
+    """Nulls, repeated rows, clashing names and an empty table."""
+    rows = list(made(600, 6))
+    docs = spark.createDataFrame([(i, t, float(y), "x", t) for i, t, y in [*rows, rows[0], (3000, None, 0), (None, "the", 0)]], "doc_id long, text string, s double, id string, row string")
+    spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = got.collect()
+    clean = sum(not r[2] for r in rows)
+    assert sum(r.s == 0 and r.id == "x" for r in kept) >= 0.98 * clean and sum(r.s for r in kept) <= 0.03 * len(rows)
+    assert sum(r.doc_id == rows[0][0] for r in kept) in (0, 2)
+    predicted = {r.doc_id: r.predicted for r in toxicity.classify(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    assert {r.doc_id for r in kept} == {i for i, p in predicted.items() if not p} and 3000 in predicted and None in predicted
+    assert toxicity.stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_cut_counts_rows_of_a_bin():
     np = toxicity.np
     z, y, n = np.asarray([-1.0, 0.5, 0.5, 2.0]), np.asarray([0, 0, 1, 1]), np.asarray([900, 1, 5, 20])
