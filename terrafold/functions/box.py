@@ -150,3 +150,31 @@ def row_from_y(y: Column, zoom: int) -> Column:
 def cell(x: Column, y: Column, zoom: int = 12) -> Column:
     """The number of the tile that holds a point."""
     return (F.lit(zoom << 24) + row_from_y(y, zoom) * 4096 + column_from_x(x, zoom)).cast("int")
+
+
+def hilbert(column: Column, row: Column, zoom: int = 12) -> Column:
+    """Place of a tile on the Hilbert curve through all tiles of a zoom: tiles near on the curve are near on the map."""
+
+    def step(state: Column, bit: Column) -> Column:
+        side = F.shiftleft(F.lit(1), zoom) - 1
+        x, y, d = state["x"], state["y"], state["d"]
+        right, down = x.bitwiseAND(bit) > 0, y.bitwiseAND(bit) > 0
+        quarter = F.when(right, F.when(down, 2).otherwise(3)).otherwise(F.when(down, 1).otherwise(0)).cast("long")
+        turned_x = F.when(down, x).when(right, side - y).otherwise(y)
+        turned_y = F.when(down, y).when(right, side - x).otherwise(x)
+        return F.struct(turned_x.cast("int").alias("x"), turned_y.cast("int").alias("y"), (d + quarter * bit * bit).alias("d"))
+
+    bits = F.array(*[F.lit(1 << k).cast("int") for k in range(zoom - 1, -1, -1)])
+    start = F.struct(column.cast("int").alias("x"), row.cast("int").alias("y"), F.lit(0).cast("long").alias("d"))
+    return F.aggregate(bits, start, step, lambda s: s["d"])
+
+
+def tile_pair(tiles: list[Tile]) -> tuple[Tile, ...]:
+    """The smallest cover of tiles by one tile, or by two of one zoom side by side."""
+    if not tiles:
+        return ()
+    for zoom in range(min(t.zoom for t in tiles), -1, -1):
+        found = sorted({t.zoomed_out(zoom) for t in tiles}, key=lambda t: (t.row, t.column))
+        if len(found) == 1 or len(found) == 2 and found[1] in (found[0].neighbor(1, 0), found[0].neighbor(0, 1), found[0].neighbor(-1, 0)):
+            return tuple(found)
+    raise AssertionError("one tile of zoom 0 covers all")

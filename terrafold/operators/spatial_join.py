@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.box import Tile, column_from_x, row_from_y
+from ..sources.scratch import materialize
 from .kernel import edges_of, locate
 
 COVER, ZOOMS = 24, range(0, 13)
@@ -57,13 +58,15 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, strict: bool = Tr
     @F.pandas_udf("tinyint")
     def at(x: pd.Series, y: pd.Series, polygon: pd.Series, col: pd.Series, row: pd.Series, edges: pd.Series) -> pd.Series:
         out = np.full(len(x), -1, "i1")
-        frame = pd.DataFrame({"p": polygon, "c": col, "r": row})
-        for _, rows in frame.groupby(["p", "c", "r"]).indices.items():
-            e = np.asarray(edges.iloc[rows[0]], "i8").reshape(-1, 4)
-            out[rows] = locate(x.to_numpy("i8")[rows], y.to_numpy("i8")[rows], e)
+        frame = pd.DataFrame({"p": polygon, "c": col, "r": row})[edges.notna().to_numpy()]
+        px, py = x.to_numpy("i8"), y.to_numpy("i8")
+        for _, rows in frame.groupby(["p", "c", "r"]).groups.items():
+            e = np.asarray(edges[rows[0]], "i8").reshape(-1, 4)
+            out[rows] = locate(px[rows], py[rows], e)
         return pd.Series(out)
 
-    cells = polygons.select("id", "points").mapInPandas(covers, CELLS)
+    # written once: both the zooms and the join read it, and Spark broadcasts it only if its files are small
+    cells = materialize(polygons.select("id", "points").mapInPandas(covers, CELLS), "cells")
     zooms = sorted(r["zoom"] for r in cells.select("zoom").distinct().collect())  # at most 13 rows
     tiled = points.withColumn("zoom", F.explode(F.array(*map(F.lit, zooms)) if zooms else F.expr("array()").cast("array<int>")))
     col, row = F.lit(None).cast("int"), F.lit(None).cast("int")
@@ -71,8 +74,5 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, strict: bool = Tr
         col = F.when(F.col("zoom") == z, column_from_x(F.col("min_x"), z)).otherwise(col)
         row = F.when(F.col("zoom") == z, row_from_y(F.col("min_y"), z)).otherwise(row)
     joined = tiled.withColumn("col", col).withColumn("row", row).join(cells, ["zoom", "col", "row"])
-    cols = [*points.columns, "polygon"]
-    whole = joined.where("inside").select(*cols)
     test = at("min_x", "min_y", "polygon", "col", "row", "edges")
-    edge = joined.where("NOT inside").where(test > 0 if strict else test >= 0).select(*cols)
-    return whole.unionByName(edge)
+    return joined.where(F.col("inside") | (test > 0 if strict else test >= 0)).select(*points.columns, "polygon")

@@ -6,11 +6,12 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.box import cell
+from ..functions.box import cell, hilbert
 from .scratch import discard, materialize
 
 FEATURES = (
@@ -21,7 +22,7 @@ FEATURES = (
 OPTIONAL = ("points",)
 WAY_NODES = "way_id bigint, seq int, node_id bigint, x int, y int"
 MEMBERS = "rel_id bigint, seq int, m_type tinyint, m_id bigint, m_typed_id bigint, role string"
-META = "indexed array<string>, revision bigint, timestamp string, guid string, properties map<string,string>"
+META = "indexed array<string>, revision bigint, timestamp string, guid string, properties map<string,string>, folder string"
 TABLES = {"features": FEATURES, "way_nodes": WAY_NODES, "members": MEMBERS}
 #: Keys with a bit in key_bits, 31 at most. A parameter of every library; these are the defaults.
 INDEXED = ("amenity", "shop", "highway", "building", "railway", "landuse", "natural", "leisure", "tourism", "waterway", "power", "boundary", "place", "man_made", "route")
@@ -65,23 +66,23 @@ class Library:
         return self.features.sparkSession
 
     @staticmethod
-    def open(spark: SparkSession, path: str, indexed=None) -> Library:
-        """The library in a folder, with the indexed keys that it was written with.
+    def open(spark: SparkSession, path: str, indexed=None, revision: int | None = None) -> Library:
+        """The library in a folder, with the indexed keys that it was written with; its last revision, or an earlier one.
 
         Missing tables, wrong columns and other indexed keys than the library's are errors before any query runs.
         """
-        try:
-            meta = spark.read.schema(META).json(f"{path}/meta").first()
-        except Exception:  # a library without metadata
-            meta = None
-        meta = meta.asDict(recursive=True) if meta else {}
+        meta = revisions(spark, path).get(revision, {})
+        if revision is not None and not meta:
+            raise LibraryError(f"no revision {revision} in {path}")
+        folder = meta.pop("folder", None)
+        base = f"{path}/{folder}" if folder else path
         known = tuple(meta.pop("indexed", None) or indexed or INDEXED)
         if indexed is not None and tuple(indexed) != known:
             raise LibraryError(f"the library in {path} has other indexed keys: {', '.join(known)}")
         found = {}
         for name, ddl in TABLES.items():
             try:
-                df = spark.read.parquet(f"{path}/{name}")
+                df = spark.read.parquet(f"{base}/{name}")
             except Exception as e:
                 raise LibraryError(f"no table {name} in {path}") from e
             wanted = T._parse_datatype_string(ddl)
@@ -93,21 +94,30 @@ class Library:
         return Library(**found, indexed=known, meta={k: v for k, v in meta.items() if v is not None})
 
     def write(self, path: str, files: int | None = None, **properties: str) -> None:
-        """Clustered for pruning: features by tile, vertices and members by owner. Spark's commit makes each table appear whole.
+        """Clustered for pruning: features by tile along a Hilbert curve, vertices and members by owner.
 
-        Metadata is written last: revision counts up from that of the library it was made of.
+        Files and row groups so hold compact parts of the map. A library that is there already gets a further
+        revision in a folder of its own: tables are written first, the one file of metadata that makes them the
+        library last, so readers see the old revision or the new one whole, and open sets go on reading theirs.
         """
+        before = revisions(self.spark, path).get(None, {})
+        revision = max(before.get("revision") or 0, self.meta.get("revision", 0)) + 1
+        folder = f"revision-{revision}" if before else ""
+        base = f"{path}/{folder}" if folder else path
+
         def dealt(df: DataFrame, *by: str) -> DataFrame:
             ranged = df.repartitionByRange(files, *by) if files else df.repartitionByRange(*by)
             return ranged.sortWithinPartitions(*by)
 
-        dealt(self.features, "cell", "type", "id").write.parquet(f"{path}/features")
-        dealt(self.way_nodes, "way_id", "seq").write.parquet(f"{path}/way_nodes")
-        dealt(self.members, "rel_id", "seq").write.parquet(f"{path}/members")
+        tile = F.coalesce(F.col("cell"), F.lit(0)).bitwiseAND((1 << 24) - 1)
+        placed = self.features.withColumn("_place", hilbert(tile % 4096, F.floor(tile / 4096)))
+        dealt(placed, "_place", "type", "id").drop("_place").write.parquet(f"{base}/features")
+        dealt(self.way_nodes, "way_id", "seq").write.parquet(f"{base}/way_nodes")
+        dealt(self.members, "rel_id", "seq").write.parquet(f"{base}/members")
         now = datetime.now(timezone.utc).isoformat(timespec="seconds")
         all_ = {**(self.meta.get("properties") or {}), **properties}
-        row = (list(self.indexed), int(self.meta.get("revision", 0)) + 1, now, self.meta.get("guid") or str(uuid.uuid4()), all_)
-        self.spark.createDataFrame([row], META).coalesce(1).write.json(f"{path}/meta")
+        row = (list(self.indexed), revision, now, self.meta.get("guid") or before.get("guid") or str(uuid.uuid4()), all_, folder)
+        self.spark.createDataFrame([row], META).coalesce(1).write.mode("append").json(f"{path}/meta")
 
     def tile(self, number: int) -> DataFrame:
         """Features of one tile (cell); a tile that the library lacks has none. The scan skips other tiles' row groups."""
@@ -129,6 +139,16 @@ class Library:
         return self.features.join(typed, "typed_id", "left_semi")
 
 
+def revisions(spark: SparkSession, path: str) -> dict:
+    """Metadata by revision, a row each; the last one also under None. Empty for folders without metadata."""
+    try:
+        rows = [r.asDict(recursive=True) for r in spark.read.schema(META).json(f"{path}/meta").collect()]
+    except AnalysisException:
+        return {}
+    found = {r["revision"]: r for r in rows}
+    return {**found, None: dict(found[max(found)])} if found else {}
+
+
 def area_rule(tags: Column, closed: Column) -> Column:
     """Closed ways with area=yes, or an area key and not area=no."""
     keyed = F.lit(False)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions.box import Box
-from terrafold.operators.features import ResultError
+from terrafold.operators.features import Features, ResultError
 from terrafold.operators.kernel import Shape
 from terrafold.operators.spatial import UnsupportedGeometry
 from terrafold.sources.library import Library, LibraryError
@@ -181,6 +181,11 @@ def test_library_round_trip(world, spark, tmp_path):
     again.write(str(tmp_path / "next"), source="town")
     meta = Library.open(spark, str(tmp_path / "next")).meta
     assert (meta["revision"], meta["guid"], meta["properties"]) == (2, again.meta["guid"], {"source": "town"})
+    Features.of(again)("n[amenity]").lib.write(str(tmp_path / "lib"))
+    assert Library.open(spark, str(tmp_path / "lib")).meta["revision"] == 2 and again.features.count() == world.lib.features.count()
+    assert Library.open(spark, str(tmp_path / "lib"), revision=1).meta["revision"] == 1
+    with pytest.raises(LibraryError):
+        Library.open(spark, str(tmp_path / "lib"), revision=3)
     assert all(r.cell == again.features.first().cell for r in again.tile(again.features.first().cell).collect()) and again.tile(-7).count() == 0
     with pytest.raises(LibraryError):
         Library.open(spark, str(tmp_path / "none"))

@@ -57,3 +57,39 @@ def test_boxes_and_tiles():
         for x, y in ((0, 0), (-(2**31), 2**31 - 1), (2**31 - 1, -(2**31)), (123456789, -987654321)):
             t = Tile.at(x, y, z)
             assert t.bounds.contains(x, y) and t.zoomed_out(0) == Tile(0, 0, 0)
+
+
+def test_hilbert_curve_visits_every_tile_by_single_steps(spark):
+    from pyspark.sql import functions as F
+
+    from terrafold.functions.box import Tile, hilbert, tile_pair
+
+    tiles = [(c, r) for c in range(16) for r in range(16)]
+    rows = spark.createDataFrame(tiles, "c int, r int").select("c", "r", hilbert(F.col("c"), F.col("r"), 4).alias("d")).collect()
+    path = [(r.c, r.r) for r in sorted(rows, key=lambda r: r.d)]
+    assert sorted(r.d for r in rows) == list(range(256)) and all(abs(a - c) + abs(b - d) == 1 for (a, b), (c, d) in zip(path, path[1:], strict=False))
+    t = lambda z, c, r: Tile(z, c, r)
+    assert tile_pair([]) == () and tile_pair([t(3, 1, 1)]) == (t(3, 1, 1),)
+    assert tile_pair([t(3, 1, 1), t(3, 2, 1)]) == (t(3, 1, 1), t(3, 2, 1)) and tile_pair([t(3, 1, 1), t(3, 2, 2)]) == (t(1, 0, 0),)
+    assert tile_pair([t(3, 1, 1), t(2, 1, 0)]) == (t(2, 0, 0), t(2, 1, 0))
+
+
+def test_edges_of_many_against_pairs():
+    from terrafold.operators.kernel import each_meets, meets
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        a, b = rng.integers(-9, 9, (60, 4)), rng.integers(-9, 9, (30, 4))
+        got = each_meets(a, b)
+        assert got.tolist() == [meets(a[k : k + 1], b) for k in range(60)]
+        slow = [any(crosses(p, q) for q in b.tolist()) for p in a.tolist()]
+        assert got.tolist() == slow
+
+
+def crosses(p, q):
+    """Whether two segments share a point, in exact arithmetic."""
+    turn = lambda ax, ay, bx, by, cx, cy: (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    on = lambda s, x, y: turn(*s, x, y) == 0 and min(s[0], s[2]) <= x <= max(s[0], s[2]) and min(s[1], s[3]) <= y <= max(s[1], s[3])
+    if on(p, *q[:2]) or on(p, *q[2:]) or on(q, *p[:2]) or on(q, *p[2:]):
+        return True
+    return (turn(*p, *q[:2]) > 0) != (turn(*p, *q[2:]) > 0) and (turn(*q, *p[:2]) > 0) != (turn(*q, *p[2:]) > 0) and 0 not in (turn(*p, *q[:2]), turn(*p, *q[2:]), turn(*q, *p[:2]), turn(*q, *p[2:]))
