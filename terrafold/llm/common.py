@@ -2,15 +2,55 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import discard, materialize, shared_dir  # noqa: F401
+from ..sources import scratch
+from ..sources.scratch import discard, shared_dir  # noqa: F401
 
 #: White space between words, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch of rows that goes to Python and of one that comes back, about: texts may be long.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write df once to the shared folder and read it back, with batches to Python bounded by bytes from here on."""
+    spark = df.sparkSession
+    if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+    return scratch.materialize(df, label)
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work on the batches of a task, which gives its memory back to the system when the task ends.
+
+    Workers serve one task after another, of this stage and others; what a task freed but kept would add up.
+    """
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,3 +67,18 @@ def let(value: Column, body) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key with more than one in so many of all rows is hot; there are at most so many such keys.
+HOT = 1000
+
+
+def join_sized(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Left join with a table that has a row a key and how many of ``total`` rows it has.
+
+    Hot keys, HOT at most, are broadcast, so that no key makes a task of its own; all others meet in a shuffle.
+    """
+    hot = F.col(size) * HOT > total
+    first = left.join(F.broadcast(right.where(hot).withColumn("_hot", F.lit(True))), key, "left")
+    rest = first.where("_hot IS NULL").select(*left.columns).join(right.where(~hot), key, "left")
+    return first.where("_hot").drop("_hot").unionByName(rest)

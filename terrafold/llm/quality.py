@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize, table, words
+from .common import join_sized, let, materialize, table, words
 
 #: Fewest words, and most words in repeated windows of five in a hundred.
 MIN_WORDS, MAX_REPEAT = 10, 20
@@ -122,9 +122,13 @@ def base_failed(s: Column) -> Column:
     return f["short"] | f["repeats"]
 
 
-def kept(s: Column) -> Column:
-    f = fails(s)
-    return ~base_failed(s) & ~(F.col("host_rejected") & (f["symbols"] | f["lines"]))
+def with_verdicts(rows: DataFrame) -> DataFrame:
+    """A table of rows (host, s, ...) with kept: only rows beyond a soft limit are joined with their host's verdict."""
+    f, failed = fails(F.col("s")), base_failed(F.col("s"))
+    unsure = ~failed & (f["symbols"] | f["lines"])
+    bad = host_verdicts(rows).where("host_rejected").select("host", "n_docs", F.lit(False).alias("kept"))
+    judged = join_sized(rows.where(unsure), bad, "host", "n_docs", rows.count()).withColumn("kept", F.coalesce("kept", F.lit(True))).drop("n_docs")
+    return rows.where(~unsure).withColumn("kept", ~failed).unionByName(judged)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -137,19 +141,18 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     ids = docs.select("doc_id", "text", "source")
     rows = materialize(score(ids).select("doc_id", "host", "s"), "quality")
-    return (
-        rows.join(host_verdicts(rows).select("host", "host_rejected"), "host")
-        .select("doc_id", "s.*", base_failed(F.col("s")).alias("base_failed"), kept(F.col("s")).alias("kept"))
-    )
+    return with_verdicts(rows).select("doc_id", "s.*", base_failed(F.col("s")).alias("base_failed"), "kept")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that judge() keeps, with the columns of docs; clashing names in docs are harmless."""
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", "source")
-    verdicts = host_verdicts(score(inner.select("text", "source"))).select("host", "host_rejected")
-    hosts = inner.withColumn("host", host_of())
-    # the counts are bound inside one expression: as a column, each use in the filter would compute them again
-    return hosts.join(materialize(verdicts, "hosts"), "host").where(let(signals(F.col("text")), kept)).select("row.*")
+    """Documents that judge() keeps, with the columns of docs; clashing names in docs are harmless.
+
+    Null and empty texts go; repeated rows are judged alike, each on its own; an empty table stays empty. Each text
+    is counted once, in a written table of the documents with their counts.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = materialize(score(docs.select(row, "text", "source")).drop("text", "source"), "quality")
+    return with_verdicts(rows).where("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
