@@ -19,9 +19,10 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import compress, expand, narrow
-from .common import materialize, partitions, table
+from .common import lean, materialize, partitions, table
 from .jaccard import mix, word_hashes
 
 K = 13
@@ -122,7 +123,7 @@ def edges(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             rows.append((int(b), name, compress(planes(h[part]), low, ids, narrow(pos[part]))))
         yield batch_of(rows)
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, ROW)
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut), ROW)
 
 
 def cuts(sorted_keys: np.ndarray) -> tuple[np.ndarray, list[slice]]:
@@ -192,11 +193,27 @@ def remove(docs: DataFrame, k: int = K) -> DataFrame:
     on the input. Null and empty texts have no words; of rows repeated with one doc_id none is a source for
     another; rows without doc_id are left whole; an empty table gives none; other columns aren't read.
     """
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            made = [z.compress((t.as_py() or "").encode()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "z"])
+    return removed(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), k).select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept")
+
+
+def removed(rows: DataFrame, k: int = K) -> DataFrame:
+    """Rows (id, text, ...) with n_words, n_removed and kept in place of text; a text that loses nothing stays in whole.
+
+    Each row is judged by its own words; what remove() says of texts and ids holds here.
+    """
+    others = [c for c in rows.columns if c not in ("id", "text")]
+
+    def packed(*more: str) -> DataFrame:
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            z = zstandard.ZstdCompressor(level=3)
+            for batch in batches:
+                made = [z.compress((t.as_py() or "").encode()) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), *batch.columns[2:]], ["id", "z", *more])
+
+        return rows.select("id", "text", *more).mapInArrow(lean(pack), with_columns("id long, z binary", *more))
+
+    def with_columns(ddl: str, *more: str) -> T.StructType:
+        return T.StructType([*T._parse_datatype_string(ddl).fields, *(rows.schema[c] for c in more)])
 
     def source_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -212,26 +229,29 @@ def remove(docs: DataFrame, k: int = K) -> DataFrame:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                words = z.decompress(r["z"]).split()
+            for data, spans_ in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                text = z.decompress(data.as_py())
+                words = text.split()
                 gone = np.zeros(len(words), bool)
-                for s in r["spans"] or ():
+                for s in spans_ or ():
                     end = s["start"] + s["n"] + k - 1
                     if end <= len(words) and digest(words[s["start"] : end]) == s["digest"]:
                         gone[s["start"] : end] = True
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-                out.append((r["doc_id"], len(words), int(gone.sum()), b" ".join(kept).decode()))
+                out.append((len(words), int(gone.sum()), b" ".join(kept).decode(), text.decode() if others and not gone.any() else None))
             cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
+            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[3:]], ["id", "n_words", "n_removed", "kept", "whole", *others])
 
-    found = materialize(spans(docs, k), "spans")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "doc_id long, z binary")
+    found = materialize(spans(rows.select(F.col("id").alias("doc_id"), "text"), k), "spans")
+    texts = packed(*others)
     asked = found.select("source_id", "source_start", "n").distinct().groupBy("source_id").agg(F.collect_list(F.struct("source_start", "n")).alias("asked"))
-    sources = texts.withColumnRenamed("doc_id", "source_id").join(asked, "source_id").mapInArrow(
-        source_digests, "source_id long, source_start int, n int, digest binary"
-    ).distinct()
-    proved = found.join(sources, ["source_id", "source_start", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans"))
-    return texts.join(proved, "doc_id", "left").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
+    sources = packed().withColumnRenamed("id", "source_id").join(asked, "source_id")
+    sources = sources.mapInArrow(lean(source_digests), "source_id long, source_start int, n int, digest binary").distinct()
+    proved = found.join(sources, ["source_id", "source_start", "n"]).groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans"))
+    return texts.join(proved, "id", "left").select("id", "z", "spans", *others).mapInArrow(
+        lean(cut), with_columns("id long, n_words long, n_removed long, kept string, whole string", *others)
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,11 +259,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; those with repeats keep the words left, and n_chars is theirs. The columns are those of docs."""
-    changed = remove(docs).where("n_removed > 0").select(F.col("doc_id").cast("long").alias("id"), "kept").dropDuplicates(["id"])
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    new = {"text": F.coalesce("kept", "row.text"), "n_chars": F.when(F.col("kept").isNull(), F.col("row.n_chars")).otherwise(F.length("kept").cast("long"))}
-    return inner.join(changed, "id", "left").select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    """All documents; those with repeats keep the words left, and n_chars is theirs. The columns are those of docs.
+
+    Null and empty texts stay as they are, and so do rows without doc_id; rows repeated with one doc_id are cut each
+    by its own words; an empty table stays empty; clashing names in docs are harmless.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("no text")).alias("row")
+    found = removed(docs.select(F.col("doc_id").cast("long").alias("id"), "text", row))
+    gone = F.col("n_removed") > 0
+    text = F.when(gone, F.col("kept")).when(~F.col("row.`no text`"), F.col("whole"))
+    new = {"text": text.cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(gone, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 SQL = f"""

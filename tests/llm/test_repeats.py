@@ -47,3 +47,15 @@ def test_stage_and_empty_table(spark):
     got = {r.doc_id: r for r in repeats.stage(spark, df, "").collect()}
     assert got[1].text == text and got[2].text == "own" and got[2].n_chars == 3 and got[None].text == text
     assert repeats.remove(df.limit(0)).count() == 0
+
+
+def test_stage_judges_rows_of_one_doc_id_by_their_own_words(spark):
+    """Different texts under one doc_id, odd columns, nulls and a very long text."""
+    shared, tail = " ".join(f"w{i}" for i in range(30)), "one tail"
+    rows = [(1, shared, 1.5), (2, "whole  other text", 2.5), (2, f"{tail} {shared}", 3.5), (3, None, 4.5), (4, "", 5.5), (5, "x " * 100_000 + shared, 6.5), (None, shared, 7.5)]
+    df = spark.createDataFrame([(i, t, v, "a", 1) for i, t, v in rows], "doc_id int, text string, kept double, `odd name` string, whole int")
+    got = {r.kept: (r.doc_id, r.text) for r in repeats.stage(spark, df, "").collect()}
+    assert repeats.stage(spark, df, "").columns == df.columns
+    # the long text's windows of x repeat within itself only
+    want = {1.5: (1, shared), 2.5: (2, "whole  other text"), 3.5: (2, tail), 4.5: (3, None), 5.5: (4, ""), 6.5: (5, " ".join(["x"] * 100_000)), 7.5: (None, shared)}
+    assert got == want
