@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import lean, partitions
 
 #: Text bytes of a block, about. One document is never cut.
 BLOCK_BYTES = 6 << 20
@@ -122,7 +122,7 @@ def cut_blocks(
             yield record_batch(rows)
 
     flagged = F.lit(True) if flag is None else flag
-    return docs.select(F.col("doc_id").cast("long"), flagged, "text").mapInArrow(cut, ROW)
+    return docs.select(F.col("doc_id").cast("long"), flagged, "text").mapInArrow(lean(cut), ROW)
 
 
 def split_words(lengths: np.ndarray, data: bytes) -> list[bytes]:

@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, partitions, table
+from .common import lean, materialize, partitions, table
 
 SIZE = 2048
 #: Bytes of words and their ids that a task keeps, about. Memory only, results are the same.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 48 << 20
 #: Text bytes whose words are looked up together, about.
 TOGETHER = 4 << 20
 #: A lone sign at a word's end is a token of its own, as it is after white space.
@@ -215,7 +215,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(lean(cut), PIECES)
 
 
 def best_fit(lengths: dict[int, int], size: int) -> Counter:
@@ -393,5 +393,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies; a last stage, so it returns pieces."""
+    """Where each piece of each document lies; a last stage, so it returns pieces.
+
+    Nulls, empty texts, repeated rows, empty tables and other columns are treated as by pack().
+    """
     return pack(docs, vocabulary())

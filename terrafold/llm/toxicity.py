@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import lean, materialize, table
 
 #: Bound of the sample that is learned from: so many documents of each label, by the order of a hash.
 SAMPLE = 2500
@@ -27,7 +27,7 @@ SAMPLE = 2500
 ROWS, SIZE, FILTERS, WIDTHS = 1 << 20, 8, 8, (1, 2, 3)
 EPOCHS, RATE, SEED = 4, 0.1, 17
 #: Words whose responses a worker keeps. Memory only.
-CACHE = 150_000
+CACHE = 100_000
 #: Logits of a unit that histograms tell apart, and the greatest logit they hold.
 BINS, REACH = 100, 40
 #: A false alarm counts as so many misses where cuts are calibrated: most documents are clean.
@@ -268,16 +268,19 @@ def logits(texts: pa.Array, scorer: Scorer) -> pa.StructArray:
 
 
 def with_logits(rows: DataFrame, model: Model) -> DataFrame:
-    """rows and a column s (lang, logit) of their text: each text is scored once, in a written table."""
+    """rows with a column s (lang, logit) in place of their text: each text is scored once, in a written table."""
     shared = rows.sparkSession.sparkContext.broadcast(model)  # rows of the bounded sample's words
 
-    @F.arrow_udf("lang string, logit double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts in batches:
             yield logits(texts, scorer)
 
-    return materialize(rows.withColumn("s", score("text")), "logits")
+    @F.arrow_udf("lang string, logit double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(scored)(batches)
+
+    return materialize(rows.withColumn("s", score("text")).drop("text"), "logits")
 
 
 def histogram(scored: DataFrame, train_ids: DataFrame, fitted: list[int]) -> pd.DataFrame:
@@ -304,7 +307,7 @@ def scores(docs: DataFrame, labels: DataFrame, extra: tuple = ()) -> tuple[DataF
     """A written table of all rows of docs (id, extra columns, s), and the score, 0.5 at the cut of a text's language."""
     model, fitted = fit(docs, labels)
     ids = F.col("doc_id").cast("long").alias("id")
-    scored = with_logits(docs.select(ids, F.col("text").isNotNull().alias("known"), *extra, "text"), model).drop("text")
+    scored = with_logits(docs.select(ids, F.col("text").isNotNull().alias("known"), *extra, "text"), model)
     if model.out is None:
         return scored, F.lit(0.0)
     calibrate(model, histogram(scored, labelled(labels), fitted))
