@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: A subtree is a template if it is on at least so many pages of its host, and on this share of them.
-LEAST_PAGES, SHARE = 8, 0.2
+#: A subtree is a template if it is on so many pages of its host and on this share of them, whichever is more; on a
+#: small host this larger share will do for the number, from FEWEST pages on.
+LEAST_PAGES, SHARE, SMALL_SHARE, FEWEST = 8, 0.2, 0.6, 3
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,13 +28,22 @@ BLOCKS = frozenset(
 DROPPED = RAW | frozenset(
     "head nav footer aside form button select option input label menu svg math canvas object embed audio video dialog datalist map".split()
 )
-#: Words in class, id or role that mark what isn't article text.
+#: Words that mark what isn't article text, where a name in class, id or role is made of them and of PARTS alone.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notification alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments "
     "disqus reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe subscription "
     "signup login popup modal overlay paywall widget pagination pager skip search complementary contentinfo".split()
 )
+#: Of these an article has none, whatever holds them or what they hold.
+READERS = frozenset("comment comments disqus reply replies respond discussion".split())
+#: Words for parts of a page, which say nothing of their own.
+PARTS = frozenset(
+    "site page main global top bottom left right upper lower inner outer primary secondary first second box area list section block "
+    "wrapper wrap container content inline slot unit bar item items form panel group links link icons icon buttons button message msg "
+    "header head body title text region zone holder row col column label header posts post articles article stories story thread threads "
+    "user reader bottom sticky fixed floating bg image img script iframe tag tags module component mobile desktop".split()
+)
 #: Inside an article a recurring subtree is a template only in these elements: texts shared by pages are no templates.
 CONTAINERS = frozenset("div section ul ol table figure details center dl".split())
 CLOSES = {
@@ -45,7 +55,8 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-PART = re.compile(r"[A-Za-z]+")
+PART = re.compile(r"[a-z]+")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 GAP = re.compile(r"\s+")
 
 
@@ -106,40 +117,76 @@ def parse(text: str) -> Node:
     return root
 
 
-def walk(root: Node) -> Iterator[tuple[Node, bool, bool]]:
+def walk(root: Node, drops: set[int]) -> Iterator[tuple[Node, bool, bool]]:
     """(node, inside a dropped element, inside an article), parents first. No recursion: pages may nest deeply."""
     todo = [(root, False, False)]
     while todo:
         node, gone, inside = todo.pop()
         yield node, gone, inside
-        gone = gone or dropped(node)
+        gone = gone or id(node) in drops
         inside = inside or node.tag in ("article", "main") and not gone
         todo.extend((c, gone, inside) for c in reversed(node.children) if isinstance(c, Node))
 
 
-def dropped(node: Node) -> bool:
-    if node.tag in DROPPED:
-        return True
-    if node.tag == "header":
-        return not any(isinstance(c, Node) and c.tag in ("h1", "h2") for c in node.children)
-    if node.tag in ("html", "body", "main", "#root") or not node.attrs:
-        return False
+def names_of(node: Node) -> tuple[bool, set[str]]:
+    """Whether an element is hidden, and the marks among the names in its class, id and role.
+
+    A name like "has-comments" or "notice-period" is no mark: it is not made of marks and parts alone.
+    """
+    found: set[str] = set()
     for name, *values in ATTRIBUTE.findall(node.attrs):
         value = next((v for v in values if v), "")
         name = name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, found
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif not MARKS.isdisjoint(PART.findall(value.lower())):
-            return True
-    return False
+                return True, found
+            continue
+        for token in value.split():
+            parts = PART.findall(CAMEL.sub("-", token).lower())
+            marks = MARKS.intersection(parts)
+            if marks and all(p in MARKS or p in PARTS for p in parts):
+                found |= marks
+    return False, found
+
+
+def dropped(root: Node) -> set[int]:
+    """Elements (by id()) that hold no article text.
+
+    By kind, or hidden; or marked by name: readers' comments always, others unless they are or hold an unmarked
+    article or main element. A header stays in an article, and elsewhere if it holds a top heading.
+    """
+    order: list[tuple[Node, bool]] = []
+    todo = [(root, False)]
+    while todo:
+        node, inside = todo.pop()
+        order.append((node, inside))
+        inside = inside or node.tag in ("article", "main")
+        todo.extend((c, inside) for c in node.children if isinstance(c, Node))
+    gone: set[int] = set()
+    holds: set[int] = set()  # elements that are or hold an article whose names aren't marked
+    for node, inside in reversed(order):
+        hidden, marks = names_of(node) if node.attrs and node.tag not in ("html", "body", "#root") else (False, set())
+        article = node.tag in ("article", "main") and not marks and not hidden or any(isinstance(c, Node) and id(c) in holds for c in node.children)
+        if node.tag in DROPPED or hidden or not READERS.isdisjoint(marks):
+            gone.add(id(node))
+        elif marks and not article and node.tag != "main":
+            gone.add(id(node))
+        elif node.tag == "header" and not inside and not article and not any(isinstance(c, Node) and c.tag in ("h1", "h2") for c in node.children):
+            gone.add(id(node))
+        elif article:
+            holds.add(id(node))
+    return gone
 
 
 def keys(root: Node) -> None:
     """Give each element the hash of its subtree: tag, attributes, text with single spaces, children."""
-    order = [n for n, _, _ in walk(root)]
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(c for c in node.children if isinstance(c, Node))
     for node in reversed(order):
         h = xxhash.xxh3_64(f"{node.tag} {node.attrs.strip()}".encode("utf-8", "surrogatepass"))
         for c in node.children:
@@ -151,8 +198,9 @@ def candidates(root: Node) -> set[int]:
     """Subtrees that may be templates: with text, not paragraphs or headings of an article."""
     keys(root)
     found = set()
-    for node, gone, inside in walk(root):
-        if gone or dropped(node) or node.tag in ("#root", "html", "body", "main", "article", "br", "hr", "img", "b", "i", "em", "strong", "span", "a"):
+    drops = dropped(root)
+    for node, gone, inside in walk(root, drops):
+        if gone or id(node) in drops or node.tag in ("#root", "html", "body", "main", "article", "br", "hr", "img", "b", "i", "em", "strong", "span", "a"):
             continue
         if not inside or node.tag in CONTAINERS:
             found.add(node.key)
@@ -163,7 +211,8 @@ def main_text(root: Node, templates: frozenset[int] = frozenset()) -> str:
     """Text of the articles (of the whole body where there is none), blocks joined by one line end."""
     if templates:
         keys(root)
-    has_article = any(n.tag in ("article", "main") and not gone and not dropped(n) for n, gone, _ in walk(root))
+    drops = dropped(root)
+    has_article = any(n.tag in ("article", "main") and not gone and id(n) not in drops for n, gone, _ in walk(root, drops))
     blocks: list[str] = []
     now: list[str] = []
 
@@ -183,7 +232,7 @@ def main_text(root: Node, templates: frozenset[int] = frozenset()) -> str:
             if inside:
                 now.append(node)
         else:
-            if dropped(node) or templates and node.key in templates and (not inside or node.tag in CONTAINERS):
+            if id(node) in drops or templates and node.key in templates and (not inside or node.tag in CONTAINERS):
                 if node.tag in BLOCKS:
                     close()
                 continue
@@ -205,10 +254,12 @@ def host_of(url):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, templates): hashes of subtrees on at least LEAST_PAGES and SHARE of a host's pages.
+    """(host, templates): hashes of subtrees that recur over a host's pages.
 
-    Hashes are counted by (host, hash) with partial counts, so a large host is no single task; as each is on
-    a SHARE of the pages, a host has at most the mean number of subtrees a page divided by SHARE.
+    A subtree is a template if it is on SHARE of a host's pages and on LEAST_PAGES of them, or on SMALL_SHARE of a
+    small host's pages, FEWEST at least. Hashes are counted by (host, hash) with partial counts, so a large host is
+    no single task; as each is on a share of the pages, a host has at most the mean number of subtrees a page
+    divided by SHARE. Each page is parsed once for the counts.
     """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,14 +271,17 @@ def templates(pages: DataFrame) -> DataFrame:
                 found.extend([None, *mine])  # null counts the page
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "hash"])
 
-    counts = (
+    counts = materialize(
         pages.select(host_of(F.col("url")).alias("host"), "html")
         .mapInArrow(hashes, "host string, hash long").groupBy("host", "hash").count()
-    )
+        .where(F.col("hash").isNull() | (F.col("count") >= FEWEST)),
+        "subtrees",
+    )
     total = counts.where("hash IS NULL").select("host", F.col("count").alias("pages"))
-    often = counts.where(F.col("hash").isNotNull() & (F.col("count") >= LEAST_PAGES))
+    n, pages_ = F.col("count"), F.col("pages")
+    enough = (n >= SHARE * pages_) & (n >= F.least(F.lit(LEAST_PAGES), F.greatest(F.lit(FEWEST), SMALL_SHARE * pages_)))
     return (
-        often.join(total, "host").where((F.col("count") >= SHARE * F.col("pages")) & (F.col("host") != ""))
+        counts.where("hash IS NOT NULL").join(total, "host").where(enough & (F.col("host") != ""))
         .groupBy("host").agg(F.array_sort(F.collect_list("hash")).alias("templates"))
     )
 

@@ -13,6 +13,52 @@ def test_main_text():
     assert got == ["Head & line", "One two three", "Four <5> é x", "a", "b", "1", "2"]
 
 
+def test_names_that_merely_hold_a_mark_keep_their_text():
+    for text in (
+        '<article class="post has-comments"><p>text</p></article>', '<div class="content with-sidebar"><p>text</p></div>',
+        '<main><div class="article-body no-ads"><p>text</p></div></main>', '<article><p class="notice-period">text</p></article>',
+        '<article><header><h3>text</h3></header></article>', '<div class="page-sidebar"><article><p>text</p></article></div>',
+        '<main class="main-content widget"><p>text</p></main>',
+    ):
+        assert html.main_text(html.parse(text)) == "text", text
+    for name in ("ad", "ads-banner", "ad-slot-1", "cookie-notice", "siteFooter sidebar", "sidebar-left", "social-share-buttons", "newsletter-signup", "related-posts", "comments-area", "main-nav"):
+        page = f'<body><div class="{name}">no</div><article><p>text</p><div id="{name}">no</div></article></body>'
+        assert html.main_text(html.parse(page)) == "text", name
+    threads = '<main><p>text</p><section id="comments"><article class="comment"><p>nice</p></article><article><p>me too</p></article></section></main>'
+    assert html.main_text(html.parse(threads)) == "text"
+    assert html.main_text(html.parse("<body><header><p>Site</p></header><article><p>text</p></article></body>")) == "text"
+
+
+def test_template_counts_against_brute_force(spark, monkeypatch):
+    """Hosts of all sizes: which subtrees recur, from the pages' own sets of subtrees."""
+    from collections import Counter, defaultdict
+    from fractions import Fraction
+
+    rng = __import__("random").Random(2)
+    rows = []
+    for host, n in (("a", 2), ("b", 3), ("c", 5), ("d", 12), ("e", 60)):
+        bits = [f"<div><i>{host} site part {k}</i></div>" for k in range(12)]
+        for i in range(n):
+            some = "".join(b for k, b in enumerate(bits) if rng.random() < (k + 1) / 12)
+            rows.append((len(rows), f"http://{host}.example/{i}", f"<body>{some}<div><h2>{host} {i}</h2><p>own {rng.random()}</p></div></body>"))
+    pages, seen = Counter(), defaultdict(Counter)
+    for _, url, text in rows:
+        host = url.split("/")[2]
+        pages[host] += 1
+        seen[host].update(html.candidates(html.parse(text)))
+    want = {}
+    for host, counts in seen.items():
+        n = pages[host]
+        least = max(Fraction(n, 5), min(8, max(3, Fraction(3 * n, 5))))
+        if found := sorted(k for k, c in counts.items() if c >= least):
+            want[host] = found
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.host: sorted(k % (1 << 64) for k in r.templates) for r in html.templates(df).collect()}
+    assert got == want and {"b.example", "e.example"} <= set(want) and "a.example" not in want
+    texts = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all(texts[i] == html.main_text(html.parse(t), frozenset(want.get(u.split("/")[2], ()))) for i, u, t in rows)
+
+
 def test_odd_pages():
     for text, want in [("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\nb"), ("a < b", "a < b"), ("<div>x</span>y</div>", "xy"),
                        ("<script>never closed", ""), ("<b>" * 20000 + "deep", "deep"), ("</p></p>z<", "z<")]:
