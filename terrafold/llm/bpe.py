@@ -44,7 +44,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        bpe = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+        # a pre-token is one piece
+        bpe = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={})
         known: dict[bytes, bytes] = {}
         bucket = None
         for batch in batches:
@@ -55,7 +56,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 words = blocks.split_words(lengths, data)
                 for w in words:
                     if w not in known:
-                        known[w] = np.asarray(bpe._encode_single_piece(w), "<u4").tobytes()
+                        known[w] = np.asarray(bpe.encode_ordinary(w.decode()), "<u4").tobytes()
                 made = [known[w] for w in words]
                 ids = np.frombuffer(b"".join(made), "<u4")
                 payload = blocks.compress(blocks.narrow(np.asarray([len(x) // 4 for x in made], "i8")), blocks.narrow(ids))
@@ -89,18 +90,30 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds decoded, the bytes of ids. Ids are joined with the token-byte table, which has a row a rank of the vocabulary.
 
-    Null ids decode to null; an id that the table lacks is an error.
+    The table is bounded by the vocabulary, so each task holds it whole, by rank, and joins all ids of some rows at
+    once. Null ids decode to null; an id that the table lacks is an error.
     """
     at, names = encoded.columns.index("ids"), encoded.columns
 
+    def joined(ids: pa.Array, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> pa.Array:
+        held = [x.as_py() or b"" for x in ids]
+        number = np.frombuffer(b"".join(held), "<u4")
+        if len(number) and (number.max() >= len(sizes) or not sizes[number].all()):
+            raise ValueError("an id that the token-byte table lacks")
+        each = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        data = flat[np.repeat(starts[number] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        cuts = ends[np.cumsum([0, *(len(x) // 4 for x in held)])].tolist()
+        return pa.array([data[a:b] if x.is_valid else None for a, b, x in zip(cuts, cuts[1:], ids, strict=False)], pa.binary())
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(path)
-        token = [b""] * (max(ranks.values(), default=-1) + 1)
-        for w, k in ranks.items():
-            token[k] = w
+        token = {k: w for w, k in read_ranks(path).items()}
+        table_ = [token.get(k, b"") for k in range(max(token, default=-1) + 1)]
+        sizes = np.fromiter(map(len, table_), "i8", len(table_))
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table_), "u1")
         for batch in batches:
-            made = [None if x.as_py() is None else b"".join([token[i] for i in np.frombuffer(x.as_py(), "<u4").tolist()]) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*names, "decoded"])
+            made = [joined(batch.column(at).slice(k, 256), sizes, starts, flat) for k in range(0, batch.num_rows, 256)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(made) if made else pa.array([], pa.binary())], [*names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(join, f"{kinds}, decoded binary")

@@ -26,6 +26,17 @@ def test_against_the_library(spark, monkeypatch):
     check(spark, odd + [f"text number {i} of many, the same words again" for i in range(200)])
 
 
+def test_decode_alone(spark):
+    rows = [(1, np.asarray([0, 50255, 7], "<u4").tobytes()), (2, None), (3, b"")]
+    got = {r.doc_id: r.decoded for r in bpe.decode(spark.createDataFrame(rows, "doc_id long, ids binary"), PATH).collect()}
+    token = {k: w for w, k in bpe.read_ranks(PATH).items()}
+    assert got == {1: token[0] + token[50255] + token[7], 2: None, 3: b""}
+    import pytest
+
+    with pytest.raises(Exception, match="lacks"):
+        bpe.decode(spark.createDataFrame([(1, np.asarray([1 << 20], "<u4").tobytes())], "doc_id long, ids binary"), PATH).collect()
+
+
 def test_empty_table(spark):
     assert bpe.encode(spark.createDataFrame([], SCHEMA), PATH, P.PATTERN).count() == 0
 
