@@ -4,7 +4,9 @@ Vectors get one more component that makes all lengths equal, so the inner produc
 distance d to the query does: score = (|q|^2 + M^2 - d^2) / 2, M the greatest length. A vector's key is its
 nearest pivot and its distance to it. Sorted by key, vectors are cut into annuli (blocks of one pivot and a
 range of distances). A query first meets the annulus it lies in itself; its k-th score there bounds the
-distance from above, and by the triangle inequality only annuli within it can hold better vectors.
+distance from above, and by the triangle inequality only annuli within it can hold better vectors. Of these
+the nearest are searched first, ring after ring; each ring's scores draw the bound closer, and a query stops
+when the next ring lies beyond it.
 """
 
 from __future__ import annotations
@@ -14,14 +16,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialize, table
 
-#: Pivots, and the bounded sample of vectors that they're chosen from.
-PIVOTS, SAMPLE = 24, 2048
+#: Pivots at least and at most, as the square root of the number of annuli; the bounded sample that they're chosen from.
+PIVOTS, SAMPLE = (24, 512), 2048
+#: Dimensions with pivots of their own, the most frequent ones; all others have the origin as their one pivot.
+DIMENSIONS = 1000
+#: Rings of a search, as shares of the distance that bounds a query.
+RINGS = (0.4, 0.7, 1.0)
 #: Vectors of an annulus, and queries of a block, at most.
 ANNULUS, QUERIES = 2048, 256
 #: Room for rounding in bounds, relative.
@@ -110,30 +116,31 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0)
     """
     spark = vectors.sparkSession
     rows = materialize(quantized(vectors, scale), "vectors")
-    # a bounded sample and a row per dimension
-    found = rows.groupBy("dim").agg(
-        F.max(F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))).alias("most"),
-        F.count("*").alias("n"),
-    ).orderBy(F.desc("n")).limit(1000).collect()
-    if any(r["most"] >= 2.0**62 for r in found):
+    square = F.aggregate("v", F.lit(0.0), lambda s, e: s + e.cast("double") * e.cast("double"))
+    by_dim = materialize(rows.groupBy("dim").agg(F.max(square).alias("most"), F.count("*").alias("n")), "dimensions")
+    most = by_dim.agg(F.max("most")).first()[0] or 0.0
+    if most >= 2.0**62:
         raise ValueError("inner products don't fit 64 bits")
+    # bounded: a row for each of DIMENSIONS, and a sample
+    found = by_dim.orderBy(F.desc("n"), "dim").limit(DIMENSIONS).collect()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     spaces = {}
     for r in found:
         mine = np.asarray([s["v"] for s in sample if s["dim"] == r["dim"]], "i8").reshape(-1, r["dim"])
-        if not len(mine):
-            mine = np.zeros((1, r["dim"]), "i8")
-        spaces[r["dim"]] = Space(choose_pivots(mine.astype("f8"), PIVOTS), r["most"] * (1 + SLACK))
-    shared = spark.sparkContext.broadcast(spaces)  # at most PIVOTS vectors of each dimension
+        if len(mine):
+            pivots = int(min(max((r["n"] / ANNULUS) ** 0.5, PIVOTS[0]), PIVOTS[1]))
+            spaces[r["dim"]] = Space(choose_pivots(mine.astype("f8"), pivots), r["most"] * (1 + SLACK))
+    shared = spark.sparkContext.broadcast(spaces)  # bounded: at most SAMPLE vectors
+
+    def space_of(dim: int) -> Space:
+        return shared.value.get(dim) or Space(np.zeros((1, dim)), most * (1 + SLACK))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pdf = batch.to_pandas()
             for dim, g in pdf.groupby("dim"):
-                if dim not in shared.value:
-                    raise ValueError("vectors of more than 1000 different dimensions")
                 v = np.stack(g["v"].to_numpy()).astype("i8").reshape(len(g), dim)
-                pivot, d = shared.value[dim].keys(v)
+                pivot, d = space_of(dim).keys(v)
                 yield pa.RecordBatch.from_pydict(
                     {"vec_id": g["vec_id"].to_numpy(), "dim": pa.array([dim] * len(g), pa.int32()), "pivot": pivot.astype("i4"), "d": d,
                      "v": pa.array([x.tobytes() for x in v], pa.binary())}
@@ -172,54 +179,101 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0)
         keyed.repartitionByRange("dim", "pivot", "d", "vec_id").sortWithinPartitions("dim", "pivot", "d", "vec_id").mapInPandas(cut, INDEX), "annuli"
     )
 
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each block of queries with each pivot: the distances to it that may hold better vectors."""
-        for pdf in batches:
-            for r in pdf.itertuples():
-                space = shared.value[r.dim]
-                q = np.frombuffer(r.v, "i8").reshape(-1, r.dim)
-                kth = np.frombuffer(r.radius, "i8")
-                d, far = space.query_distances(q), space.radius(q, kth)
-                lo, hi = (d - far[:, None]).min(0), (d + far[:, None]).max(0)
-                n = len(lo)
-                yield pd.DataFrame(
-                    {"dim": [r.dim] * n, "pivot": range(n), "lo": lo, "hi": hi, "qids": [r.ids] * n, "q": [r.v] * n, "kth": [r.radius] * n}
-                )
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The best of each annulus for each query; a query's bound rises with what the task has found."""
-        known: dict[int, np.ndarray] = {}
+    def reach(share: float):
+        def reached(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Each block of queries with each pivot: the distances to it that the ring touches."""
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    space = space_of(r.dim)
+                    q, kth, done = np.frombuffer(r.q, "i8").reshape(-1, r.dim), np.frombuffer(r.kth, "i8"), np.frombuffer(r.done, "f8")
+                    d, far = space.query_distances(q), space.radius(q, kth)
+                    on = far > done  # others have stopped
+                    if not on.any():
+                        continue
+                    d, ring = d[on], share * far[on]
+                    lo, hi = (d - ring[:, None]).min(0), (d + ring[:, None]).max(0)
+                    n = len(lo)
+                    yield pd.DataFrame({"dim": [r.dim] * n, "pivot": range(n), "lo": lo, "hi": hi, "block": [r.block] * n,
+                                        "qids": [r.qids] * n, "q": [r.q] * n, "kth": [r.kth] * n, "done": [r.done] * n})
+
+        return reached
+
+    def search(share: float):
+        def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """The best of each annulus for each query that it is in the ring of; bounds rise with what the task has found."""
+            known: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                out = []
+                for r in pdf.itertuples():
+                    space = space_of(r.dim)
+                    q, v = np.frombuffer(r.q, "i8").reshape(-1, r.dim), np.frombuffer(r.v, "i8").reshape(-1, r.dim)
+                    qids, ids, kth, done = (np.frombuffer(x, k) for x, k in ((r.qids, "i8"), (r.ids, "i8"), (r.kth, "i8"), (r.done, "f8")))
+                    tops = [known.get(int(i), np.empty(0, "i8")) for i in qids]
+                    bound = np.asarray([max(t, top[-1]) if len(top) == k else t for t, top in zip(kth, tops, strict=True)], "i8")
+                    d = space.query_distances(q)[:, r.pivot]
+                    gap = np.maximum(0, np.maximum(d - r.high, r.low - d))
+                    near = np.flatnonzero((gap > done) & (gap <= share * space.radius(q, kth)) & (gap <= space.radius(q, bound)))
+                    if not len(near):
+                        continue
+                    s = scores(q[near], v)
+                    for row, i in zip(s, near, strict=True):
+                        at = np.flatnonzero((row >= bound[i]) & (ids != qids[i]))
+                        at = at[best(row[at], ids[at], k)]
+                        if len(at):
+                            out.append(np.stack([np.full(len(at), qids[i]), ids[at], row[at]]))
+                            known[int(qids[i])] = np.sort(np.concatenate([tops[i], row[at]]))[::-1][:k]
+                    if len(known) > 50_000:
+                        known.clear()
+                if out:
+                    a = np.hstack(out)
+                    yield pd.DataFrame({"query_id": a[0], "vec_id": a[1], "score": a[2]})
+
+        return searched
+
+    def closer(share: float):
+        def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Blocks after a ring: how far each query is searched, and its bound by what was found."""
+            for pdf in batches:
+                rows_ = []
+                for r in pdf.itertuples():
+                    q, kth, done = np.frombuffer(r.q, "i8").reshape(-1, r.dim), np.frombuffer(r.kth, "i8"), np.frombuffer(r.done, "f8")
+                    now = {x["query_id"]: x["kth"] for x in (r.found if r.found is not None else ())}
+                    better = np.asarray([max(t, now.get(int(i), NONE)) for i, t in zip(np.frombuffer(r.qids, "i8"), kth, strict=True)], "i8")
+                    rows_.append((r.dim, r.block, r.qids, r.q, better.tobytes(), np.maximum(done, share * space_of(r.dim).radius(q, kth)).tobytes()))
+                yield pd.DataFrame(rows_, columns=["dim", "block", "qids", "q", "kth", "done"])
+
+        return drawn
+
+    ASKED = "dim int, block long, qids binary, q binary, kth binary, done binary"
+    annuli = index.where("kind = 'annulus'").select("dim", "pivot", "low", "high", "ids", "v")
+
+    def begun(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                space = shared.value[r.dim]
-                q, v = np.frombuffer(r.q, "i8").reshape(-1, r.dim), np.frombuffer(r.v, "i8").reshape(-1, r.dim)
-                qids, ids, kth = np.frombuffer(r.qids, "i8"), np.frombuffer(r.ids, "i8"), np.frombuffer(r.kth, "i8")
-                tops = [known.get(int(i), np.empty(0, "i8")) for i in qids]
-                bound = np.asarray([max(t, top[-1]) if len(top) == k else t for t, top in zip(kth, tops, strict=True)], "i8")
-                d, far = space.query_distances(q)[:, r.pivot], space.radius(q, bound)
-                near = np.flatnonzero((d - far <= r.high) & (d + far >= r.low))
-                if not len(near):
-                    continue
-                s = scores(q[near], v)
-                for row, i in zip(s, near, strict=True):
-                    at = np.flatnonzero((row >= bound[i]) & (ids != qids[i]))
-                    at = at[best(row[at], ids[at], k)]
-                    if len(at):
-                        out.append(np.stack([np.full(len(at), qids[i]), ids[at], row[at]]))
-                        known[int(qids[i])] = np.sort(np.concatenate([tops[i], row[at]]))[::-1][:k]
-                if len(known) > 50_000:
-                    known.clear()
-            if out:
-                a = np.hstack(out)
-                yield pd.DataFrame({"query_id": a[0], "vec_id": a[1], "score": a[2]})
+            yield pdf.assign(done=[np.full(len(x) // 8, -1.0).tobytes() for x in pdf["kth"]])[["dim", "block", "qids", "q", "kth", "done"]]
 
-    annuli = index.where("kind = 'annulus'").select("dim", "pivot", "low", "high", "ids", "v")
-    asked = index.where("kind = 'queries'").mapInPandas(reach, "dim int, pivot int, lo double, hi double, qids binary, q binary, kth binary")
-    pairs = asked.join(annuli.hint("merge"), ["dim", "pivot"]).where("lo <= high AND hi >= low")
-    hits = pairs.select("dim", "pivot", "low", "high", "ids", "v", "qids", "q", "kth").mapInPandas(search, "query_id long, vec_id long, score long")
+    asked = materialize(index.where("kind = 'queries'").select("dim", "block", F.col("ids").alias("qids"), F.col("v").alias("q"), F.col("radius").alias("kth")).mapInPandas(begun, ASKED), "queries")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = None
+    for share in RINGS:
+        touched = asked.mapInPandas(reach(share), "dim int, pivot int, lo double, hi double, block long, qids binary, q binary, kth binary, done binary")
+        pairs = touched.join(annuli.hint("merge"), ["dim", "pivot"]).where("lo <= high AND hi >= low")
+        hits = pairs.select("pivot", "dim", "low", "high", "ids", "v", "qids", "q", "kth", "done").mapInPandas(search(share), "query_id long, vec_id long, score long")
+        hits = hits if top is None else hits.unionByName(top.drop("rank"))
+        top_ = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if share == RINGS[-1]:
+            return top_
+        top = materialize(top_, "ring")
+        bounds = top.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+        # a block's queries are at most QUERIES, so is what is gathered for it
+        mine = asked.select("block", F.explode(unpacked("qids")).alias("query_id"))
+        found_ = mine.join(bounds, "query_id").groupBy("block").agg(F.collect_list(F.struct("query_id", "kth")).alias("found"))
+        asked = materialize(asked.join(found_, "block", "left").mapInPandas(closer(share), ASKED), "queries")
+
+
+def unpacked(packed: str) -> Column:
+    """The 64-bit little-endian numbers of a binary column."""
+    one = lambda i: F.conv(F.hex(F.reverse(F.substr(packed, 8 * i + 1, F.lit(8)))), 16, -10).cast("long")
+    return F.transform(F.sequence(F.lit(0), (F.octet_length(packed) / 8).cast("int") - 1), one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,3 +37,13 @@ def test_few_and_no_rows(spark):
     assert topk.top_k(spark.createDataFrame([], SCHEMA)).count() == 0
     got = topk.top_k(spark.createDataFrame([(0, [1.0], 1, 1, 1), (1, [2.0], 1, 1, 1)], SCHEMA)).collect()
     assert [tuple(r) for r in got] == [(0, 1, 1, 64 * 128)]
+
+
+def test_dimensions_beyond_those_with_pivots(spark, monkeypatch):
+    """Rare dimensions have the origin as their pivot; results are whole all the same."""
+    monkeypatch.setattr(topk, "DIMENSIONS", 2)
+    monkeypatch.setattr(topk, "ANNULUS", 16)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=1 + i % 7)], 1, 2, 3) for i in range(300)]
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA), 3, 5)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 3, 5)
