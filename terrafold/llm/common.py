@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,11 +27,17 @@ BATCH_BYTES = 4 << 20
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back, with batches to Python bounded by bytes from here on."""
     spark = df.sparkSession
-    if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+    if not 0 < size_of(spark.conf.get(BATCH)) <= BATCH_BYTES:
         spark.conf.set(BATCH, str(BATCH_BYTES))
     return scratch.materialize(df, label)
 
 
+def size_of(text: str) -> int:
+    """Bytes of a size as Spark's settings have it, like "64m"; 0 for what has none, which is no bound."""
+    found = re.fullmatch(r"(\d+)\s*([kmgtp]?)i?b?", text.strip().lower())
+    return int(found[1]) << 10 * " kmgtp".index(found[2] or " ") if found else 0
+
+
 def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """work on the batches of a task, which gives its memory back to the system when the task ends.
 
