@@ -116,6 +116,8 @@ class Block:
         self.count, self.number = self.counts.astype("i8")[codes], self.numbers.astype("u8")[codes]
         #: Of each length, 0 for the word alone; 0 below LEAST.
         self.pair = [np.where(self.count >= LEAST, self.count, 0), *(x.astype("i8") for x in self.known)]
+        self.context_counts: dict[int, np.ndarray] = {}
+        self.context_keys = [np.zeros(len(self.number), "u8")]
 
     def before(self, x: np.ndarray, k: int, start) -> np.ndarray:
         """x of the k-th token before each; before its first token a document has start."""
@@ -126,13 +128,14 @@ class Block:
 
     def context_count(self, depth: int) -> np.ndarray:
         """Of each token's context: as often as the pair that it is itself; 0 if there is none."""
-        return self.before(self.pair[depth - 1], 1, self.pair[0][-1] if depth == 1 else 0)
+        if depth not in self.context_counts:
+            self.context_counts[depth] = self.before(self.pair[depth - 1], 1, self.pair[0][-1] if depth == 1 else 0)
+        return self.context_counts[depth]
 
     def context_key(self, depth: int) -> np.ndarray:
-        key = np.zeros(len(self.number), "u8")
-        for k in range(1, depth + 1):
-            key = mix(key + self.before(self.number, k, self.number[-1]) + np.uint64(k * int(STEP) % 2**64))
-        return key
+        for k in range(len(self.context_keys), depth + 1):
+            self.context_keys.append(mix(self.context_keys[-1] + self.before(self.number, k, self.number[-1]) + np.uint64(k * int(STEP) % 2**64)))
+        return self.context_keys[depth]
 
     def may_be_kept(self, depth: int, total: int) -> np.ndarray:
         """False for tokens whose context can't be kept whatever follows it.
@@ -176,10 +179,11 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dealt(state: DataFrame, n_buckets: int, asked, answer) -> DataFrame:
-    """state, and for each block and bucket a row of the answers to its questions.
+    """A written table with a row for each block and bucket, of the answers to the block's questions.
 
     asked(block) gives, in turn, keys and arrays of their tokens; arrays are summed by key. answer takes such
-    sums of a bucket's distinct keys and gives an array, which is sent back to every block that asked.
+    sums of a bucket's distinct keys and gives an array, which is sent back to every block that asked. Answers are
+    small and questions large: written, they let the shuffle of the questions go before blocks and answers meet.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +214,7 @@ def dealt(state: DataFrame, n_buckets: int, asked, answer) -> DataFrame:
             at += 1 + n_sums
         return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "payload": [blocks.compress(*o) for o in out]})
 
-    return state.union(state.mapInArrow(ask, STATE).groupBy("bucket").applyInPandas(reply, STATE))
+    return materialize(state.mapInArrow(ask, STATE).groupBy("bucket").applyInPandas(reply, STATE), "answers")
 
 
 def whole(x: np.ndarray) -> np.ndarray:
@@ -239,9 +243,9 @@ def learn(state: DataFrame, depth: int, n_buckets: int, total: int) -> DataFrame
         made[at] = next(found)[distinct(keys)[1]].astype("i8")
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "bucket": [-1], "payload": [blocks.compress(b.docs, b.counts, b.numbers, *b.known, blocks.narrow(made))]})
 
-    rows = dealt(state, n_buckets, asked, lambda n: np.where(n >= LEAST, n, 0))
-    made = materialize(rows.groupBy("block").applyInPandas(put, STATE), f"pairs{depth}")
-    discard(state)
+    found = dealt(state, n_buckets, asked, lambda n: np.where(n >= LEAST, n, 0))
+    made = materialize(state.union(found).groupBy("block").applyInPandas(put, STATE), f"pairs{depth}")
+    discard(state, found)
     return made
 
 
@@ -291,7 +295,7 @@ def score(docs: DataFrame, training) -> DataFrame:
              "base_score": sums(np.log10(base)), "score": sums(np.log10(p))}
         )
 
-    return dealt(state, n_buckets, asked, judge).groupBy("block").applyInPandas(scored, SCORES)
+    return state.union(dealt(state, n_buckets, asked, judge)).groupBy("block").applyInPandas(scored, SCORES)
 
 
 def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
