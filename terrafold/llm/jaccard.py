@@ -2,12 +2,12 @@
 
 Texts with the same words are one class, and only a class's first document goes on. Each signature is cut into
 trees; a tree is the table of its documents sorted by their strings of MinHash values, so the documents under a
-node are those that share a prefix. Matching starts at the full length. The recall there is measured on a sample
-of the matched pairs: a verified pair of similarity s stands for 1 / P(s) pairs, where P(s) is the chance that it
-shares a prefix of that length in some tree. While a band of similarities falls short of the target, the matched
-prefixes are shortened, to the longest that the measured pairs promise to do, and recall is measured again.
-Documents under one node are tied to its first document, not to each other, so candidates are linear in
-group size; the connected groups of candidates are then verified exactly, block by block, on their shingles.
+node are those that share a prefix. Matching starts at the full length. Documents under one node are tied to its
+first document, not to each other, so candidates are linear in group size; the connected groups of candidates are
+then verified exactly, block by block, on their shingles. The recall is measured on all verified pairs, counted by
+similarity where they are verified: a pair of similarity s stands for 1 / P(s) pairs, where P(s) is the chance that
+it shares a prefix of that length in some tree. While a band of similarities falls short of the target, the matched
+prefixes are shortened, to the longest that the measured pairs promise to do, and all groups are verified again.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ EACH = 400
 STEP = 4096
 #: Words whose hashes a task keeps. Memory only.
 KNOWN = 120_000
-#: Matched pairs that recall is measured on, and the width of its bands of similarity.
-SAMPLE, BAND = 2000, 0.05
+#: Similarities of a unit that pairs are counted by, and the width of the bands of similarity that recall is measured in.
+FINE, BAND = 1000, 0.05
 
 
 def word_hashes(text: str, known: dict[bytes, int]) -> np.ndarray:
@@ -124,39 +124,16 @@ def matched(forest: DataFrame, depth: int) -> DataFrame:
     return materialize(pairs.distinct(), f"matched{depth}")
 
 
-def similarities(rows: DataFrame, pairs: DataFrame) -> np.ndarray:
-    """Of a bounded sample of pairs (a, b), by the order of a hash."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for batch in batches:
-            made = [shingles(word_hashes(t.as_py() or "", known)).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "set"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                x, y = np.frombuffer(x.as_py(), "u8"), np.frombuffer(y.as_py(), "u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(common / (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["s"])
-
-    some = materialize(pairs.orderBy(F.xxhash64("a", "b"), "a", "b").limit(SAMPLE), "sample")
-    ids = F.broadcast(some.select(F.col("a").alias("id")).union(some.select("b")).distinct())  # at most 2 * SAMPLE rows
-    texts = materialize(rows.join(ids, "id").select("id", "text").mapInArrow(sets, "id long, set binary").dropDuplicates(["id"]), "sets")
-    both = some.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("x", "y")
-    return np.asarray([r["s"] for r in both.mapInArrow(compare, "s double").collect()])
-
-
-def shortened(found: np.ndarray, depth: int, threshold: float, trees: int, recall: float) -> int:
+def shortened(found: np.ndarray, depth: int, threshold: float, trees: int, recall: float, counts: np.ndarray | None = None) -> int:
     """The longest prefix, up to depth, at which every band of similarities reaches the target recall.
 
-    found: similarities of pairs matched at depth. Where none reaches the threshold, that itself stands for a band.
+    found: similarities of pairs matched at depth, of counts pairs each. Where none reaches the threshold, that itself
+    stands for a band.
     """
-    found = found[found >= threshold]
-    weight = 1 / chance(found, depth, trees)
-    band = ((found - threshold) / BAND).astype(int)
+    on = found >= threshold
+    found, counts = found[on], np.ones(on.sum()) if counts is None else counts[on]
+    weight = counts / chance(found, depth, trees)
+    band = ((found - threshold) / BAND + 1e-9).astype(int)
     if not len(found):
         found, weight, band = np.asarray([threshold]), np.ones(1), np.zeros(1, int)
     for d in range(depth, 1, -1):
@@ -166,16 +143,33 @@ def shortened(found: np.ndarray, depth: int, threshold: float, trees: int, recal
     return 1
 
 
-def candidates(rows: DataFrame, forest: DataFrame, threshold: float, trees: int, depth: int, recall: float) -> DataFrame:
-    """Pairs matched at the longest prefix at which the measured recall reaches the target."""
+def linked(
+    rows: DataFrame, forest: DataFrame, sizes: DataFrame, threshold: float, trees: int, depth: int, recall: float
+) -> tuple[DataFrame, DataFrame]:
+    """Links by id and edges, verified at the longest prefix at which the recall of all verified pairs reaches the target.
+
+    sizes has rows (id, size, n_shingles) of the documents in the forest.
+    """
     while True:
         pairs = matched(forest, depth)
-        if depth == 1 or (to := shortened(similarities(rows, pairs), depth, threshold, trees, recall)) == depth:
-            return pairs
+        groups = components(pairs, "candidates")
         discard(pairs)
+        got = verified(rows, groups.join(sizes, "id"), threshold)
+        discard(groups)
+        found, counts = similarities(got, threshold)
+        if depth == 1 or (to := shortened(found, depth, threshold, trees, recall, counts)) == depth:
+            links = got.where("kind = 'links'").select("id", "n").groupBy("id").agg(F.sum("n").alias("n"))
+            return links, got.where("kind = 'edge'").select(F.col("id").alias("a"), F.col("to").alias("b"))
+        discard(got)
         depth = to
 
 
+def similarities(got: DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The similarities of all linked pairs, to the unit's FINE part below, and how many pairs have each. Bounded by FINE."""
+    found = got.where("kind = 'pairs'").groupBy(F.col("id").alias("bin")).agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
+    return threshold + found["bin"].to_numpy("f8") / FINE, found["n"].to_numpy("f8")
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(id, group) of every id of edges (a, b): group is the least id reached. Rounds of large-star and small-star joins.
 
@@ -204,10 +198,13 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("group")).union(roots).distinct()
 
 
-def verify_block(sets: list[np.ndarray], left: int, weights: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(links of each document, edges of a spanning forest) among pairs of the first ``left`` documents and the rest.
+def verify_block(
+    sets: list[np.ndarray], left: int, weights: np.ndarray, threshold: float, same: bool
+) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """(links of each document, edges of a spanning forest, linked pairs by similarity) among pairs of the first ``left`` documents and the rest.
 
-    Where ``same`` is true all documents are one block, and each pair of it counts for both ends.
+    Where ``same`` is true all documents are one block, and each pair of it counts for both ends. Similarities are
+    counted from the threshold on, FINE to a unit.
     """
     n = len(sets)
     sizes = np.asarray([len(s) for s in sets], "i8")
@@ -233,6 +230,9 @@ def verify_block(sets: list[np.ndarray], left: int, weights: np.ndarray, thresho
         links = linked @ weights
     else:
         links = np.concatenate([linked @ weights[left:], linked.T @ weights[:left]])
+    i, j = np.nonzero(np.triu(linked) if same else linked)
+    above = np.floor((common[i, j].astype("f8") / union[i, j] - threshold) * FINE + 1e-3)
+    bins = np.bincount(np.maximum(0, above).astype("i8"))
     root = list(range(n))
 
     def find(x: int) -> int:
@@ -242,17 +242,19 @@ def verify_block(sets: list[np.ndarray], left: int, weights: np.ndarray, thresho
         return x
 
     edges = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        j = j if same else j + left
-        x, y = find(int(i)), find(int(j))
+    for i, j in zip(i.tolist(), (j if same else j + left).tolist(), strict=True):
+        x, y = find(i), find(j)
         if x != y:
             root[max(x, y)] = min(x, y)
-            edges.append((int(i), int(j)))
-    return links, edges
+            edges.append((i, j))
+    return links, edges, bins
+
 
+def verified(rows: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """A written table of what verify_block() finds among the members (id, group, size, n_shingles) of each group, on the shingles of rows (id, text).
 
-def verified(rows: DataFrame, members: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(links by id, edges) among the members (id, group, size, n_shingles) of each group, on the shingles of rows (id, text)."""
+    Rows (kind, id, to, n): "links" has n links of id, "edge" an edge from id to to, "pairs" n pairs of similarity id.
+    """
     # placed within a share of its group first: a group may be large
     weighed = members.withColumn("weight", (F.col("n_shingles") + EACH).cast("long")).withColumn("share", F.pmod(F.xxhash64("id"), F.lit(64)))
     whole = Window.partitionBy("group")
@@ -285,13 +287,13 @@ def verified(rows: DataFrame, members: DataFrame, threshold: float) -> tuple[Dat
         pdf = pdf.sort_values(["part", "id"])
         data = [np.frombuffer(s, "u8") for s in pdf["set"]]
         ids = pdf["id"].to_numpy()
-        links, edges = verify_block(data, int((pdf["part"] == i).sum()), pdf["size"].to_numpy().astype("f8"), threshold, i == j)
-        out = [(int(x), None, int(n)) for x, n in zip(ids, links, strict=True) if n]
-        out += [(int(ids[a]), int(ids[b]), None) for a, b in edges]
-        return pd.DataFrame(out, columns=["id", "to", "n"]).astype({"id": "int64", "to": "Int64", "n": "Int64"})
+        links, edges, bins = verify_block(data, int((pdf["part"] == i).sum()), pdf["size"].to_numpy().astype("f8"), threshold, i == j)
+        out = [("links", int(x), None, int(n)) for x, n in zip(ids, links, strict=True) if n]
+        out += [("edge", int(ids[a]), int(ids[b]), None) for a, b in edges]
+        out += [("pairs", int(k), None, int(bins[k])) for k in np.flatnonzero(bins)]
+        return pd.DataFrame(out, columns=["kind", "id", "to", "n"]).astype({"id": "int64", "to": "Int64", "n": "Int64"})
 
-    got = materialize(pairs.groupBy("group", "i", "j").applyInPandas(verify, "id long, to long, n long"), "verified")
-    return got.where("to IS NULL").groupBy("id").agg(F.sum("n").alias("n")), got.where("to IS NOT NULL").select(F.col("id").alias("a"), F.col("to").alias("b"))
+    return materialize(pairs.groupBy("group", "i", "j").applyInPandas(verify, "kind string, id long, to long, n long"), "verified")
 
 
 def row_hash() -> Column:
@@ -307,7 +309,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, dept
     the whole text as their one shingle; null, empty and blank texts link to none, not even to each other.
     Rows repeated with one doc_id are one document, of the text with the least hash; rows without doc_id are left
     out; an empty table gives no rows; columns besides doc_id and text aren't read. Of the pairs of any band of
-    similarities a share of 1 - recall at most is missed, as measured; no pair below the threshold is reported.
+    similarities a share of 1 - recall at most is missed, as measured on all pairs found; no pair below the threshold
+    is reported.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), row_hash().alias("row"), "text")
     signed = signatures(rows, trees, depth)
@@ -321,10 +324,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, dept
     strings = first.select("id", F.posexplode("strings").alias("tree", "string"))
     forest = materialize(strings.repartitionByRange("tree", "string", "id").sortWithinPartitions("tree", "string", "id"), "forest")
     texts = rows.join(one.select(F.col("doc_id").alias("id"), "row"), ["id", "row"]) if repeated(rows, one) else rows
-    pairs = candidates(texts, forest, threshold, trees, depth, recall)
+    sizes = first.select("id", F.col("size").cast("long").alias("size"), "n_shingles")
+    links, edges = linked(texts, forest, sizes, threshold, trees, depth, recall)
     discard(forest)
-    groups = components(pairs, "candidates").join(first.select("id", F.col("size").cast("long").alias("size"), "n_shingles"), "id")
-    links, edges = verified(texts, groups, threshold)
     final = components(edges, "links")
     named = member.join(final, "id", "left").join(links, "id", "left")
     return named.select(

@@ -99,3 +99,26 @@ def test_one_doc_id_on_rows_of_different_texts(spark):
     assert {tuple(r) for r in jaccard.join(df).collect()} == want
     kept = sorted((r.doc_id or 0, r.text or "") for r in jaccard.stage(spark, df, "").collect())
     assert kept == sorted([(i, counts[i]) for i, c, _ in want if i == c] + [(0, twin), (0, "")])
+
+
+def test_recall_is_measured_on_all_linked_pairs(spark, monkeypatch):
+    """Not on a sample: each linked pair of different texts counts once, whatever block it is verified in."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3000)
+    seen = []
+    monkeypatch.setattr(jaccard, "shortened", lambda *a, f=jaccard.shortened: (seen.append((f(*a), *a)), seen[-1][0])[1])
+    texts = {" ".join((t or "").split()) for t in made(12, 7)}
+    for k in range(70):  # 2415 links of a group alone
+        texts.add(" ".join(f"w{i}" for i in range(400)) + f" last{k}")
+    df = spark.createDataFrame([(i, t, "en", "s", 5, 1, 2, 3) for i, t in enumerate(sorted(texts))], SCHEMA)
+    jaccard.join(df).count()
+    sets = [s for s in map(sets_of, sorted(texts)) if s]
+    want = {}
+    for n, a in enumerate(sets):
+        for b in sets[n + 1 :]:
+            common, union = len(a & b), len(a | b)
+            if 5 * common >= 4 * union:
+                key = (10000 * common // union - 8000) // 10
+                want[key] = want.get(key, 0) + 1
+    to, found, depth, threshold, *_, counts = seen[-1]
+    assert to == depth and dict(zip(((found - threshold) * jaccard.FINE).round().astype(int).tolist(), counts.tolist(), strict=True)) == want
+    assert sum(want.values()) > 2415
