@@ -58,13 +58,59 @@ def record_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], NAMES)
 
 
+def coded(texts: list[str], tokens: Callable[[str], list[bytes]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(number of tokens of each text, codes of all, distinct tokens in the order of their first places)."""
+    first: dict[bytes, int] = {}
+    lens, parts = [], []
+    for text in texts:
+        found = tokens(text)
+        for w in found:
+            if w not in first:
+                first[w] = len(first)
+        parts.append(np.fromiter(map(first.__getitem__, found), "<i4", len(found)))
+        lens.append(len(found))
+    return np.asarray(lens, "i8"), np.concatenate(parts), list(first)
+
+
+def encoded(lengths: np.ndarray, data: bytes | np.ndarray) -> pa.DictionaryArray:
+    """Byte strings that follow one another in data, numbered in the order of their first places."""
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype="i8")])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+
+
+#: Whether a byte is white space.
+WHITE = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
+
+
+def coded_words(texts: list[bytes], end: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """coded() of the words between white space and one end, which has white space, after each text; no token is an object."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), "u1")
+    white = WHITE[raw]
+    edges = np.flatnonzero(np.diff(white, prepend=True))  # a word's start and what follows it, in turn
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    stops = np.cumsum([len(t) + 1 for t in texts])
+    n = np.diff(np.searchsorted(starts, stops), prepend=0)
+    lengths = np.zeros(len(starts) + len(texts), "i8")  # an end has no bytes here, as no word has none
+    lengths[np.arange(len(starts)) + np.repeat(np.arange(len(texts)), n)] = sizes
+    found = encoded(lengths, raw[~white])
+    codes, words = found.indices.to_numpy(), found.dictionary.to_pylist()
+    words[codes[n[0]]] = end
+    return n + 1, codes.astype("<i4", copy=False), words
+
+
 def cut_blocks(
-    docs: DataFrame, tokens: Callable[[str], list[bytes]], flag=None, buckets: int | None = None, kinds: tuple[int, ...] = (SEQUENCE, WORDS)
+    docs: DataFrame,
+    tokens: Callable[[str], list[bytes]] | None,
+    flag=None,
+    buckets: int | None = None,
+    kinds: tuple[int, ...] = (SEQUENCE, WORDS),
+    code: Callable[[list[str]], tuple[np.ndarray, np.ndarray, list[bytes]]] | None = None,
 ) -> DataFrame:
     """Rows of ROW from docs (doc_id, text and a flag): a SEQUENCE row a block, and a WORDS row a block and bucket.
 
     Codes of a block are dealt by bucket, so a bucket's words are consecutive codes. A WORDS payload holds
     the words' lengths, their counts in documents with the flag, and their bytes. A null text is empty.
+    Without tokens, code gives what coded() does for the texts of a block.
     Only rows of the given kinds are made. A block's name ends in a digest of its rows, so rows of two calls
     only meet if both read the same documents in the same order.
     """
@@ -89,18 +135,9 @@ def cut_blocks(
         for doc, _, text in held:
             digest.update(f"{doc} {len(text)} {text}".encode())
         name = f"{place}-{digest.hexdigest()}"
-        first: dict[bytes, int] = {}
-        lens, parts = [], []
-        for _, _, text in held:
-            found = tokens(text)
-            for w in found:
-                if w not in first:
-                    first[w] = len(first)
-            parts.append(np.fromiter(map(first.__getitem__, found), "<i4", len(found)))
-            lens.append(len(found))
-        words = list(first)
-        codes = np.concatenate(parts)
-        home = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in words), "<i4", len(words))
+        texts = [text for _, _, text in held]
+        lens, codes, words = code(texts) if code else coded(texts, tokens)
+        home = (np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words)) % np.uint64(n_buckets)).astype("<i4")
         order = np.argsort(home, kind="stable")
         rank = np.empty(len(words), "<i4")
         rank[order] = np.arange(len(words), dtype="<i4")
@@ -112,7 +149,7 @@ def cut_blocks(
         number = np.asarray([0 if d is None else d for d in ids], "<i8")
         rows, at = [], 0
         if SEQUENCE in kinds:
-            payload = compress(number, null, on, narrow(np.asarray(lens, "i8")), codes.astype("<u2") if len(words) < 1 << 16 else codes)
+            payload = compress(number, null, on, narrow(lens), codes.astype("<u2") if len(words) < 1 << 16 else codes)
             rows.append((SEQUENCE, xxhash.xxh3_64_intdigest(name.encode()) >> 1, name, -1, payload))
         for b, n in zip(*np.unique(home, return_counts=True), strict=True) if WORDS in kinds else ():
             mine = [words[k] for k in order[at : at + n]]

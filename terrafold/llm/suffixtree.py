@@ -33,30 +33,26 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 def word_shuffle(docs: DataFrame, flag) -> DataFrame:
     """Materialized rows of blocks.ROW: SEQUENCE rows as cut, WORDS rows with corpus counts, STATS rows of each bucket."""
 
-    def tokens(text: str) -> list[bytes]:
-        found = text.encode().translate(LOWER).split()
-        found.append(b"\n")  # the end: no word is white space
-        return found
+    def code(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        return blocks.coded_words([t.encode().translate(LOWER) for t in texts], b"\n")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         """All blocks' words of a bucket: total counts and numbers, sent back to each block."""
         if pdf["kind"].iloc[0] == blocks.SEQUENCE:
             return pdf
         bucket = int(pdf["bucket"].iloc[0])
-        known: dict[bytes, int] = {}
-        parts = []
-        for name, payload in zip(pdf["block"], pdf["payload"], strict=True):
-            lengths, counts, data = blocks.expand(payload)
-            places = np.asarray([known.setdefault(w, len(known)) for w in blocks.split_words(lengths, data)], "i8")
-            parts.append((name, places, counts.astype("i8")))
-        totals = np.zeros(len(known), "i8")
+        lengths, sums, data = zip(*map(blocks.expand, pdf["payload"]), strict=True)
+        known = blocks.encoded(np.concatenate(lengths), b"".join(data))
+        places = np.split(known.indices.to_numpy().astype("i8"), np.cumsum([len(x) for x in lengths])[:-1])
+        parts = [(name, p, x.astype("i8")) for name, p, x in zip(pdf["block"], places, sums, strict=True)]
+        totals = np.zeros(len(known.dictionary), "i8")
         for _, places, counts in parts:
             totals[places] += counts  # a word is once in a block
         out = [(blocks.WORDS, 0, name, bucket, blocks.compress(blocks.narrow(totals[p]), blocks.narrow(p))) for name, p, _ in parts]
         stats = blocks.compress(np.asarray([totals.sum(), (totals > 0).sum()], "<i8"))
         return pd.DataFrame([*out, (blocks.STATS, 0, "", bucket, stats)], columns=blocks.NAMES)
 
-    rows = blocks.cut_blocks(docs, tokens, flag)
+    rows = blocks.cut_blocks(docs, None, flag, code=code)
     return materialize(rows.groupBy("kind", "key").applyInPandas(count, blocks.ROW), "words")
 
 

@@ -113,3 +113,13 @@ def test_odd_rows(spark):
     rows = [(1, "a b", 1, "x", 2), (1, "a b", 1, "x", 2), (None, "a b", 1, "x", 2), (2, None, 1, "x", 2), (3, "long " * 200_000, 1, "x", 2)]
     got = suffixtree.score(spark.createDataFrame(rows, SCHEMA), F.lit(True)).collect()
     assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == [(0, 3), (1, 3), (1, 3), (2, 1), (3, 200_001)]
+
+
+def test_words_of_a_block_are_coded_as_if_split_one_by_one():
+    from terrafold.llm import blocks
+
+    texts = [b"", b" \t\n\x0b\x0c\r ", b"a b a", b"\x00 \x1c\xc2\xa0 \x85 b", b"  b\n\na  ", "\u2003\u00e9 x".encode(), b"x" * 70000, b""]
+    want = blocks.coded([t.decode("latin-1") for t in texts], lambda t: [*t.encode("latin-1").split(), b"\n"])
+    got = blocks.coded_words(texts, b"\n")
+    assert got[2] == want[2] and all((a == b).all() and a.dtype == b.dtype for a, b in zip(got[:2], want[:2], strict=True))
+    assert blocks.coded_words([b""], b"\n")[2] == [b"\n"]
