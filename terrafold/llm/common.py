@@ -38,22 +38,29 @@ def size_of(text: str) -> int:
     return int(found[1]) << 10 * " kmgtp".index(found[2] or " ") if found else 0
 
 
+def give_back() -> None:
+    """Memory that is freed but kept goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """work on the batches of a task, which gives its memory back to the system when the task ends.
+    """work on the batches of a task, which gives memory back to the system before the task begins and when it ends.
 
-    Workers serve one task after another, of this stage and others; what a task freed but kept would add up.
+    Workers serve one task after another, of this stage and others, functions of groups among them; what a task freed
+    but kept would add up.
     """
 
     @functools.wraps(work)
     def run(batches: Iterator) -> Iterator:
+        give_back()
         try:
             yield from work(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return run
 

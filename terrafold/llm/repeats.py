@@ -78,6 +78,45 @@ def sourced(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray
     return first, np.repeat(first, np.diff(np.append(first, len(h))))
 
 
+def block(name: str, held: list[tuple[int, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ROW of the documents held, with their windows; held is empty afterwards."""
+    if not held:
+        return
+    held.sort(key=lambda x: x[0])
+    ids, lens = np.asarray([d for d, _ in held], "i8"), [len(w) for _, w in held]
+    h = np.concatenate([w for _, w in held])
+    held.clear()  # here and below, arrays go as soon as they are used: each is as long as the block
+    # documents by their place among ids, in four bytes like positions
+    doc = np.repeat(np.arange(len(ids), dtype="i4"), lens)
+    pos = np.arange(len(h), dtype="i4") - np.repeat((np.cumsum(lens) - lens).astype("i4"), lens)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    doc = doc[order]
+    pos = pos[order]
+    del order
+    source = np.arange(len(h), dtype="i4")  # of each edge, the first of its hash
+    source[1:][h[1:] == h[:-1]] = 0
+    np.maximum.accumulate(source, out=source)
+    own = doc == doc[source]
+    at = source[~own]
+    del source
+    local = runs(ids[doc[~own]], pos[~own], ids[doc[at]], pos[at])
+    rows = []
+    if len(local):
+        rows.append((-1 - xxhash.xxh3_64_intdigest(name.encode()) % buckets, name, compress(*local.T)))
+    del at, local
+    home = (h % np.uint64(buckets)).astype("i4")
+    home[~own] = buckets  # the last: not sent
+    order = np.argsort(home, kind="stable").astype("i4")[: own.sum()]
+    home = home[order]
+    del own
+    for b, part in zip(*cuts(home), strict=True):
+        mine = order[part]
+        low, near = offset(ids[doc[mine]])
+        rows.append((int(b), name, compress(planes(h[mine] // np.uint64(buckets)), low, near, narrow(pos[mine]))))
+    yield batch_of(rows)
+
+
 def edges(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     """Rows of ROW: of each block, the edges of each bucket, and the spans repeated within the block (bucket < 0).
 
@@ -95,33 +134,9 @@ def edges(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                 if len(found):
                     held.append((doc, found))
                 if size >= BLOCK_BYTES:
-                    yield from block(f"{task}-{seq}", held)
+                    yield from block(f"{task}-{seq}", held, buckets)
                     seq, held, size = seq + 1, [], 0
-        yield from block(f"{task}-{seq}", held)
-
-    def block(name: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        held.sort(key=lambda x: x[0])
-        doc = np.repeat(np.asarray([d for d, _ in held], "i8"), [len(w) for _, w in held])
-        pos = np.concatenate([np.arange(len(w)) for _, w in held])
-        h = np.concatenate([w for _, w in held])
-        order = np.argsort(h, kind="stable")
-        h, doc, pos = h[order], doc[order], pos[order]
-        _, source = sourced(h, doc, pos)
-        own = doc == doc[source]
-        local = runs(doc[~own], pos[~own], doc[source][~own], pos[source][~own])
-        rows = []
-        if len(local):
-            rows.append((-1 - xxhash.xxh3_64_intdigest(name.encode()) % buckets, name, compress(*local.T)))
-        h, doc, pos = h[own], doc[own], pos[own]
-        home = (h % np.uint64(buckets)).astype("i4")
-        order = np.argsort(home, kind="stable")
-        h, doc, pos = h[order] // np.uint64(buckets), doc[order], pos[order]
-        for b, part in zip(*cuts(home[order]), strict=True):
-            low, ids = offset(doc[part])
-            rows.append((int(b), name, compress(planes(h[part]), low, ids, narrow(pos[part]))))
-        yield batch_of(rows)
+        yield from block(f"{task}-{seq}", held, buckets)
 
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut), ROW)
 

@@ -30,3 +30,12 @@ def test_batches_are_bounded_and_tables_can_be_discarded(spark):
     assert os.path.isdir(folder)
     common.discard(made)
     assert not os.path.exists(folder)
+
+
+def test_memory_is_given_back_before_a_task_and_after(monkeypatch):
+    from terrafold.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
+    assert list(common.lean(lambda batches: (seen.append(b) or b for b in batches))(iter([1, 2]))) == [1, 2]
+    assert seen == ["back", 1, 2, "back"]

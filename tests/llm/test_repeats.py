@@ -59,3 +59,18 @@ def test_stage_judges_rows_of_one_doc_id_by_their_own_words(spark):
     # the long text's windows of x repeat within itself only
     want = {1.5: (1, shared), 2.5: (2, "whole  other text"), 3.5: (2, tail), 4.5: (3, None), 5.5: (4, ""), 6.5: (5, " ".join(["x"] * 100_000)), 7.5: (None, shared)}
     assert got == want
+
+
+def test_a_block_takes_few_bytes_an_edge():
+    import tracemalloc
+
+    np = repeats.np
+    rng = np.random.default_rng(2)
+    held = [(int(i), rng.integers(0, 1 << 63, 10_000, dtype="u8")) for i in rng.permutation(40)]
+    tracemalloc.start()
+    try:
+        n = sum(len(list(b)) and b.num_rows for b in repeats.block("x", held, 50))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 50 and peak < 48 * 400_000
