@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, table
+from .common import give_back, lean, materialize, table
 
 #: Bound of the sample that is learned from: so many documents of each label, by the order of a hash.
 SAMPLE = 2500
@@ -125,28 +125,29 @@ def train(texts: list[str], labels: list[int]) -> Model:
     fit = np.flatnonzero(~fold)
     if len(set(y[fit])) < 2:
         return Model(np.empty(0, "i8"), np.zeros((1, SIZE), "f4"))
-    cache: dict[str, tuple[int, ...]] = {}
-    coded = []
+    known: dict[str, int] = {}
+    docs = []  # numbers of each text's words: the driver holds four bytes a word
     for i in fit:
         words = WORD.findall(texts[i].lower())
         for w in words:
-            if w not in cache:
-                cache[w] = features(w)
-        coded.append([cache[w] for w in words])
-    numbers = np.unique(np.fromiter((x for f in cache.values() for x in f), "i8"))
+            if w not in known:
+                known[w] = len(known)
+        docs.append(np.fromiter(map(known.__getitem__, words), "i4", len(words)))
+    flat = np.full((len(known), 4), -1, "i8")
+    for k, w in enumerate(known):
+        f = features(w)
+        flat[k, : len(f)] = f
+    del known
+    numbers = np.unique(flat[flat >= 0])
     model = Model(numbers, rng.normal(0, 0.01, (len(numbers) + 1, SIZE)).astype("f4"))
     zero = len(numbers)
     model.table[zero] = 0
-    docs = []
-    for words in coded:
-        flat = np.full((len(words), 4), -1, "i8")
-        for k, f in enumerate(words):
-            flat[k, : len(f)] = f
-        docs.append(np.where(flat < 0, zero, np.searchsorted(numbers, flat)))
+    at = np.where(flat < 0, zero, np.searchsorted(numbers, flat)).astype("i4")  # rows of each word
+    del flat
     # first component: log odds of a row's documents, so that filters start from what tells the labels apart
     seen = np.zeros((2, zero + 1))
     for d, i in zip(docs, fit, strict=True):
-        seen[y[i], np.unique(d)] += 1
+        seen[y[i], np.unique(at[d])] += 1
     total = np.bincount(y[fit], minlength=2)
     odds = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
     model.table[:, 0] = np.where(seen.sum(0) >= 3, np.clip(odds, -2, 4) / 4, 0)
@@ -165,7 +166,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
 
     for _ in range(EPOCHS):
         for d in rng.permutation(len(docs)):
-            rows = docs[d]
+            rows = at[docs[d]]
             x = model.table[rows].sum(1)
             pooled, places = [], []
             for w in WIDTHS:
@@ -198,10 +199,10 @@ def train(texts: list[str], labels: list[int]) -> Model:
                     gf[k] = (here * g[:, None]).T
                     gx = g[:, None] * model.filters[w][k].T
                     for f in np.flatnonzero(on):
-                        at = rows[top[f] + k]
-                        at = at[at != zero]
-                        squares["table"][at] += gx[f] ** 2
-                        model.table[at] -= RATE * gx[f] / np.sqrt(squares["table"][at])
+                        mine = rows[top[f] + k]
+                        mine = mine[mine != zero]
+                        squares["table"][mine] += gx[f] ** 2
+                        model.table[mine] -= RATE * gx[f] / np.sqrt(squares["table"][mine])
                 step(model.filters[w], gf, ("f", w))
     # cuts: for all, and for each language with enough of both labels
     check = np.flatnonzero(fold) if len(set(y[fold])) == 2 else np.arange(len(texts))
@@ -254,6 +255,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, list[int]]:
     found = {r["doc_id"]: r for r in rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()}
     order = sorted(found)
     model = train([found[i]["text"] for i in order], [found[i]["toxic"] for i in order])
+    found.clear()
+    give_back()  # the driver goes on with other steps
     return model, [i for i, out in zip(order, spared(np.random.default_rng(SEED), len(order)), strict=True) if not out]
 
 

@@ -39,3 +39,20 @@ def test_memory_is_given_back_before_a_task_and_after(monkeypatch):
     monkeypatch.setattr(common, "give_back", lambda: seen.append("back"))
     assert list(common.lean(lambda batches: (seen.append(b) or b for b in batches))(iter([1, 2]))) == [1, 2]
     assert seen == ["back", 1, 2, "back"]
+
+
+def test_written_tables_of_texts_take_less_than_sparks_default(spark, tmp_path):
+    import os
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(400))) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "id int, text string").coalesce(1)
+    size = lambda folder: sum(e.stat().st_size for e in os.scandir(folder) if e.name.endswith(".parquet"))
+    docs.write.parquet(f"{tmp_path}/plain", compression="snappy")
+    made = common.materialize(docs, "texts")
+    folder = made.inputFiles()[0].rpartition("/")[0].removeprefix("file:").replace("///", "/")
+    assert size(folder) < 0.75 * size(f"{tmp_path}/plain")
+    assert sorted(map(tuple, made.collect())) == rows
+    common.discard(made)

@@ -93,3 +93,28 @@ def test_cut_counts_rows_of_a_bin():
     np = toxicity.np
     z, y, n = np.asarray([-1.0, 0.5, 0.5, 2.0]), np.asarray([0, 0, 1, 1]), np.asarray([900, 1, 5, 20])
     assert toxicity.cut(z, y, n) == toxicity.cut(np.repeat(z, n), np.repeat(y, n))
+
+
+def test_learning_holds_a_few_bytes_a_word():
+    import tracemalloc
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(4000)) + " vilefoo" * (i % 2) for i in range(200)]
+    tracemalloc.start()
+    try:
+        model = toxicity.train(texts, [i % 2 for i in range(200)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    few = toxicity.CACHE * sum(toxicity.WIDTHS) * toxicity.FILTERS * 4  # what a scorer keeps
+    assert model.out is not None and peak < few + 16 * 200 * 4000
+
+
+def test_the_driver_gives_memory_back_after_learning(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: seen.append("back"), raising=False)
+    rows = list(made(60))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model, fitted = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert seen == ["back"] and model.out is not None and fitted
