@@ -19,6 +19,9 @@ from . import related, rings, spatial
 from .kernel import Shape, distance
 from .tagquery import compile_query, query_kinds
 
+#: Bits of a member's number that one step of joining texts takes off.
+PIECE_BITS = 16
+
 
 class ResultError(ValueError):
     """one() found no feature, or more than one."""
@@ -333,29 +336,35 @@ class Features:
         wkt = form == "wkt"
         one = self.df if self.view == "world" else self.df.dropDuplicates(["typed_id"])
 
-        def simple(rows: DataFrame) -> DataFrame:
-            x, y = F.col("min_x"), F.col("min_y")
-            point = formats.wkt_point(x, y, precision) if wkt else formats.geojson_geometry("Point", formats.json_point(x, y, precision))
-            line = (formats.wkt_way if wkt else formats.geojson_way)(F.col("points"), F.col("is_area"), precision)
-            lines = spatial.pointed(self.lib, rows.where("type = 1")).select("typed_id", line.alias("geometry"))
-            return rows.where("type = 0").select("typed_id", point.alias("geometry")).unionByName(lines)
+        x, y = F.col("min_x"), F.col("min_y")
+        point = formats.wkt_point(x, y, precision) if wkt else formats.geojson_geometry("Point", formats.json_point(x, y, precision))
+        line = (formats.wkt_way if wkt else formats.geojson_way)(F.col("points"), F.col("is_area"), precision)
+
+        def points(rows: DataFrame, *keys: str) -> DataFrame:
+            return rows.where("type = 0").select(*keys, "typed_id", point.alias("geometry"))
+
+        def lines(rows: DataFrame, *keys: str) -> DataFrame:
+            return spatial.pointed(self.lib, rows.where("type = 1")).select(*keys, "typed_id", line.alias("geometry"))
 
+        simple = points(one).unionByName(lines(one))
         if 2 not in self.kinds:
-            return simple(one)
+            return simple
         areas = one.where("type = 2 AND is_area").select("typed_id", "id")
         made = formats.polygons(self.polygon_rings(), form, precision).withColumnRenamed("rel_id", "id")
         none = "POLYGON EMPTY" if wkt else '{"type":"Polygon","coordinates":[]}'
         areas = areas.join(made, "id", "left").select("typed_id", F.coalesce("geometry", F.lit(none)).alias("geometry"))
         groups = one.where("type = 2 AND NOT is_area").select("typed_id", "id", "type")
-        parts = related.closure(self.lib, groups).where("m_type < 2").select("root", F.col("m_typed_id").alias("typed_id"))
-        leaf = simple(self.lib.features.join(parts.select("typed_id").distinct(), "typed_id", "left_semi"))
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("typed_id", "geometry"))), lambda s: s["geometry"]), ",")
-        held = parts.join(leaf, "typed_id").groupBy(F.col("root").alias("id")).agg(text.alias("t"))
+        parts = related.closure(self.lib, groups).select("root", "m_type", F.col("m_typed_id").alias("typed_id"))
+        # one join a kind: a semi join would go below the union of a lazy library, once for each of its tables and all in one task
+        leaves = [made(self.lib.features.join(parts.where(F.col("m_type") == k).drop("m_type"), "typed_id"), "root") for k, made in enumerate((points, lines))]
+        texts = leaves[0].unionByName(leaves[1]).toDF("root", "at", "text").where("text IS NOT NULL")
+        texts = _pieces(texts).unionByName(groups.select(F.col("id").alias("root")), allowMissingColumns=True)
+        held = texts.groupBy("root").agg(_listed("at", "text").alias("t"))
         if wkt:
-            made = F.when(F.col("t").isNull(), F.lit("GEOMETRYCOLLECTION EMPTY")).otherwise(F.concat(F.lit("GEOMETRYCOLLECTION("), "t", F.lit(")")))
+            made = F.when(F.col("t") == "", F.lit("GEOMETRYCOLLECTION EMPTY")).otherwise(F.concat(F.lit("GEOMETRYCOLLECTION("), "t", F.lit(")")))
         else:
-            made = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.coalesce("t", F.lit("")), F.lit("]}"))
-        return simple(one).unionByName(areas).unionByName(groups.join(held, "id", "left").select("typed_id", made.alias("geometry")))
+            made = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), "t", F.lit("]}"))
+        return simple.unionByName(areas).unionByName(held.select((F.col("root") * 4 + 2).alias("typed_id"), made.alias("geometry")))
 
     def geojson(self, precision: int = 7) -> DataFrame:
         """(typed_id, geojson): a GeoJSON Feature each."""
@@ -406,6 +415,23 @@ class Features:
         return formats.leaflet(shapes, **page)
 
 
+def _listed(order: str, text: str) -> Column:
+    """Aggregate of texts that aren't null: joined by commas in order."""
+    held = F.collect_list(F.when(F.col(text).isNotNull(), F.struct(order, text)))
+    return F.array_join(F.transform(F.array_sort(held), lambda s: s[text]), ",")
+
+
+def _pieces(texts: DataFrame) -> DataFrame:
+    """(root, at, text) of texts (root, at, text): neighbours by at joined in order, with the high bits of at.
+
+    Joining a root's texts in steps of PIECE_BITS means that no group has more than two to that power of rows,
+    however many members there are; in one step a task would gather a row a member.
+    """
+    for _ in range(2):
+        texts = texts.groupBy("root", F.shiftright("at", PIECE_BITS).alias("high")).agg(_listed("at", "text").alias("text")).withColumnRenamed("high", "at")
+    return texts
+
+
 def wkb(text: str) -> Column:
     @F.arrow_udf("binary")
     def made(texts: pa.Array) -> pa.Array:

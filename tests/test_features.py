@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions.box import Box
+from terrafold.operators import features
 from terrafold.operators.features import Features, ResultError
 from terrafold.operators.kernel import Shape
 from terrafold.operators.spatial import UnsupportedGeometry
 from terrafold.sources.library import Library, LibraryError
+from terrafold.sources.star import open_star
 
 from .town import ids, town
 
@@ -225,3 +227,15 @@ def test_relations_nest_at_any_depth(spark):
     assert {(r.min_x, r.max_y) for r in lib.features.where("type = 2").select("min_x", "max_y").collect()} == {(7, 9)}
     found = closure(lib, spark.createDataFrame([(2, 0)], "type int, id long")).where("m_type = 0").collect()
     assert [r.m_id for r in found] == [1]
+
+
+def test_collections_join_once_and_in_pieces(spark, world, monkeypatch):
+    """A union's tables aren't each joined with the members, and texts joined in steps keep their order."""
+    found = open_star(spark, "/root/testdata/sf0.001")
+    plan = Features.of(found).relations("r").geometries()._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi, (typed_id" not in plan
+    want = {r.typed_id: r.geometry for r in world.relations().geometries("geojson").collect()}
+    monkeypatch.setattr(features, "PIECE_BITS", 2)
+    got = {r.typed_id: r.geometry for r in world.relations().geometries("geojson").collect()}
+    assert got == want and [g["type"] for g in json.loads(got[1001 * 4 + 2])["geometries"]] == ["Point", "LineString", "LineString"]
+    assert len(json.loads(got[1002 * 4 + 2])["geometries"]) == 4
