@@ -424,8 +424,8 @@ def _listed(order: str, text: str) -> Column:
 def _pieces(texts: DataFrame) -> DataFrame:
     """(root, at, text) of texts (root, at, text): neighbours by at joined in order, with the high bits of at.
 
-    Joining a root's texts in steps of PIECE_BITS means that no group has more than two to that power of rows,
-    however many members there are; in one step a task would gather a row a member.
+    Joined in steps of PIECE_BITS, a group has at most two to that power of rows, however many members a root has, and
+    so has the last step of what is left, for numbers below 2^48; in one step a task would gather a row a member.
     """
     for _ in range(2):
         texts = texts.groupBy("root", F.shiftright("at", PIECE_BITS).alias("high")).agg(_listed("at", "text").alias("text")).withColumnRenamed("high", "at")
